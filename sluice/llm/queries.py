@@ -2,20 +2,42 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
-from .common import table
+from . import mixing, sharding, warc
+from .common import checkpoint_dir, cut, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
+ORACLE_SQL["op1_warc"] = """
+    WITH p AS (
+        SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages
+    ), m AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS top FROM p)
+    SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+           CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to,
+           CAST(1 AS INTEGER) AS n_requests
+    FROM m
+"""
+
 
 def query(f):
     QUERIES[f.__name__] = f
     return f
 
 
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    flat = cut(warc.assemble(warc.read_records(spark, path, payloads=False)))
+    warc.remove(spark, path)
+    return warc.captures(flat).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "n_requests")
+
+
 @query
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"))
