@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, mixing, pii, sharding, toxicity, warc
+from . import decontaminate, imatch, jaccard, mixing, pii, sharding, toxicity, warc
 from .common import checkpoint_dir, cut, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -65,6 +65,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+@query
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
