@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,11 +135,11 @@ def frequencies(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     mask = (1 << BITS) - 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flags, known = np.unpackbits(bits, bitorder="little").tobytes(), {}
+        flags, known, counts = np.unpackbits(bits, bitorder="little").tobytes(), {}, Counter()
         for batch in batches:
-            out = []
             for t in batch["t"]:
                 if t:
+                    hits = []
                     for w in set(_TERM.findall(t.lower())):
                         hit = known.get(w)
                         if hit is None:
@@ -146,10 +147,15 @@ def frequencies(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
                                 known.clear()
                             hit = known[w] = flags[zlib.crc32(w.encode()) & mask]
                         if hit:
-                            out.append(w)
-            yield pd.DataFrame({"term": out}, dtype=object)
-
-    return docs.select(F.col(text).alias("t")).mapInPandas(run, "term string").groupBy("term").agg(F.count("*").alias("n"))
+                            hits.append(w)
+                    counts.update(hits)
+            if len(counts) > 200_000:
+                yield pd.DataFrame({"term": list(counts), "n": list(counts.values())})
+                counts.clear()
+        if counts:
+            yield pd.DataFrame({"term": list(counts), "n": list(counts.values())})
+
+    return docs.select(F.col(text).alias("t")).mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def sanitise(docs: DataFrame, id: str = "doc_id", text: str = "text", support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
