@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, imatch, jaccard, licences, mixing, pii, sharding, toxicity, warc
+from . import decontaminate, htmltext, imatch, jaccard, licences, mixing, pii, sharding, toxicity, warc
 from .common import checkpoint_dir, cut, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -43,6 +43,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.sanitise(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @query
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_row")
