@@ -356,5 +356,5 @@ def extract(pages: DataFrame, html: str = "html", model: Crf | None = None, into
         for s in series:
             yield pd.Series([main_text(x, own) for x in s], dtype=object)
 
-    text = F.pandas_udf(run, T.StringType(), F.PandasUDFType.SCALAR_ITER)
+    text = F.pandas_udf(run, T.StringType())
     return pages.drop("n_chars").withColumn(into, text(F.col(html))).withColumn("n_chars", F.length(into).cast("long"))
