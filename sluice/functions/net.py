@@ -12,24 +12,23 @@ from pyspark.sql import functions as F
 WIDTH = {4: 32, 6: 128}
 
 
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _hex_word(groups: Column, first: int) -> Column:
     """Four 16-bit groups from index `first` (0-based) as one signed 64-bit word."""
-    parts = [F.conv(F.get(groups, F.lit(first + k)), 16, 10).cast("long") for k in range(4)]
-    word = F.shiftleft(parts[0], 48)
-    for k in (1, 2, 3):
-        word = word.bitwiseOR(F.shiftleft(parts[k], 48 - 16 * k))
-    return word
+    return F.aggregate(F.slice(groups, first + 1, 4), F.lit(0).cast("long"), lambda acc, g: F.call_function("shiftleft", acc, F.lit(16)).bitwiseOR(F.conv(g, 16, 10).cast("long")))
 
 
 def _v6_groups(address: Column) -> Column:
     """The eight groups of a textual IPv6 address, "::" filled up; null if there are not eight."""
     listed = lambda s: F.filter(F.split(s, ":"), lambda g: g != "")
-    halves = F.split(address, "::")
-    left, right = listed(F.get(halves, F.lit(0))), listed(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
-    gap = F.greatest(F.lit(0), F.lit(8) - F.size(left) - F.size(right))
-    whole = F.when(F.size(halves) == 2, F.concat(left, F.array_repeat(F.lit("0"), gap), right)).when(F.size(halves) == 1, left)
-    fine = F.forall(whole, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$")) & (F.size(whole) == 8)
-    return F.when(fine, whole)
+    filled = lambda p: F.concat(p["l"], F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(p["l"]) - F.size(p["r"]))), p["r"])
+    ends = lambda h: F.struct(listed(F.get(h, F.lit(0))).alias("l"), listed(F.coalesce(F.get(h, F.lit(1)), F.lit(""))).alias("r"))
+    whole = _let(F.split(address, "::"), lambda h: F.when(F.size(h) == 2, _let(ends(h), filled)).when(F.size(h) == 1, F.split(address, ":")))
+    return _let(whole, lambda g: F.when((F.size(g) == 8) & F.forall(g, lambda x: x.rlike("^[0-9A-Fa-f]{1,4}$")), g))
 
 
 def mask_word(word: Column, keep: Column) -> Column:
@@ -46,19 +45,23 @@ def masked(family: Column, hi: Column, lo: Column, plen: Column) -> tuple[Column
 
 def parse_prefix(text: Column) -> Column:
     """A textual prefix or address to its struct, host bits cleared; malformed text gives null."""
-    address = F.split(text, "/").getItem(0)
-    has_len = text.contains("/")
-    quads = F.split(address, r"\.")
-    v4_ok = address.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & F.forall(quads, lambda q: q.try_cast("int") <= 255)
-    v4 = F.aggregate(quads, F.lit(0).cast("long"), lambda acc, q: acc * 256 + q.try_cast("long"))
-    groups = _v6_groups(address)
-    v6_ok = address.contains(":") & groups.isNotNull()
-    family = F.when(v4_ok, 4).when(v6_ok, 6)
-    width = F.when(v4_ok, 32).otherwise(128)
-    plen = F.when(has_len, F.when(F.get(F.split(text, "/"), F.lit(1)).rlike(r"^\d{1,3}$"), F.get(F.split(text, "/"), F.lit(1)).try_cast("int"))).otherwise(width)
-    hi, lo = masked(family, F.when(v6_ok, _hex_word(groups, 0)).otherwise(F.lit(0).cast("long")), F.when(v4_ok, v4).otherwise(_hex_word(groups, 4)), plen)
-    ok = family.isNotNull() & (plen >= 0) & (plen <= width) & (F.size(F.split(text, "/")) <= 2)
-    return F.when(ok, F.struct(family.cast("int").alias("family"), hi.alias("hi"), lo.alias("lo"), plen.cast("int").alias("plen")))
+    word = lambda family, hi, lo: F.struct(F.lit(family).alias("family"), hi.alias("hi"), lo.alias("lo"))
+    quads = lambda a: F.aggregate(F.split(a, r"\."), F.lit(0).cast("long"), lambda acc, q: F.when(q.try_cast("int") <= 255, acc * 256 + q.cast("long")))
+    v4 = lambda a: _let(quads(a), lambda x: F.when(x.isNotNull(), word(4, F.lit(0).cast("long"), x)))
+    v6 = lambda a: _let(_v6_groups(a), lambda g: F.when(g.isNotNull(), word(6, _hex_word(g, 0), _hex_word(g, 4))))
+    address = lambda a: F.when(a.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), v4(a)).when(a.contains(":"), v6(a))
+
+    def prefix(p: Column) -> Column:
+        width = F.when(p["a"]["family"] == 4, 32).otherwise(128)
+        plen = F.coalesce(p["n"], width)
+        hi, lo = masked(p["a"]["family"], p["a"]["hi"], p["a"]["lo"], plen)
+        return F.when(p["a"].isNotNull() & p["ok"] & (plen <= width), F.struct(p["a"]["family"].alias("family"), hi.alias("hi"), lo.alias("lo"), plen.alias("plen")))
+
+    def parts(x: Column) -> Column:
+        n = F.get(x, F.lit(1))
+        return F.struct(_let(F.get(x, F.lit(0)), address).alias("a"), n.try_cast("int").alias("n"), (n.isNull() | n.rlike(r"^\d{1,3}$")).alias("ok"))
+
+    return _let(F.split(text, "/"), lambda x: F.when(F.size(x) <= 2, _let(parts(x), prefix)))
 
 
 def v4_text(address: Column, plen: Column) -> Column:
