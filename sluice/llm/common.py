@@ -18,6 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hide(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with its columns renamed, so that no name of an operator's own can clash, and {name: new name}."""
+    new = {c: f"in{k}\u00b7" for k, c in enumerate(df.columns)}
+    return df.toDF(*new.values()), new
+
+
+def shown(names: dict[str, str], *besides: str) -> list[Column]:
+    """The hidden columns under their names, without those called like `besides`."""
+    return [F.col(h).alias(c) for c, h in names.items() if c not in besides]
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a folder of our own only where none is named (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, cut
+from .common import bitmap, cut, hide, shown
 from .hashing import rolling
 
 K = 8
@@ -170,4 +170,6 @@ def leaks(docs: DataFrame, bench: DataFrame, id: str = "doc_id", text: str = "te
 def decontaminate(docs: DataFrame, bench: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """`docs` without the rows that hold an item of the benchmark."""
     held = leaks(docs, bench, id, text, item).select(F.col("_row").alias("_held")).distinct()
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(held, F.col("_row") == F.col("_held"), "left_anti").select(*docs.columns)
+    docs, names = hide(docs)
+    kept = docs.withColumn("_row", F.monotonically_increasing_id()).join(held, F.col("_row") == F.col("_held"), "left_anti")
+    return kept.select(*shown(names))

@@ -19,7 +19,7 @@ import struct
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, cut
+from .common import bitmap, cut, hide, shown
 
 SUBSETS = 16
 BITS = 18
@@ -99,7 +99,9 @@ def _up():
 
 def fingerprints(docs: DataFrame, text: str = "text", into: str = "fingerprint") -> DataFrame:
     """`docs` with the fingerprint of each text; equal texts have equal ones. Null and empty texts, and texts without words, have no term in any chain."""
-    return with_fingerprint(docs.drop(into), text, lexicon(docs, text), into)
+    docs, names = hide(docs)
+    out = with_fingerprint(docs, names[text], lexicon(docs, names[text]), "_fingerprint")
+    return out.select(*shown(names, into), F.col("_fingerprint").alias(into))
 
 
 def compare(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, hide, shown
 
 BINS = 4096
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -66,9 +66,10 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     its own. Rows that repeat id and text share one key and are taken together. A column of `docs` that has the
     name of a result column is replaced. No rows in, no rows out.
     """
-    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+    docs, names = hide(docs)
+    id, text, source = names[id], names[text], names[source]
     v = F.lit(1.0) - F.pow(uniform(F.lit(seed), F.col(id), F.col(text)), F.lit(1.0) / quality(F.col(text)))
-    keyed = docs.select(*names, words(F.col(text)).alias("size"), v.alias("_v"), F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")).alias("_s"))
+    keyed = docs.select(*names.values(), words(F.col(text)).alias("size"), v.alias("_v"), F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")).alias("_s"))
     keyed = keyed.withColumn("_bin", F.floor(F.col("_v") * BINS).cast("int"))
     narrow = cut(keyed.select("_s", "size", "_v", "_bin"))
 
@@ -93,4 +94,4 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     out = keyed.join(plan, "_s", "left")
     picked = (F.col("_bin") < F.col("_edge")) | ((F.col("_bin") == F.col("_edge")) & (F.col("_v") <= F.col("_last")))
     out = out.withColumn("copies", F.col("epochs") + F.coalesce(picked, F.lit(False)).cast("long"))
-    return out.select(*names, "size", F.col("source_size").cast("long"), F.col("target").cast("double"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(*shown(names, "size", "source_size", "target", "copies", "taken"), "size", F.col("source_size").cast("long"), F.col("target").cast("double"), "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hide, shown
 
 SHARDS = 24
 #: Ranges per shard: shard sizes differ by about one range, a 1/RANGES of a shard.
@@ -32,10 +32,11 @@ def shard(docs: DataFrame, id: str = "doc_id", text: str = "text", shards: int =
     equal. Repeated rows may get each other's slots. With fewer records than shards some shards stay empty. A
     column of `docs` with the name of a result column is replaced.
     """
-    names = [c for c in docs.columns if c not in ADDED]
+    docs, names = hide(docs)
+    id, text = names[id], names[text]
     blob = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     keyed = docs.select(
-        *names,
+        *names.values(),
         (F.octet_length(blob) + 8).cast("long").alias("size"),
         F.crc32(blob).alias("text_crc32"),
         F.xxhash64(F.col(text)).alias("_k"),
@@ -81,4 +82,4 @@ def shard(docs: DataFrame, id: str = "doc_id", text: str = "text", shards: int =
 
     within = Window.partitionBy("_c").orderBy("_k", "_t", id)
     out = keyed.withColumn("_c", cell("_k", "_t")).withColumn("_n", F.row_number().over(within) - 1).withColumn("_h", home("_c"))
-    return out.select(*names, "size", "text_crc32", F.col("_h.shard").alias("shard"), (F.col("_h.base") + F.col("_n")).cast("long").alias("slot"))
+    return out.select(*shown(names, *ADDED), "size", "text_crc32", F.col("_h.shard").alias("shard"), (F.col("_h.base") + F.col("_n")).cast("long").alias("slot"))
