@@ -95,7 +95,13 @@ def spans(rows: DataFrame, key: str, text: str) -> DataFrame:
     coverage = F.least(F.lit(1.0), F.col("votes") / (F.col("length") - K + 1))
     merged = merged.withColumn("coverage", coverage)
     held = (F.col("coverage") >= COVERAGE) & (F.col("end") - F.col("start") <= STRETCH * F.col("length") + SHIFT)
-    return merged.where(held).select(key, "label", "template", "start", "end", "coverage")
+    best = merged.where(held).select(key, "label", "template", "start", "end", "coverage")
+    # of spans that overlap, those with the largest coverage stay: licenses share much of their wording
+    along = Window.partitionBy(key).orderBy("start", "end", "template")
+    apart = F.col("start") >= F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    best = best.withColumn("_new", F.coalesce(apart.cast("int"), F.lit(0))).withColumn("_place", F.sum("_new").over(along))
+    most = F.max("coverage").over(Window.partitionBy(key, "_place"))
+    return best.withColumn("_most", most).where(F.col("coverage") >= F.col("_most")).drop("_new", "_place", "_most")
 
 
 def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
