@@ -170,14 +170,16 @@ def _allowed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """The pairs that link, by the intersection of their full sets."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
-    flags = np.frombuffer(bitmap(asked.select(F.xxhash64("_row").alias("h"), "_row"), "_row", BITS), np.uint8)
+    # a row number has its partition in the high bits
+    spread = F.shiftright("_row", 33) * 1000003 + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    flags = np.frombuffer(bitmap(asked.select(spread.alias("h")), "h", BITS), np.uint8)
     mask = (1 << BITS) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
             rows = batch.column(0).to_numpy()
-            at = rows & mask
+            at = ((rows >> 33) * 1000003 + (rows & ((1 << 33) - 1))) & mask
             pick = np.flatnonzero((flags[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
             for some in np.array_split(pick, max(1, len(pick) // 500)):
                 sets = [shingles(words, batch.column(1)[int(i)].as_py(), k).tobytes() for i in some]
