@@ -18,7 +18,8 @@ families of near copies). So a passage that many documents share makes no large
 Candidates. Exactly equal sets are one class with one representative. In a bucket (representatives with an equal group),
 each is paired with the first and with the one before it. Pairs pass if a second, whole-set bit sketch allows it: its Hamming distance is a
 lower bound of D. What passes is verified on the full sets. Then, for buckets that still hold several components, the pairs
-across components are tried too, which makes the result exact: no link between different texts is lost.
+across components are tried too, which makes the result exact: no link between different texts is lost. Hot buckets are cut
+into blocks for that, and sketches are compared block against block: no row per pair is made.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitmap, cut
+from .common import bitmap, cut, hide, shown
 from .hashing import Words, lower_words, mix, rolling
 
 K = 5
@@ -40,6 +41,8 @@ K = 5
 BANDS = np.array([8 * 4**i for i in range(13)], np.int64)
 #: A group shared by more representatives than this is hot.
 HOT = 32
+#: Members of a hot bucket that are compared at once with as many others.
+BLOCK = 2048
 BITS = 24
 _ROWS = "sig long, _row long, n int, sketch binary"
 _CLASS = 31
@@ -167,6 +170,52 @@ def _allowed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.join(side("a").drop("na"), "a").where(near("na", "nb", "sa", "sb")).select("a", "b", "na", "nb")
 
 
+def _fold(x: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(x.reshape(len(x), -1, words), axis=1)
+
+
+def near_pairs(rep: np.ndarray, comp: np.ndarray, n: np.ndarray, sketches: list[bytes], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a `left` and a `right` member, of different components, that sizes and sketches allow."""
+    length = np.array([len(x) // 8 for x in sketches])
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    sides = [{w: np.flatnonzero(side & (length == w)) for w in np.unique(length[side])} for side in (left, right)]
+    for w, i in sides[0].items():
+        for v, j in sides[1].items():
+            k = int(min(w, v))
+            x, y = (_fold(np.frombuffer(b"".join(sketches[t] for t in at), np.uint64).reshape(len(at), -1), k) for at in (i, j))
+            for at in range(0, len(i), 64):  # bounds the matrices
+                some, rows = i[at : at + 64], x[at : at + 64]
+                small, large = np.minimum(n[some][:, None], n[j]), np.maximum(n[some][:, None], n[j])
+                p, q = np.nonzero((comp[some][:, None] != comp[j]) & (5 * small >= 4 * large))
+                ok = 9 * np.bitwise_count(rows[p] ^ y[q]).sum(1, dtype=np.int64) <= n[some][p] + n[j][q]
+                found.append((rep[some[p[ok]]], rep[j[q[ok]]]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _block_pairs(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) across components within hot buckets (sig, rep, comp, c) that sizes and sketches allow.
+
+    A member meets every block of its bucket once. A pair comes from the first of the buckets it shares: members carry the list of theirs.
+    """
+    lists = members.groupBy("rep").agg(F.array_sort(F.collect_list("sig")).alias("sigs"))
+    whole = members.join(lists, "rep").join(reps.select(F.col("_row").alias("rep"), "n", "sketch"), "rep")
+    whole = whole.withColumn("_k", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("_b", F.pmod(F.xxhash64("rep"), F.col("_k")).cast("int"))
+    whole = whole.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    whole = whole.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        i, j, b = int(group["_i"].iat[0]), int(group["_j"].iat[0]), group["_b"].to_numpy()
+        rep, sig = group["rep"].to_numpy(), int(group["sig"].iat[0])
+        x, y = near_pairs(rep, group["comp"].to_numpy(), group["n"].to_numpy(np.int64), list(group["sketch"]), b == i, b == j)
+        sigs = dict(zip(rep.tolist(), group["sigs"], strict=True))
+        here = [np.intersect1d(sigs[p], sigs[q], assume_unique=True)[0] == sig for p, q in zip(x.tolist(), y.tolist(), strict=True)]
+        return pd.DataFrame({"a": np.minimum(x, y)[here], "b": np.maximum(x, y)[here]}).drop_duplicates()
+
+    return whole.groupBy("sig", "_i", "_j").applyInPandas(compare, "a long, b long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """The pairs that link, by the intersection of their full sets."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
@@ -241,12 +290,13 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = K, ho
     found = components(links)
 
     named = members.join(found.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("sig", "rep", F.coalesce("comp", "rep").alias("comp"))
-    open_ = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi AND c > 2").select("sig")
-    left = named.join(open_, "sig", "left_semi")
-    left = cut(left.join(reps.select(F.col("_row").alias("rep"), "n"), "rep"))
-    x, y = (left.select("sig", *[F.col(c).alias(f"{s}{c}") for c in ("rep", "comp", "n")]) for s in "xy")
-    more = x.join(y, "sig").where("xrep < yrep AND xcomp <> ycomp AND 5 * least(xn, yn) >= 4 * greatest(xn, yn)").select(*_ordered("xrep", "yrep")).distinct()
-    more = cut(_allowed(more.join(first.select("a", "b"), ["a", "b"], "left_anti"), reps))
+    open_ = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi AND c > 2").select("sig", "c")
+    left = cut(named.join(open_, "sig"))
+    x, y = (left.where(F.col("c") <= hot).join(reps.select(F.col("_row").alias("rep"), "n"), "rep").select("sig", *[F.col(c).alias(f"{s}{c}") for c in ("rep", "comp", "n")]) for s in "xy")
+    few = x.join(y, "sig").where("xrep < yrep AND xcomp <> ycomp AND 5 * least(xn, yn) >= 4 * greatest(xn, yn)").select(*_ordered("xrep", "yrep")).distinct()
+    many = _block_pairs(left.where(F.col("c") > hot), reps).distinct()
+    untried = few.join(first.select("a", "b"), ["a", "b"], "left_anti")
+    more = cut(_allowed(untried, reps).select("a", "b").union(many.join(first.select("a", "b"), ["a", "b"], "left_anti")).distinct())
     if not more.isEmpty():
         extra = cut(_verified(more, docs, k))
         if not extra.isEmpty():
@@ -262,5 +312,6 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = K, ho
 def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
     """`docs` without the rows that link, directly or through others, to a row with a smaller id (of repeated rows one stays)."""
     drop = join(docs, id, text, k).where("NOT keep").select(F.col("_row").alias("_drop"))
+    docs, names = hide(docs)
     kept = docs.withColumn("_row", F.monotonically_increasing_id()).join(drop, F.col("_row") == F.col("_drop"), "left_anti")
-    return kept.select(*docs.columns)
+    return kept.select(*shown(names))
