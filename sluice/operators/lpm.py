@@ -37,7 +37,7 @@ def match_longest(observed: DataFrame, blocks: DataFrame, prefix: str = "prefix"
     named = parsed(blocks.withColumn("_b", F.col(block)), "_b").where("_p IS NOT NULL")
     lengths = block_lengths(named)
     side = named.groupBy("_p").agg(F.min(F.struct(F.col(block), *keep)).alias("_v"))
-    pick = parsed(observed.select(prefix).distinct(), prefix).where("_p IS NOT NULL")
+    pick = parsed(observed.select(prefix).distinct(), prefix)
     pick = pick.select(prefix, F.explode(ancestors(F.col("_p"), lengths)).alias("_p"))
     best = pick.join(side, "_p").groupBy(prefix).agg(F.max_by("_v", F.col("_p.plen")).alias("_v"))
     clash = [c for c in (block, *keep) if c in observed.columns]
@@ -53,7 +53,7 @@ def map_to_blocks(observed: DataFrame, blocks: DataFrame, prefix: str = "prefix"
 
 def overlaps(blocks: DataFrame, prefix: str = "prefix", tag: str = "cc") -> DataFrame:
     """Pairs (prefix, tag, other, other_tag) where a block lies in, or equals, one of another tag. Empty means the tags don't overlap."""
-    side = parsed(blocks.select(prefix, tag).distinct(), prefix).where("_p IS NOT NULL")
+    side = parsed(blocks.select(prefix, tag).distinct(), prefix)
     up = side.select(prefix, tag, F.explode(ancestors(F.col("_p"), block_lengths(side))).alias("_p"))
     other = side.select("_p", F.col(prefix).alias("other"), F.col(tag).alias("other_tag"))
     return up.join(other, "_p").where(F.col(tag) != F.col("other_tag")).select(prefix, tag, "other", "other_tag")

@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from .lpm import ancestors, map_to_blocks, parsed
 
 
-def exclusive_parts(rows: DataFrame, keys: list[str], lengths: list[tuple[int, int]]) -> DataFrame:
-    """Adds `v_parent` to (keys, _p, visibility): the visibility of the nearest announced strict ancestor under the same keys, else 0."""
-    up = rows.select(*keys, "_p", F.explode(ancestors(F.col("_p"), lengths, strict=True)).alias("_a"))
+def with_parents(rows: DataFrame, keys: list[str], lengths: list[tuple[int, int]]) -> DataFrame:
+    """(keys, _p, visibility, ...) with `v_parent`: the visibility of the nearest announced strict ancestor under the same keys, else 0."""
+    carried = [c for c in rows.columns if c not in (*keys, "_p")]
+    up = rows.withColumn("_a", F.explode_outer(ancestors(F.col("_p"), lengths, strict=True)))
     side = rows.select(*keys, F.col("_p").alias("_a"), F.col("visibility").alias("_v"))
-    near = up.join(side, [*keys, "_a"]).groupBy(*keys, "_p").agg(F.max_by("_v", F.col("_a.plen")).alias("v_parent"))
-    return rows.join(near, [*keys, "_p"], "left").withColumn("v_parent", F.coalesce("v_parent", F.lit(0.0)))
+    found = up.join(side, [*keys, "_a"], "left")
+    out = found.groupBy(*keys, "_p").agg(*[F.first(c).alias(c) for c in carried], F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_a.plen"))).alias("v_parent"))
+    return out.withColumn("v_parent", F.coalesce("v_parent", F.lit(0.0)))
 
 
 def rollup_visibility(visibility: DataFrame, blocks: DataFrame, prefix: str = "prefix", block: str = "block") -> DataFrame:
@@ -32,7 +34,7 @@ def rollup_visibility(visibility: DataFrame, blocks: DataFrame, prefix: str = "p
     mapped = map_to_blocks(visibility, blocks, prefix, block)
     own = parsed(mapped, prefix).groupBy("ts", block, "_p").agg(F.max("visibility").alias("visibility"), F.count("*").alias("_n"))
     lengths = sorted((r[0], r[1]) for r in own.select("_p.family", "_p.plen").distinct().collect())
-    parts = exclusive_parts(own, ["ts", block], lengths)
+    parts = with_parents(own, ["ts", block], lengths)
     size = parsed(blocks.select(block).distinct(), block).select(block, F.col("_p.plen").alias("_plen"))
     parts = parts.join(size, block)
     area = F.pow(F.lit(2.0), (F.col("_plen") - F.col("_p.plen")).cast("double")) * (F.col("visibility") - F.col("v_parent"))
