@@ -13,29 +13,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lpm import ancestors, map_to_blocks, parsed
+from sluice.functions.net import masked, parse_prefix
 
+from .lpm import map_to_blocks, parsed
 
-def with_parents(rows: DataFrame, keys: list[str], lengths: list[tuple[int, int]]) -> DataFrame:
-    """(keys, _p, visibility, ...) with `v_parent`: the visibility of the nearest announced strict ancestor under the same keys, else 0."""
+
+def with_parents(rows: DataFrame, keys: list[str], top: str) -> DataFrame:
+    """(keys, _p, visibility, ...) with `v_parent`: the visibility of the nearest announced strict ancestor of at least `top` bits under the same keys, else 0."""
+    p = F.col("_p")
     carried = [c for c in rows.columns if c not in (*keys, "_p")]
-    up = rows.withColumn("_a", F.explode_outer(ancestors(F.col("_p"), lengths, strict=True)))
-    side = rows.select(*keys, F.col("_p").alias("_a"), F.col("visibility").alias("_v"))
-    found = up.join(side, [*keys, "_a"], "left")
-    out = found.groupBy(*keys, "_p").agg(*[F.first(c).alias(c) for c in carried], F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_a.plen"))).alias("v_parent"))
+    lengths = F.when(p["plen"] > F.col(top), F.sequence(F.col(top), p["plen"] - 1))
+    up = rows.withColumn("_k", F.explode_outer(lengths))
+    hi, lo = masked(p["family"], p["hi"], p["lo"], F.col("_k"))
+    up = up.withColumn("_hi", hi).withColumn("_lo", lo)
+    side = rows.select(*keys, p["plen"].alias("_k"), p["hi"].alias("_hi"), p["lo"].alias("_lo"), F.col("visibility").alias("_v"))
+    found = up.join(side, [*keys, "_k", "_hi", "_lo"], "left")
+    out = found.groupBy(*keys, "_p").agg(*[F.first(c).alias(c) for c in carried], F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_k"))).alias("v_parent"))
     return out.withColumn("v_parent", F.coalesce("v_parent", F.lit(0.0)))
 
 
 def rollup_visibility(visibility: DataFrame, blocks: DataFrame, prefix: str = "prefix", block: str = "block") -> DataFrame:
     """(ts, block, family, visibility_max, n_observed, visibility_weighted). A block without prefixes at a ts has no row; a prefix in no block fails the job.
 
-    A prefix that repeats at a ts counts once, at its highest visibility, in the weighted sum; n_observed counts its rows.
+    A prefix that repeats at a ts counts once, at its highest visibility, in the weighted sum; n_observed counts its rows. A block has addresses of one family,
+    so (ts, block) and the masked words name a prefix.
     """
     mapped = map_to_blocks(visibility, blocks, prefix, block)
     own = parsed(mapped, prefix).groupBy("ts", block, "_p").agg(F.max("visibility").alias("visibility"), F.count("*").alias("_n"))
-    lengths = sorted((r[0], r[1]) for r in own.select("_p.family", "_p.plen").distinct().collect())
-    parts = with_parents(own, ["ts", block], lengths)
-    size = parsed(blocks.select(block).distinct(), block).select(block, F.col("_p.plen").alias("_plen"))
-    parts = parts.join(size, block)
-    area = F.pow(F.lit(2.0), (F.col("_plen") - F.col("_p.plen")).cast("double")) * (F.col("visibility") - F.col("v_parent"))
+    own = own.withColumn("_top", parse_prefix(F.col(block))["plen"])
+    parts = with_parents(own, ["ts", block], "_top")
+    area = F.pow(F.lit(2.0), (F.col("_top") - F.col("_p.plen")).cast("double")) * (F.col("visibility") - F.col("v_parent"))
     return parts.groupBy("ts", block).agg(F.first("_p.family").alias("family"), F.max("visibility").alias("visibility_max"), F.sum("_n").alias("n_observed"), F.sum(area).alias("visibility_weighted"))
