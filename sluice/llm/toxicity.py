@@ -46,35 +46,38 @@ def fold(id: Column) -> Column:
     return F.crc32(F.coalesce(id.cast("string"), F.lit("")).cast("binary")) % 3
 
 
-def _sample(rows: DataFrame, most: int) -> list[np.ndarray]:
-    """Features of about `most` rows at most, chosen by hash; all of them where there are fewer."""
-    n = rows.count()
+def _drawn(ids: DataFrame, most: int) -> DataFrame:
+    """About `most` of the ids at most, chosen by hash; all of them where there are fewer."""
+    n = ids.count()
     u = F.shiftrightunsigned(F.xxhash64(F.lit(3), "_id"), 11) / F.lit(float(1 << 53))
-    some = rows.where(u < F.lit(min(1.0, 0.95 * most / max(n, 1)) if n > most else 2.0)).select("_text")
+    return ids if n <= most else ids.where(u < F.lit(0.95 * most / n))
 
+
+def _features(rows: DataFrame) -> list[np.ndarray]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"f": [np.array(present(t), np.int32).tobytes() for t in b["_text"]]})
 
-    return [np.frombuffer(r[0], np.int32) for r in some.mapInPandas(run, "f binary").collect()]
+    return [np.frombuffer(r[0], np.int32) for r in rows.select("_text").mapInPandas(run, "f binary").collect()]
 
 
 def select_features(p: list[np.ndarray], u: list[np.ndarray], most: int = FEATURES) -> np.ndarray:
     """The features whose rates in P and U differ beyond chance (likelihood ratio statistic of 15 or more), the most telling `most` of them."""
-    size = 1 << BITS
-    a, b = (np.bincount(np.concatenate([*x, np.zeros(0, np.int32)]), minlength=size).astype(float) for x in (p, u))
     n, m = len(p), len(u)
     if not n or not m:
         return np.zeros(0, np.int64)
+    a, b = (np.bincount(np.concatenate(x), minlength=1 << BITS) for x in (p, u))
+    often = np.flatnonzero(a + b >= 5)
+    a, b = a[often].astype(float), b[often].astype(float)
 
-    def g(k: np.ndarray, of: int, rate: np.ndarray) -> np.ndarray:
+    def g(k: np.ndarray, of: int) -> np.ndarray:
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where(k > 0, k * np.log(k / (of * rate)), 0) + np.where(k < of, (of - k) * np.log((1 - k / of) / (1 - rate)), 0)
 
     rate = (a + b) / (n + m)
-    stat = np.where((rate > 0) & (rate < 1) & (a + b >= 5), 2 * (g(a, n, rate) + g(b, m, rate)), 0)
+    stat = np.where(rate < 1, 2 * (g(a, n) + g(b, m)), 0)
     best = np.argsort(-stat, kind="stable")[:most]
-    return np.sort(best[stat[best] >= 15])
+    return np.sort(often[best[stat[best] >= 15]])
 
 
 def train(p: list[np.ndarray], u: list[np.ndarray], prior: float, chosen: np.ndarray, steps: int = 1200, rate: float = 0.02, l2: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -118,8 +121,9 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     counts = told.agg(F.sum((F.col("_y") == 1).cast("long")).alias("p"), F.count("_y").alias("n")).first()
     prior = min(0.5, max(0.01, (counts["p"] or 0) / max(counts["n"], 1)))
     known = docs.where(fold(F.col(id)) != 1).select(F.col(id).alias("_id"), F.col(text).alias("_text"))
-    positive = known.join(told.where("_y = 1").select("_id"), "_id", "left_semi")
-    p, u = _sample(positive, MOST_P), _sample(known, MOST_U)
+    # at most about MOST_P ids are broadcast, so no text is shuffled
+    positive = known.join(F.broadcast(_drawn(told.where("_y = 1").select("_id"), MOST_P)), "_id", "left_semi")
+    p, u = _features(positive), _features(_drawn(known, MOST_U))
     chosen = select_features(p, u)
     weights, bias = train(p, u, prior, chosen)
     return chosen, weights, bias
