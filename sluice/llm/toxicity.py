@@ -62,7 +62,7 @@ def _features(rows: DataFrame) -> list[np.ndarray]:
 
 
 def select_features(p: list[np.ndarray], u: list[np.ndarray], most: int = FEATURES) -> np.ndarray:
-    """The features whose rates in P and U differ beyond chance (likelihood ratio statistic of 15 or more), the most telling `most` of them."""
+    """The features whose rates in P and U differ beyond chance (likelihood ratio statistic of 25 or more), the most telling `most` of them."""
     n, m = len(p), len(u)
     if not n or not m:
         return np.zeros(0, np.int64)
@@ -77,10 +77,10 @@ def select_features(p: list[np.ndarray], u: list[np.ndarray], most: int = FEATUR
     rate = (a + b) / (n + m)
     stat = np.where(rate < 1, 2 * (g(a, n) + g(b, m)), 0)
     best = np.argsort(-stat, kind="stable")[:most]
-    return np.sort(often[best[stat[best] >= 15]])
+    return np.sort(often[best[stat[best] >= 25]])
 
 
-def train(p: list[np.ndarray], u: list[np.ndarray], prior: float, chosen: np.ndarray, steps: int = 1200, rate: float = 0.02, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+def train(p: list[np.ndarray], u: list[np.ndarray], prior: float, chosen: np.ndarray, steps: int = 1200, rate: float = 0.02, l2: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative PU risk (Adam, mini-batches, fixed seed)."""
     at = np.full(1 << BITS, -1, np.int64)
     at[chosen] = np.arange(len(chosen))
