@@ -6,25 +6,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_backward(left: DataFrame, right: DataFrame, by: list[str], value: str, on: str = "ts", into: str | None = None) -> DataFrame:
+def at_every(keys: DataFrame, grid: DataFrame, on: str = "ts") -> DataFrame:
+    """Each row of `keys` at every distinct `on` of `grid`.
+
+    The grid travels as one row with an array, so its size is that of the instants alone, and rows are exploded where they are.
+    """
+    whole = grid.select(on).distinct().agg(F.collect_list(on).alias("_grid")).withColumn("_one", F.lit(1))
+    return keys.withColumn("_one", F.lit(1)).join(F.broadcast(whole), "_one").select(*keys.columns, F.explode("_grid").alias(on))
+
+
+def asof_backward(left: DataFrame, right: DataFrame, by: list[str], value: str, on: str = "ts", into: str | None = None, width: int | None = None) -> DataFrame:
     """`left` with the last non-null `value` of `right` at or before `on`, per `by`; null where there is none.
 
     Union and one ordered window: one shuffle on `by`, no comparison of pairs, streaming within the partition. Of several readings at one instant the largest counts.
+    With `width`, each `by` is cut into stretches of so many seconds, each a task's work of its own, and the last value of
+    the stretches before is carried in: for data in which one entity holds a large part of all rows.
     """
     into = into or value
     right = right.where(F.col(value).isNotNull()).groupBy(*by, on).agg(F.max(value).alias("_value"))
     names = [c for c in left.columns if c != into]
     tagged = left.select(*names, F.lit(1).alias("_side"), F.lit(None).cast(dict(right.dtypes)["_value"]).alias("_value"))
     both = tagged.unionByName(right.withColumn("_side", F.lit(0)), allowMissingColumns=True)
-    order = Window.partitionBy(*by).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    keys = list(by)
+    if width:
+        both, keys = both.withColumn("_stretch", F.floor(F.col(on) / width)), [*by, "_stretch"]
+    order = Window.partitionBy(*keys).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn(into, F.last("_value", ignorenulls=True).over(order))
+    if width:
+        ends = both.groupBy(*keys).agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(on))).alias("_end"))
+        before = Window.partitionBy(*by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(*keys, F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+        same = [out[k].eqNullSafe(carried[k]) for k in keys]
+        out = out.join(carried, same, "left").select(*[out[c] for c in out.columns if c != into], F.coalesce(out[into], "_carried").alias(into))
     return out.where("_side = 1").select(*names, into)
 
 
 def densify(df: DataFrame, keys: list[str], grid: DataFrame, value: str, on: str = "ts", fill: float = 0.0) -> DataFrame:
-    """Every key of `df` at every point of `grid`, with `fill` where `df` has no row: (keys, on, value).
-
-    `grid` is one row per instant: it is joined to the distinct keys, whose product is the result itself.
-    """
-    points = df.select(*keys).distinct().join(grid.select(on).distinct())
+    """Every key of `df` at every point of `grid`, with `fill` where `df` has no row: (keys, on, value)."""
+    points = at_every(df.select(*keys).distinct(), grid, on)
     return points.join(df.select(*keys, on, value), [*keys, on], "left").withColumn(value, F.coalesce(F.col(value), F.lit(fill)))

@@ -19,13 +19,13 @@ def rank_by_space(asns: DataFrame, space: DataFrame) -> DataFrame:
     rows = asns.join(totals, "org", "left").withColumn("space", F.coalesce("space", F.lit(0)))
     rows = rows.withColumn("_first", F.min("seq").over(Window.partitionBy("cc", "org")))
     order = Window.partitionBy("cc").orderBy(F.desc("space"), "_first", "asn")
-    return rows.withColumn("rank", F.row_number().over(order)).drop("_first")
+    return rows.withColumn("rank", F.row_number().over(order).cast("long")).drop("_first")
 
 
 def top_adequate(ranked: DataFrame, candidates: int = 40, most: int = 10) -> DataFrame:
     """Per country the first `most` adequate of the first `candidates` by rank."""
     good = ranked.where((F.col("rank") <= candidates) & F.col("adequate"))
-    return good.withColumn("place", F.row_number().over(Window.partitionBy("cc").orderBy("rank"))).where(F.col("place") <= most)
+    return good.withColumn("place", F.row_number().over(Window.partitionBy("cc").orderBy("rank")).cast("long")).where(F.col("place") <= most)
 
 
 def merge_classification(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as By
 from pyspark.sql import functions as F
 
-from .asof import densify
 from .bands import Window
 from .lpm import map_to_blocks
 from .visibility import with_type
@@ -51,17 +51,19 @@ def wave_timing(events: DataFrame, start: int) -> DataFrame:
 def restoration_events(rollup: DataFrame, owners: DataFrame, before: Window, after: Window, thresholds: tuple[float, ...] = (0.25, 0.5, 0.8), main: float = 0.5, block: str = "block", value: str = "visibility_weighted") -> DataFrame:
     """Per block: mean before, the first ts from `after` on at each share of it, and the steady state within `after`.
 
-    The roll-up is put on its own grid, 0 where a block is missing. Without a grid point in `before` the baseline is null; without a positive baseline times and ratio are null.
+    Means are over the roll-up's own instants, a missing block counting as 0: the sum over the number of instants, so that
+    nothing has to be filled in. Without an instant in `before` the baseline is null; without a positive baseline times and ratio are null.
     """
-    dense = densify(rollup, [block], rollup.select("ts"), value)
     ts, v = F.col("ts"), F.col(value)
-    base = dense.where((ts >= before.start) & (ts < before.end)).groupBy(block).agg(F.avg(v).alias("p0_baseline_mean"))
-    rows = dense.join(base, block, "left")
+    early, late = (ts >= before.start) & (ts < before.end), (ts >= after.start) & (ts < after.end)
+    counts = rollup.agg(F.countDistinct(F.when(early, ts)).alias("_n0"), F.countDistinct(F.when(late, ts)).alias("_n1")).withColumn("_one", F.lit(1))
+    rows = rollup.withColumn("_sum", F.coalesce(F.sum(F.when(early, v)).over(By.partitionBy(block)), F.lit(0.0)))
+    rows = rows.withColumn("_one", F.lit(1)).join(F.broadcast(counts), "_one").withColumn("p0_baseline_mean", F.col("_sum") / F.nullif(F.col("_n0"), F.lit(0)))
     goal = F.when(F.col("p0_baseline_mean") > 0, F.col("p0_baseline_mean"))
     out = rows.groupBy(block).agg(
         F.first("p0_baseline_mean").alias("p0_baseline_mean"),
         *[F.min(F.when((ts >= after.start) & (v >= F.lit(t) * goal), ts)).alias(f"restoration_ts_p{round(t * 100)}") for t in thresholds],
-        F.avg(F.when((ts >= after.start) & (ts < after.end), v)).alias("steady_state_visibility"),
+        (F.coalesce(F.sum(F.when(late, v)), F.lit(0.0)) / F.nullif(F.first("_n1"), F.lit(0))).alias("steady_state_visibility"),
     )
     out = out.withColumn("restoration_ts", F.col(f"restoration_ts_p{round(main * 100)}"))
     out = out.withColumn("steady_state_ratio", F.when(F.col("p0_baseline_mean") > 0, F.col("steady_state_visibility") / F.col("p0_baseline_mean")))

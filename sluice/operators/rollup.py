@@ -10,7 +10,7 @@ since every nested prefix takes its area from its parent. Ratios are powers of t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.net import masked, parse_prefix
@@ -19,15 +19,19 @@ from .lpm import map_to_blocks, parsed
 
 
 def with_parents(rows: DataFrame, keys: list[str], top: str) -> DataFrame:
-    """(keys, _p, visibility, ...) with `v_parent`: the visibility of the nearest announced strict ancestor of at least `top` bits under the same keys, else 0."""
+    """(keys, _p, visibility, ...) with `v_parent`: the visibility of the nearest announced strict ancestor of at least `top` bits under the same keys, else 0.
+
+    Each prefix is put down under itself and under its ancestors; where it meets the row of an ancestor that is announced, it
+    learns its visibility. `rows` are computed once: no self-join.
+    """
     p = F.col("_p")
     carried = [c for c in rows.columns if c not in (*keys, "_p")]
-    lengths = F.when(p["plen"] > F.col(top), F.sequence(F.col(top), p["plen"] - 1))
-    up = rows.withColumn("_k", F.explode_outer(lengths))
+    spots = rows.withColumn("_k", F.explode(F.sequence(F.least(F.col(top), p["plen"]), p["plen"])))
     hi, lo = masked(p["family"], p["hi"], p["lo"], F.col("_k"))
-    up = up.withColumn("_hi", hi).withColumn("_lo", lo)
-    side = rows.select(*keys, p["plen"].alias("_k"), p["hi"].alias("_hi"), p["lo"].alias("_lo"), F.col("visibility").alias("_v"))
-    found = up.join(side, [*keys, "_k", "_hi", "_lo"], "left")
+    spots = spots.withColumn("_hi", hi).withColumn("_lo", lo)
+    own = F.col("_k") == p["plen"]
+    here = F.max(F.when(own, F.col("visibility"))).over(Window.partitionBy(*keys, "_k", "_hi", "_lo"))
+    found = spots.withColumn("_v", F.when(~own, here))
     out = found.groupBy(*keys, "_p").agg(*[F.first(c).alias(c) for c in carried], F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_k"))).alias("v_parent"))
     return out.withColumn("v_parent", F.coalesce("v_parent", F.lit(0.0)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .asof import asof_backward, densify
+from .asof import asof_backward, at_every, densify
 from .visibility import per_as
 
 WITHDRAWN, DARK, REACHABLE = "withdrawn", "dark", "reachable"
@@ -45,8 +45,7 @@ def state_timeline(visibility: DataFrame, signal: DataFrame, reference: DataFram
 def control_dark_rows(grid: DataFrame, signal: DataFrame, reference: DataFrame, dark_ratio: float, nonzero_min: float = 0.5, median_min: float = 5.0) -> DataFrame:
     """(ts, asn, probing, baseline, dark) for adequate controls at the grid points that have a reading at or before."""
     base = probing_baseline(reference, "asn", nonzero_min, median_min).where("adequate").select("asn", "baseline")
-    points = base.join(grid.select("ts").distinct())
-    joined = asof_backward(points, signal, ["asn"], "value", into="probing").where("probing IS NOT NULL")
+    joined = asof_backward(at_every(base, grid), signal, ["asn"], "value", into="probing").where("probing IS NOT NULL")
     return joined.withColumn("dark", F.col("probing") < F.lit(dark_ratio) * F.col("baseline"))
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sluice.functions.lists import blank_to, join_numbers, list_size, split_list
 
+from .asof import at_every
+
 PEER = ("collector", "peer_asn", "peer_address")
 FULL_FEED = {4: 400_000, 6: 50_000}
 
@@ -32,7 +34,7 @@ def audit_json(by_collector: DataFrame) -> DataFrame:
 def missing_collectors(by_collector: DataFrame, expected: DataFrame) -> DataFrame:
     """(ts, collector) of configured collectors without a full-feed peer in either family. Empty: the snapshot may be used."""
     good = by_collector.where("ipv4 + ipv6 > 0").select("ts", "collector")
-    return by_collector.select("ts").distinct().join(F.broadcast(expected.select("collector").distinct().limit(10_000))).join(good, ["ts", "collector"], "left_anti")
+    return at_every(by_collector.select("ts").distinct(), expected, "collector").join(good, ["ts", "collector"], "left_anti")
 
 
 def require_collectors(by_collector: DataFrame, expected: DataFrame) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.timegrid import floor_to, grid, seconds
 from sluice.operators import calibration, comparison, phases, quality, restoration, sessions, states, visibility
-from sluice.operators.asof import asof_backward
+from sluice.operators.asof import asof_backward, at_every
 
 from .adapters import CLASS_SQL, DAY, EVENTS_SQL, GRID, PHASES, PHASES_SQL, SIGNAL_SQL, START, UPDATES_SQL, VISIBILITY_SQL, case_sql, classification, events, query, rounded, signal, table, updates
 from .adapters import visibility as seen
@@ -231,7 +231,7 @@ _KEYS = f"SELECT user_id AS asn, CAST((t - {START}) // {DAY} AS BIGINT) AS day F
 @query(f"WITH have AS ({_KEYS}), want AS (SELECT a.asn, d.day FROM (SELECT DISTINCT user_id AS asn FROM events) a CROSS JOIN (SELECT CAST(unnest(generate_series(0, 27)) AS BIGINT) AS day) d) SELECT *, 'missing' AS problem FROM (SELECT * FROM want EXCEPT SELECT * FROM have) UNION ALL SELECT *, 'extra' AS problem FROM (SELECT * FROM have EXCEPT SELECT * FROM want)")
 def inventory_gaps(spark, sf_dir):
     have = events(spark, sf_dir).select(F.col("user_id").alias("asn"), F.floor((F.col("t") - START) / DAY).alias("day"))
-    want = have.select("asn").distinct().join(spark.range(28).withColumnRenamed("id", "day"))
+    want = at_every(have.select("asn").distinct(), spark.range(28).withColumnRenamed("id", "day"), "day")
     return quality.missing_keys(want, have, ["asn", "day"])
 
 

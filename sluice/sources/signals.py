@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+import time
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.timegrid import from_iso
 
+from .fetch import get_json
+
 _SERIES = "struct<`from`:bigint,step:bigint,datasource:string,`values`:array<double>>"
 _HISTORY = "struct<data:struct<by_origin:array<struct<prefixes:array<struct<timelines:array<struct<starttime:string,endtime:string>>>>>>>>"
 
 
+def pull(spark: SparkSession, base: str, entity_type: str, code: str, start: int, end: int, names: list[str], most: int, pause: float = 1.0, fetch: Callable[..., dict] = get_json) -> DataFrame:
+    """Documents (entity_type, entity_code, chunk, doc) of an entity: each signal in chunks of at most `most` seconds, with a pause after each request."""
+    rows = []
+    for name in names:
+        for at in range(start, end, most):
+            doc = fetch(f"{base}/signals/raw/{entity_type}/{code}", {"from": at, "until": min(at + most, end), "datasource": name})
+            rows.append((entity_type, code, len(rows), json.dumps(doc)))
+            time.sleep(pause)
+    return spark.createDataFrame(rows, "entity_type string, entity_code string, chunk int, doc string")
+
+
 def normalise(docs: DataFrame) -> DataFrame:
     """(ts, entity_type, entity_code, datasource, value, chunk) from documents (entity_type, entity_code, chunk, doc).
 

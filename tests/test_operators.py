@@ -89,9 +89,11 @@ def test_asof_is_merge_asof(spark):
     right = pd.DataFrame([(k, t, r.random() if r.random() < 0.7 else None) for k in range(2) for t in r.sample(range(200), 30)], columns=["asn", "ts", "value"]).sort_values("ts")
     want = pd.merge_asof(left, right.dropna(), on="ts", by="asn")
     right = right.astype(object).where(right.notna(), None)
-    out = asof.asof_backward(frame(spark, left.values.tolist(), "asn long, ts long"), frame(spark, [tuple(x) for x in right.values.tolist()], "asn long, ts long, value double"), ["asn"], "value").toPandas()
-    both = out.merge(want, on=["asn", "ts"])
-    assert len(both) == len(left) and (both["value_x"].fillna(-1) == both["value_y"].fillna(-1)).all()
+    readings = frame(spark, [tuple(x) for x in right.values.tolist()], "asn long, ts long, value double")
+    for width in (None, 7, 60):
+        out = asof.asof_backward(frame(spark, left.values.tolist(), "asn long, ts long"), readings, ["asn"], "value", width=width).toPandas()
+        both = out.merge(want, on=["asn", "ts"])
+        assert len(out) == len(both) == len(left) and (both["value_x"].fillna(-1) == both["value_y"].fillna(-1)).all()
 
 
 def test_state_boundaries(spark):

@@ -173,6 +173,19 @@ def test_signals(spark):
     assert [tuple(r) for r in out.collect()] == [(7, 10, 60)]
 
 
+def test_pulls_are_chunked(spark):
+    asked = []
+
+    def fake(url, params):
+        asked.append((url, params["from"], params["until"], params["datasource"]))
+        return {"data": [[{"from": params["from"], "step": 10, "datasource": params["datasource"], "values": [1.0, 2.0, 3.0]}]]}
+
+    docs = signals.pull(spark, "b", "asn", "7", 0, 50, ["x", "y"], 20, 0, fake)
+    assert [a[1:3] for a in asked[:3]] == [(0, 20), (20, 40), (40, 50)] and len(asked) == 6
+    out = signals.first_of_each(signals.normalise(docs)).where("datasource = 'x'").orderBy("ts").collect()
+    assert [(r.ts, r.value) for r in out] == [(0, 1.0), (10, 2.0), (20, 3.0), (30, 2.0), (40, 3.0), (50, 2.0), (60, 3.0)]
+
+
 def test_urls():
     ts = 1_767_225_600  # 2026-01-01
     assert fetch.ris_table_url("b", "rrc00", ts) == "b/rrc00/2026.01/bview.20260101.0000.gz"
