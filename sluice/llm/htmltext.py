@@ -49,7 +49,6 @@ class Block:
         self.text, self.path, self.links = text, path, links
 
 
-@lru_cache(65536)
 def _marks(tag: str, attributes: str) -> str:
     """The tag and the name parts of its attributes, such as "div|ad|banner"."""
     names = " ".join(a or b or c for _, a, b, c in _NAMES.findall(attributes))
@@ -57,9 +56,9 @@ def _marks(tag: str, attributes: str) -> str:
     return "|".join([tag, *parts])
 
 
-def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks in page order, with character references decoded and white space made one space; blank ones are left out."""
-    page = page or ""
+def blocks(page: str | None, memo: dict[tuple[str, str], str] | None = None) -> list[Block]:
+    """Leaf blocks in page order, with character references decoded and white space made one space; blank ones are left out. `memo` keeps what tags gave."""
+    page, memo = page or "", {} if memo is None or len(memo) > 100_000 else memo
     out: list[Block] = []
     tags: list[str] = []
     path: list[str] = []
@@ -139,7 +138,10 @@ def blocks(page: str | None) -> list[Block]:
         if tag in VOID:
             continue
         tags.append(tag)
-        path.append(_marks(tag, m[3]))
+        mark = memo.get((tag, m[3]))
+        if mark is None:
+            mark = memo[tag, m[3]] = _marks(tag, m[3])
+        path.append(mark)
         depth_a += tag == "a"
     close()
     return out
@@ -172,6 +174,7 @@ class Crf:
         self.weights, self.change, self.first = weights, change.tolist(), first.tolist()
         self.paths: dict[tuple[str, ...], float] = {}
         self.texts: dict[tuple[str, ...], float] = {}
+        self.memo: dict[tuple[str, str], str] = {}
 
     def score(self, b: Block) -> float:
         s = self.paths.get(b.path)
@@ -338,7 +341,7 @@ def default_model(pages: int = PAGES) -> Crf:
 
 
 def main_text(page: str | None, model: Crf) -> str:
-    bs = blocks(page)
+    bs = blocks(page, model.memo)
     return " ".join(b.text for b, s in zip(bs, model.decode(bs), strict=True) if s)
 
 
