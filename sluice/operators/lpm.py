@@ -28,25 +28,27 @@ def block_lengths(blocks: DataFrame) -> list[tuple[int, int]]:
     return sorted((r[0], r[1]) for r in blocks.where("_p IS NOT NULL").select("_p.family", "_p.plen").distinct().collect())
 
 
-def match_longest(observed: DataFrame, blocks: DataFrame, prefix: str = "prefix", block: str = "block", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Left join of `observed` with the longest block that contains its prefix: adds `block` and `keep` columns of the blocks.
+def match_longest(observed: DataFrame, blocks: DataFrame, prefix: str = "prefix", block: str = "block", keep: tuple[str, ...] = (), parsed_as: str | None = None) -> DataFrame:
+    """Left join of `observed` with the longest block that contains its prefix: adds `block`, the `keep` columns of the blocks and, under the name `parsed_as`, the parsed prefix of what matched.
 
-    Each distinct prefix is exploded to its ancestors of the lengths that blocks have, and joined by equality, so nothing is
+    Each distinct prefix is parsed once, exploded to its ancestors of the lengths that blocks have, and joined by equality, so nothing is
     compared pairwise. A supernet of a block does not match it; malformed prefixes match nothing.
     """
-    named = parsed(blocks.withColumn("_b", F.col(block)), "_b").where("_p IS NOT NULL")
+    # parsing what the aggregate gives keeps the parser above it: a filter on it would otherwise be pushed to every row
+    named = parsed(blocks.groupBy(F.col(block).alias("_b")).agg(F.min(F.struct(F.col(block), *keep)).alias("_v")), f"_v.{block}").where("_p IS NOT NULL")
     lengths = block_lengths(named)
-    side = named.groupBy("_p").agg(F.min(F.struct(F.col(block), *keep)).alias("_v"))
+    side = named.groupBy("_p").agg(F.min("_v").alias("_v"))
     pick = parsed(observed.select(prefix).distinct(), prefix)
-    pick = pick.select(prefix, F.explode(ancestors(F.col("_p"), lengths)).alias("_p"))
-    best = pick.join(side, "_p").groupBy(prefix).agg(F.max_by("_v", F.col("_p.plen")).alias("_v"))
-    clash = [c for c in (block, *keep) if c in observed.columns]
-    return observed.drop(*clash).join(best, prefix, "left").select(*[c for c in observed.columns if c not in clash], F.col(f"_v.{block}").alias(block), *[F.col(f"_v.{c}").alias(c) for c in keep])
+    pick = pick.select(prefix, F.col("_p").alias("_own"), F.explode(ancestors(F.col("_p"), lengths)).alias("_p"))
+    best = pick.join(side, "_p").groupBy(prefix).agg(F.max_by("_v", F.col("_p.plen")).alias("_v"), F.first("_own").alias("_own"))
+    added = [F.col(f"_v.{c}").alias(c) for c in (block, *keep)] + ([F.col("_own").alias(parsed_as)] if parsed_as else [])
+    kept = [c for c in observed.columns if c not in (block, *keep, parsed_as)]
+    return observed.select(*kept).join(best, prefix, "left").select(*kept, *added)
 
 
-def map_to_blocks(observed: DataFrame, blocks: DataFrame, prefix: str = "prefix", block: str = "block") -> DataFrame:
+def map_to_blocks(observed: DataFrame, blocks: DataFrame, prefix: str = "prefix", block: str = "block", parsed_as: str | None = None) -> DataFrame:
     """As `match_longest`, but a prefix in no block fails the job."""
-    out = match_longest(observed, blocks, prefix, block)
+    out = match_longest(observed, blocks, prefix, block, parsed_as=parsed_as)
     orphan = F.raise_error(F.concat(F.lit("prefix outside every block: "), F.col(prefix))).cast("string")
     return out.withColumn(block, F.when(F.col(block).isNull(), orphan).otherwise(F.col(block)))
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.net import masked, parse_prefix
 
-from .lpm import map_to_blocks, parsed
+from .lpm import map_to_blocks
 
 
 def with_parents(rows: DataFrame, keys: list[str], top: str) -> DataFrame:
@@ -42,8 +42,8 @@ def rollup_visibility(visibility: DataFrame, blocks: DataFrame, prefix: str = "p
     A prefix that repeats at a ts counts once, at its highest visibility, in the weighted sum; n_observed counts its rows. A block has addresses of one family,
     so (ts, block) and the masked words name a prefix.
     """
-    mapped = map_to_blocks(visibility, blocks, prefix, block)
-    own = parsed(mapped, prefix).groupBy("ts", block, "_p").agg(F.max("visibility").alias("visibility"), F.count("*").alias("_n"))
+    mapped = map_to_blocks(visibility, blocks, prefix, block, "_p")
+    own = mapped.groupBy("ts", block, "_p").agg(F.max("visibility").alias("visibility"), F.count("*").alias("_n"))
     own = own.withColumn("_top", parse_prefix(F.col(block))["plen"])
     parts = with_parents(own, ["ts", block], "_top")
     area = F.pow(F.lit(2.0), (F.col("_top") - F.col("_p.plen")).cast("double")) * (F.col("visibility") - F.col("v_parent"))
