@@ -74,27 +74,26 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.size(F.filter(both, lambda e: e)) / F.greatest(F.size(both), F.lit(1)))
 
 
-def with_next(docs: DataFrame, id: str, text: str, run: int = RUN) -> DataFrame:
-    """(_id, _text, _next, _run, _copy, _h): each row (_copy 0) with the text of the row that follows by id (after the last: the first).
-
-    Runs of `run` consecutive ids are ordered apart; the first row of each run is copied to the end of the run before.
-    Rows that repeat an id follow each other by their text. Null ids come first.
-    """
+def in_runs(docs: DataFrame, id: str, text: str, run: int = RUN) -> DataFrame:
+    """(_id, _text, _h, _run): rows in runs of `run` consecutive ids; null ids are a run of their own, the first."""
     rows = docs.select(F.col(id).alias("_id"), F.coalesce(text, F.lit("")).alias("_text"))
-    rows = rows.withColumn("_run", F.coalesce(F.floor(F.col("_id") / run), F.lit(-(1 << 53))))
-    runs = rows.groupBy("_run").agg(F.min(F.struct("_id", F.xxhash64("_text").alias("h"))).alias("first"))
-    order = Window.orderBy("_run")
-    runs = runs.select("first", F.lag("_run").over(order).alias("before"), F.max("_run").over(Window.partitionBy()).alias("last"))
-    runs = cut(runs.select(F.coalesce("before", "last").alias("_to"), F.coalesce(F.col("first._id"), F.lit(-1)).alias("_fid"), F.col("first._id").isNull().alias("_fnull"), F.col("first.h").alias("_fh")))
-    key = [F.coalesce(F.col("_id"), F.lit(-1)) == F.col("_fid"), F.col("_id").isNull() == F.col("_fnull"), F.xxhash64("_text") == F.col("_fh")]
-    heads = rows.join(runs, key).dropDuplicates(["_id", "_to"]).select(F.lit(None).cast("long").alias("_id"), "_text", F.col("_to").alias("_run"), F.lit(1).alias("_copy"))
-    both = rows.select("_id", "_text", "_run", F.lit(0).alias("_copy")).union(heads)
-    both = both.withColumn("_h", F.xxhash64("_text"))
-    return both.withColumn("_next", F.lead("_text").over(_up()))
+    return rows.withColumn("_h", F.xxhash64("_text")).withColumn("_run", F.coalesce(F.floor(F.col("_id") / run), F.lit(-(1 << 53))))
 
 
-def _up():
-    return Window.partitionBy("_run").orderBy("_copy", F.col("_id").asc_nulls_first(), "_h")
+def with_next(rows: DataFrame, value: str, into: str) -> DataFrame:
+    """`rows` (_id, _h, _run and a `value` that is never null) with the value of the row that follows by id (after the last: the first).
+
+    Rows that repeat an id follow each other by the hash of their text. Each run is ordered apart; the last row of a run
+    gets the first value of the next, by a join of one row per run. The three readings of the ordered runs share one shuffle.
+    """
+    order = Window.partitionBy("_run").orderBy(F.col("_id").asc_nulls_first(), "_h")
+    placed = rows.withColumn(into, F.lead(value).over(order)).withColumn("_before", F.lag("_h").over(order))
+    along = Window.orderBy("_run")
+    runs = rows.select("_run").distinct().select("_run", F.coalesce(F.lag("_run").over(along), F.max("_run").over(Window.partitionBy())).alias("_to"))
+    heads = placed.where("_before IS NULL").select("_run", F.col(value).alias("_head")).join(cut(runs), "_run").select(F.col("_to").alias("_run"), "_head")
+    inner = placed.where(F.col(into).isNotNull()).select(*rows.columns, into)
+    last = placed.where(F.col(into).isNull()).select(*rows.columns).join(heads, "_run")
+    return inner.unionByName(last.select(*rows.columns, F.col("_head").alias(into)))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", into: str = "fingerprint") -> DataFrame:
@@ -111,13 +110,13 @@ def compare(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     empty. Other columns are not read. A single row is its own next document.
     """
     lex = lexicon(docs, text)
-    rows = with_next(docs, id, text)
+    rows = with_next(in_runs(docs, id, text), "_text", "_next")
     n = F.length("_text")
     q = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("_text"), F.lit(1), n - q), F.substring(F.col("_next"), F.lit(1), q))
-    rows = rows.select("_run", "_copy", "_id", "_h", n.cast("long").alias("n_chars"), "_text", F.coalesce(edited, F.lit("")).alias("_edited"))
+    rows = rows.select("_run", "_id", "_h", n.cast("long").alias("n_chars"), "_text", F.coalesce(edited, F.lit("")).alias("_edited"))
     rows = with_fingerprint(with_fingerprint(rows, "_text", lex, "fingerprint"), "_edited", lex, "edited_fingerprint")
-    rows = rows.select("_run", "_copy", "_id", "_h", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint")
-    rows = rows.withColumn("_fn", F.lead("fingerprint").over(_up())).where("_copy = 0")
+    rows = cut(rows.select("_run", "_id", "_h", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint"))
+    rows = with_next(rows, "fingerprint", "_fn")
     near = [likeness(F.col("fingerprint"), F.col(c)).alias(into) for c, into in (("edited_fingerprint", "near_edited"), ("_fn", "near_next"))]
     return rows.select(F.col("_id").alias(id), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near)
