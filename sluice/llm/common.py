@@ -44,6 +44,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def whole_texts(spark: SparkSession) -> None:
+    """Hand Python at most 1,000 rows at once, for rows are whole texts; a session that asks for fewer keeps its setting."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= 1000:
+        spark.conf.set(key, "1000")
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, spread: Column) -> DataFrame:
     """Left join of `left` with `right` (one row per `key`), safe when one key holds a large part of `left`.
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, cut, hide, shown
+from .common import bitmap, cut, hide, shown, whole_texts
 from .hashing import rolling
 
 K = 8
@@ -45,7 +45,7 @@ _NUM, _UNI, _NAME = np.uint64(8), np.uint64(16), np.uint64(24)
 class Canon:
     """Texts to canonical words: 64-bit ids, of which _NUM, _UNI and _NAME are placeholders."""
 
-    def __init__(self, most: int = 600_000) -> None:
+    def __init__(self, most: int = 250_000) -> None:
         self.most, self.known = most, {}
 
     @staticmethod
@@ -78,15 +78,17 @@ class Canon:
         at = np.flatnonzero(keep)
         return ids[at], at, tokens
 
-    def windows(self, text: str | None, width: int) -> tuple[np.ndarray, np.ndarray, tuple]:
-        """(hashes, positions, canonical text) of the windows with at least FIRM words that are no placeholder."""
-        canon = self(text)
-        ids = canon[0]
-        if len(ids) < width:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), canon
-        firm = np.cumsum(np.r_[0, ids >= 32])
-        at = np.flatnonzero(firm[width:] - firm[:-width] >= FIRM)
-        return rolling(ids, width)[at], at, canon
+
+def windows(ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) of the windows with at least FIRM words that are no placeholder."""
+    if len(ids) < width:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    hashes, names = rolling(ids, width), ids < 32
+    if not names.any():
+        return hashes, np.arange(len(hashes))
+    firm = np.cumsum(np.r_[0, ~names])
+    at = np.flatnonzero(firm[width:] - firm[:-width] >= FIRM)
+    return hashes[at], at
 
 
 def slots(canon: tuple, start: int, width: int) -> list[str]:
@@ -113,9 +115,10 @@ def item_windows(bench: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for item, text in zip(batch["_item"], batch["_text"], strict=True):
-                width = min(K, len(canon(text)[0]))
+                whole = canon(text)
+                width = min(K, len(whole[0]))
                 if width >= LEAST:
-                    hashes, at, whole = canon.windows(text, width)
+                    hashes, at = windows(whole[0], width)
                     rows += [(item, len(hashes), width, h, p, slots(whole, p, width)) for h, p in zip(hashes.view(np.int64).tolist(), at.tolist(), strict=True)]
             yield pd.DataFrame(rows, columns=["item", "n", "width", "hash", "pos", "want"])
 
@@ -132,8 +135,9 @@ def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for row, text in zip(batch["_row"], batch["_text"], strict=True):
+                whole = canon(text)
                 for width in widths:
-                    hashes, at, whole = canon.windows(text, width)
+                    hashes, at = windows(whole[0], width)
                     b = (hashes & mask).astype(np.int64)
                     for i in np.flatnonzero((bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1):
                         rows.append((row, int(hashes[i].view(np.int64)), int(at[i]), slots(whole, int(at[i]), width)))
@@ -147,9 +151,10 @@ def leaks(docs: DataFrame, bench: DataFrame, id: str = "doc_id", text: str = "te
 
     A document holds an item when `coverage` of the item's windows, or `run` windows in a row, stand in it and
     `consistent` of the item's slot values stand for one value each. verbatim: all slot values are the item's own. Null and empty texts,
-    and items of fewer than LEAST canonical words, match nothing. Rows that repeat an id count apart (by _row); of items that repeat an id, the windows are
+    items without an id, and items of fewer than LEAST canonical words, match nothing. Rows that repeat an id count apart (by _row); of items that repeat an id, the windows are
     pooled. Other columns are not read.
     """
+    whole_texts(docs.sparkSession)
     docs = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
     items = cut(item_windows(bench.select(F.col(item).alias("_item"), F.col(text).alias("_text")).where("_item IS NOT NULL")))
     hits = cut(_hits(docs.select("_row", "_text"), items).join(items, "hash"))

@@ -18,7 +18,7 @@ def lower_words(text: str | None) -> list[bytes]:
 class Words:
     """64-bit ids of words, the same in every process. Keeps those it has seen, up to `most`."""
 
-    def __init__(self, most: int = 600_000) -> None:
+    def __init__(self, most: int = 250_000) -> None:
         self.most, self.known = most, {}
 
     def ids(self, words: list[bytes]) -> np.ndarray:

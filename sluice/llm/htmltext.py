@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import whole_texts
+
 PAGES = 300
 
 # Fixed values of HTML: elements that have no content, that form blocks, and whose content is no text of the page.
@@ -351,6 +353,7 @@ def extract(pages: DataFrame, html: str = "html", model: Crf | None = None, into
     Columns of those names are replaced; rows that repeat are extracted alike. Pages of any length are parsed whole, in time linear in
     their length.
     """
+    whole_texts(pages.sparkSession)
     model = model or default_model()
     parts = model.weights, np.array(model.change), np.array(model.first)
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitmap, cut, hide, shown
+from .common import bitmap, cut, hide, shown, whole_texts
 from .hashing import Words, lower_words, mix, rolling
 
 K = 5
@@ -270,6 +270,7 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = K, ho
     their own. A null id counts as larger than any other and is a component's id only if all are null. `docs` must be the same when it is read again, as a scan
     of files is. Columns other than id and text are not read.
     """
+    whole_texts(docs.sparkSession)
     docs = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
     by_sig = Window.partitionBy("sig")
     rows = _emit(docs, k).withColumn("c", F.count("*").over(by_sig)).withColumn("rep", F.when(F.col("n").isNotNull(), F.min("_row").over(by_sig)))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitmap, cut, lookup
+from .common import bitmap, cut, lookup, whole_texts
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on either side of an entity that count as its context.
@@ -143,7 +143,7 @@ def frequencies(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
                     for w in set(_TERM.findall(t.lower())):
                         hit = known.get(w)
                         if hit is None:
-                            if len(known) > 500_000:
+                            if len(known) > 200_000:
                                 known.clear()
                             hit = known[w] = flags[zlib.crc32(w.encode()) & mask]
                         if hit:
@@ -165,6 +165,7 @@ def sanitise(docs: DataFrame, id: str = "doc_id", text: str = "text", support: i
     disclose an entity of the same document. Null and empty texts have no spans. Rows that repeat are each a document. `docs` must be the same
     when it is read again, as a scan of files is. Columns other than id and text are not read.
     """
+    whole_texts(docs.sparkSession)
     found = cut(scan(docs, text, [id]))
     near = found.select("_row", F.explode("near").alias("x")).select("_row", "x.*").withColumn("pair", F.concat_ws("\u0001", "entity", "term"))
     pairs = near.groupBy("pair").agg(F.first("entity").alias("entity"), F.first("term").alias("term"), F.count("*").alias("both")).where(F.col("both") >= support)

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import whole_texts
+
 #: Bounds of the training samples.
 MOST_P, MOST_U = 4000, 12_000
 BITS = 20
@@ -143,7 +145,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
             for w in set(_WORD.findall((t or "").lower())):
                 f = memo.get(w)
                 if f is None:
-                    if len(memo) > 400_000:
+                    if len(memo) > 150_000:
                         memo.clear()
                     f = memo[w] = tuple(x for x in features(w) if x in table)
                 if f:
@@ -160,6 +162,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
     Labels of held-out rows are never read. Without toxic labels every score is the same, below one half. Null, empty and
     repeated texts score like any other, equal texts alike; no rows in, no rows out. Columns of those names are replaced.
     """
+    whole_texts(docs.sparkSession)
     docs = docs.drop("held_out", "score", "predicted")
     out = score(docs, fit(docs, labels, id, text), text)
     return out.withColumn("held_out", fold(F.col(id)) == 1).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
