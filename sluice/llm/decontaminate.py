@@ -3,6 +3,7 @@
 Numbers, units and names become typed placeholders, so that a question and a copy with other figures or people have one template. Windows of
 K canonical words of every document are hash-joined to those of the benchmark; where enough of an item is found, its slots are compared:
 each value of the item must stand for one value of the document throughout. Then the copy is the same question, verbatim or re-parameterised.
+A document may hold an item more than once, or several items of one template, with other values each time: slots are compared occurrence by occurrence.
 
 One scan of whole texts emits only windows whose hash passes a bitmap of fixed size built from the benchmark; the join with
 the benchmark's windows, which is exact, follows on those few rows.
@@ -104,11 +105,11 @@ def slots(canon: tuple, start: int, width: int) -> list[str]:
     return out
 
 
-_ITEMS = "item long, n int, width int, hash long, pos int, want array<string>"
+_ITEMS = "item long, n int, length int, width int, hash long, pos int, want array<string>"
 
 
 def item_windows(bench: DataFrame) -> DataFrame:
-    """A row per window of each item (columns _item and _text): its hash, position and slot values, and the item's number of windows."""
+    """A row per window of each item (columns _item and _text): its hash, position and slot values, and the item's numbers of windows and of canonical words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         canon = Canon()
@@ -119,8 +120,8 @@ def item_windows(bench: DataFrame) -> DataFrame:
                 width = min(K, len(whole[0]))
                 if width >= LEAST:
                     hashes, at = windows(whole[0], width)
-                    rows += [(item, len(hashes), width, h, p, slots(whole, p, width)) for h, p in zip(hashes.view(np.int64).tolist(), at.tolist(), strict=True)]
-            yield pd.DataFrame(rows, columns=["item", "n", "width", "hash", "pos", "want"])
+                    rows += [(item, len(hashes), len(whole[0]), width, h, p, slots(whole, p, width)) for h, p in zip(hashes.view(np.int64).tolist(), at.tolist(), strict=True)]
+            yield pd.DataFrame(rows, columns=["item", "n", "length", "width", "hash", "pos", "want"])
 
     return bench.select("_item", "_text").mapInPandas(run, _ITEMS)
 
@@ -146,28 +147,48 @@ def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, "_row long, hash long, at int, got array<string>")
 
 
+def _occurrences(hits: DataFrame) -> DataFrame:
+    """`hits` with the occurrence `occ` of the item that each belongs to, in three readings where hits lie on several shifts (`at` - `pos`).
+
+    An occurrence is what lies on one shift; or on shifts less than half an item apart (words put in or left out), as
+    occurrences side by side are a whole item apart; or all of the document (an item in pieces far apart).
+    """
+    of = Window.partitionBy("_row", "item")
+    hits = hits.withColumn("shift", F.col("at") - F.col("pos"))
+    fresh = (F.col("shift") - F.lag("shift").over(of.orderBy("shift")) >= F.greatest(F.lit(2), F.col("length") / 2)).cast("int")
+    hits = hits.withColumn("_fresh", F.coalesce(fresh, F.lit(0))).withColumn("_near", F.sum("_fresh").over(of.orderBy("shift")))
+    hits = hits.withColumn("_one", F.min("shift").over(of) == F.max("shift").over(of))
+    part = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.cast("long").alias("key"))
+    whole = part("whole", F.lit(0))
+    parts = F.when(F.col("_one"), F.array(whole)).otherwise(F.array(part("shift", F.col("shift")), part("near", F.col("_near")), whole))
+    return hits.withColumn("occ", F.explode(parts)).drop("_fresh", "_near", "_one")
+
+
 def leaks(docs: DataFrame, bench: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", coverage: float = COVERAGE, run: int = RUN, consistent: float = CONSISTENT) -> DataFrame:
     """(_row, id, item, windows, of_windows, coverage, longest, n_slots, n_consistent, verbatim): the documents that hold an item of the benchmark.
 
-    A document holds an item when `coverage` of the item's windows, or `run` windows in a row, stand in it and
-    `consistent` of the item's slot values stand for one value each. verbatim: all slot values are the item's own. Null and empty texts,
+    A document holds an item when in one occurrence `coverage` of the item's windows, or `run` windows in a row, stand in it and
+    `consistent` of the item's slot values stand for one value each. Of several such occurrences the row gives that with the largest
+    coverage, verbatim ones first. verbatim: all slot values are the item's own. Null and empty texts,
     items without an id, and items of fewer than LEAST canonical words, match nothing. Rows that repeat an id count apart (by _row); of items that repeat an id, the windows are
     pooled. Other columns are not read.
     """
     whole_texts(docs.sparkSession)
     docs = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
     items = cut(item_windows(bench.select(F.col(item).alias("_item"), F.col(text).alias("_text")).where("_item IS NOT NULL")))
-    hits = cut(_hits(docs.select("_row", "_text"), items).join(items, "hash"))
-    spots = hits.groupBy("_row", "item", (F.col("at") - F.col("pos")).alias("shift"), "pos").agg(F.max("n").alias("n"))
-    islands = spots.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("_row", "item", "shift").orderBy("pos")))
-    runs = islands.groupBy("_row", "item", "shift", "run").agg(F.count("*").alias("k")).groupBy("_row", "item").agg(F.max("k").alias("longest"))
-    found = spots.select("_row", "item", "pos", "n").distinct().groupBy("_row", "item").agg(F.count("*").alias("windows"), F.max("n").alias("of_windows"))
-    values = hits.select("_row", "item", F.explode(F.arrays_zip("want", "got")).alias("v")).groupBy("_row", "item", "v.want").agg(F.min("v.got").alias("lo"), F.max("v.got").alias("hi"))
-    agree = values.groupBy("_row", "item").agg(F.count("*").alias("n_slots"), F.count_if(F.col("lo") == F.col("hi")).alias("n_consistent"), F.count_if((F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("want"))).alias("same"))
-    out = found.join(runs, ["_row", "item"]).join(agree, ["_row", "item"], "left").fillna(0, ["n_slots", "n_consistent", "same"])
+    hits = cut(_occurrences(_hits(docs.select("_row", "_text"), items).join(items, "hash")))
+    place = ["_row", "item", "occ"]
+    spots = hits.groupBy(*place, "shift", "pos").agg(F.max("n").alias("n"))
+    islands = spots.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy(*place, "shift").orderBy("pos")))
+    runs = islands.groupBy(*place, "shift", "run").agg(F.count("*").alias("k")).groupBy(*place).agg(F.max("k").alias("longest"))
+    found = spots.select(*place, "pos", "n").distinct().groupBy(*place).agg(F.count("*").alias("windows"), F.max("n").alias("of_windows"))
+    values = hits.select(*place, F.explode(F.arrays_zip("want", "got")).alias("v")).groupBy(*place, "v.want").agg(F.min("v.got").alias("lo"), F.max("v.got").alias("hi"))
+    agree = values.groupBy(*place).agg(F.count("*").alias("n_slots"), F.count_if(F.col("lo") == F.col("hi")).alias("n_consistent"), F.count_if((F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("want"))).alias("same"))
+    out = found.join(runs, place).join(agree, place, "left").fillna(0, ["n_slots", "n_consistent", "same"])
     out = out.withColumn("coverage", F.col("windows") / F.col("of_windows")).withColumn("verbatim", F.col("same") == F.col("n_slots"))
     out = out.where(((F.col("coverage") >= coverage) | (F.col("longest") >= run)) & (F.col("n_consistent") >= F.lit(consistent) * F.col("n_slots")))
-    out = cut(out.drop("same"))
+    best = Window.partitionBy("_row", "item").orderBy(F.desc("coverage"), F.desc("verbatim"), F.desc("longest"), F.desc("n_slots"), F.desc("n_consistent"), "occ")
+    out = cut(out.withColumn("_best", F.row_number().over(best)).where("_best = 1").drop("same", "occ", "_best"))
     named = docs.select("_row", "_id").join(out, "_row")
     return named.select("_row", F.col("_id").alias(id), F.col("item").alias(item), *[F.col(c).cast("long") for c in ("windows", "of_windows")], "coverage", F.col("longest").cast("long"), F.col("n_slots").cast("long"), F.col("n_consistent").cast("long"), "verbatim")
 

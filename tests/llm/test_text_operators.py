@@ -147,6 +147,21 @@ def test_parameters_and_names_may_change(spark, tmp_path, words):
     assert decontaminate.decontaminate(saved(spark, tmp_path, []), bench).count() == 0
 
 
+def test_each_occurrence_of_an_item_counts_by_itself(spark, tmp_path, words):
+    """A copy stays found beside others of its template, in one document or one benchmark."""
+    other = ITEM.replace("Anna Smith", "Boris").replace("12", "7").replace("30", "99").replace(" 4 ", " 18 ")
+    third = ITEM.replace("Anna Smith", "Carla").replace("12", "5").replace("30", "61").replace(" 4 ", " 28 ")
+    broken = [other.replace("Boris gives 7", "Carla gives 3"), third.replace("Carla gives 5", "Boris gives 2")]
+    bench = make(spark, [(7, ITEM), (8, other)], "item_id long, text string")
+    gap = " ".join(words(30, 60))
+    loose = ITEM.replace("at the market", "at the very big market")
+    rows = [(1, f"{gap}. {ITEM} {gap}. {other} {gap}"), (2, f"{other} {third}"), (3, f"{ITEM} {ITEM}"), (4, f"{broken[0]} {gap}. {broken[1]}"), (5, f"{loose} {gap}. {third}"), (6, ITEM.replace("dollars each", f"dollars {gap} each"))]
+    out = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(saved(spark, tmp_path, rows), bench).collect()}
+    assert set(out) == {(d, i) for d in (1, 2, 3, 5, 6) for i in (7, 8)}
+    assert {k for k, r in out.items() if r.verbatim and r.coverage == 1} == {(1, 7), (1, 8), (2, 8), (3, 7)}
+    assert all(r.n_consistent >= 0.8 * r.n_slots > 0 for r in out.values())
+
+
 def test_leaks_of_the_driver_tables(spark):
     """Verbatim passages, found by brute force over all documents."""
     sf = "/root/testdata/sf0.001"
