@@ -5,6 +5,8 @@ K canonical words of every document are hash-joined to those of the benchmark; w
 each value of the item must stand for one value of the document throughout. Then the copy is the same question, verbatim or re-parameterised.
 A document may hold an item more than once, or several items of one template, with other values each time: slots are compared occurrence by occurrence.
 
+Items too poor in words for templates (short, or mostly figures) are matched verbatim instead: all their tokens in a row, figures and signs included.
+
 One scan of whole texts emits only windows whose hash passes a bitmap of fixed size built from the benchmark; the join with
 the benchmark's windows, which is exact, follows on those few rows.
 """
@@ -22,10 +24,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bitmap, cut, hide, shown, whole_texts
-from .hashing import rolling
+from .hashing import Words, mix, rolling
 
 K = 8
-#: Items with fewer canonical words than this are not searched for.
+#: Items with fewer canonical words than this, or without a firm window, are searched for verbatim.
 LEAST = 4
 #: Words other than placeholders that a window must have.
 FIRM = 3
@@ -39,6 +41,7 @@ UNITS = frozenset(
     "% percent km m cm mm mi mile miles foot feet ft inch inches yard yards kg g mg lb lbs pound pounds ounce ounces oz ton tons tonne tonnes l ml liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros degree degrees kb mb gb tb bytes watt watts volt volts joule joules newton newtons hz khz mhz ghz kmh mph".split()
 )
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[%.!?\n]")
+_SIGN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|\S")
 _WORD, _NUMBER, _CAPITAL, _STOP, _UNIT = range(5)
 _NUM, _UNI, _NAME = np.uint64(8), np.uint64(16), np.uint64(24)
 
@@ -105,43 +108,68 @@ def slots(canon: tuple, start: int, width: int) -> list[str]:
     return out
 
 
-_ITEMS = "item long, n int, length int, width int, hash long, pos int, want array<string>"
+class Verbatim:
+    """Texts to ids of all their tokens (words in lower case, numbers, single signs), hashed apart from those of Canon."""
+
+    def __init__(self) -> None:
+        self.words = Words()
+
+    def __call__(self, text: str | None, bare: bool = False) -> np.ndarray:
+        """`bare`: without signs at either end, unless there is nothing else."""
+        tokens = _SIGN.findall((text or "").lower())
+        if bare:
+            word = [k for k, t in enumerate(tokens) if t[0].isalnum()]
+            tokens = tokens[word[0] : word[-1] + 1] if word else tokens
+        return mix(self.words.ids([t.encode("utf-8", "surrogatepass") for t in tokens]))
+
+
+_ITEMS = "item long, n int, length int, exact boolean, width int, hash long, pos int, want array<string>"
 
 
 def item_windows(bench: DataFrame) -> DataFrame:
     """A row per window of each item (columns _item and _text): its hash, position and slot values, and the item's numbers of windows and of canonical words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        canon = Canon()
+        canon, verbatim = Canon(), Verbatim()
         for batch in batches:
             rows = []
             for item, text in zip(batch["_item"], batch["_text"], strict=True):
                 whole = canon(text)
                 width = min(K, len(whole[0]))
-                if width >= LEAST:
-                    hashes, at = windows(whole[0], width)
-                    rows += [(item, len(hashes), len(whole[0]), width, h, p, slots(whole, p, width)) for h, p in zip(hashes.view(np.int64).tolist(), at.tolist(), strict=True)]
-            yield pd.DataFrame(rows, columns=["item", "n", "length", "width", "hash", "pos", "want"])
+                hashes, at = windows(whole[0], width) if width >= LEAST else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                if len(hashes):
+                    rows += [(item, len(hashes), len(whole[0]), False, width, h, p, slots(whole, p, width)) for h, p in zip(hashes.view(np.int64).tolist(), at.tolist(), strict=True)]
+                else:
+                    ids = verbatim(text, bare=True)
+                    hashes = rolling(ids, K)
+                    rows += [(item, len(hashes), len(ids), True, min(K, len(ids)), h, p, []) for p, h in enumerate(hashes.view(np.int64).tolist())]
+            yield pd.DataFrame(rows, columns=["item", "n", "length", "exact", "width", "hash", "pos", "want"])
 
     return bench.select("_item", "_text").mapInPandas(run, _ITEMS)
 
 
 def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Windows of documents (columns _row and _text) whose hash may be one of `items`."""
-    widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most K values
+    sorts = sorted((r[0], r[1]) for r in items.select("exact", "width").distinct().collect())  # at most 2 K values
+    exact = any(e for e, _ in sorts)
     bits = np.frombuffer(bitmap(items, "hash", BITS), np.uint8)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        canon, mask = Canon(), np.uint64((1 << BITS) - 1)
+        canon, verbatim, mask = Canon(), Verbatim(), np.uint64((1 << BITS) - 1)
         for batch in batches:
             rows = []
             for row, text in zip(batch["_row"], batch["_text"], strict=True):
                 whole = canon(text)
-                for width in widths:
-                    hashes, at = windows(whole[0], width)
+                ids = verbatim(text) if exact else None
+                for own, width in sorts:
+                    if own:
+                        hashes = rolling(ids, width) if len(ids) >= width else ids[:0]
+                        at = np.arange(len(hashes))
+                    else:
+                        hashes, at = windows(whole[0], width)
                     b = (hashes & mask).astype(np.int64)
                     for i in np.flatnonzero((bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1):
-                        rows.append((row, int(hashes[i].view(np.int64)), int(at[i]), slots(whole, int(at[i]), width)))
+                        rows.append((row, int(hashes[i].view(np.int64)), int(at[i]), [] if own else slots(whole, int(at[i]), width)))
             yield pd.DataFrame(rows, columns=["_row", "hash", "at", "got"])
 
     return docs.mapInPandas(run, "_row long, hash long, at int, got array<string>")
@@ -151,7 +179,8 @@ def _occurrences(hits: DataFrame) -> DataFrame:
     """`hits` with the occurrence `occ` of the item that each belongs to, in three readings where hits lie on several shifts (`at` - `pos`).
 
     An occurrence is what lies on one shift; or on shifts less than half an item apart (words put in or left out), as
-    occurrences side by side are a whole item apart; or all of the document (an item in pieces far apart).
+    occurrences side by side are a whole item apart; or all of the document (an item in pieces far apart). A verbatim
+    item's lies on one shift.
     """
     of = Window.partitionBy("_row", "item")
     hits = hits.withColumn("shift", F.col("at") - F.col("pos"))
@@ -160,7 +189,7 @@ def _occurrences(hits: DataFrame) -> DataFrame:
     hits = hits.withColumn("_one", F.min("shift").over(of) == F.max("shift").over(of))
     part = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.cast("long").alias("key"))
     whole = part("whole", F.lit(0))
-    parts = F.when(F.col("_one"), F.array(whole)).otherwise(F.array(part("shift", F.col("shift")), part("near", F.col("_near")), whole))
+    parts = F.when(F.col("exact"), F.array(part("exact", F.col("shift")))).when(F.col("_one"), F.array(whole)).otherwise(F.array(part("shift", F.col("shift")), part("near", F.col("_near")), whole))
     return hits.withColumn("occ", F.explode(parts)).drop("_fresh", "_near", "_one")
 
 
@@ -169,8 +198,9 @@ def leaks(docs: DataFrame, bench: DataFrame, id: str = "doc_id", text: str = "te
 
     A document holds an item when in one occurrence `coverage` of the item's windows, or `run` windows in a row, stand in it and
     `consistent` of the item's slot values stand for one value each. Of several such occurrences the row gives that with the largest
-    coverage, verbatim ones first. verbatim: all slot values are the item's own. Null and empty texts,
-    items without an id, and items of fewer than LEAST canonical words, match nothing. Rows that repeat an id count apart (by _row); of items that repeat an id, the windows are
+    coverage, verbatim ones first. verbatim: all slot values are the item's own. Items of fewer than LEAST canonical words or without a
+    window of FIRM words have no template: all their tokens must stand in a row (case and signs at the ends aside), and they have no slots; so an item of one word is held by all
+    documents with that word. Null and empty texts, and items without an id, match nothing. Rows that repeat an id count apart (by _row); of items that repeat an id, the windows are
     pooled. Other columns are not read.
     """
     whole_texts(docs.sparkSession)
@@ -178,17 +208,18 @@ def leaks(docs: DataFrame, bench: DataFrame, id: str = "doc_id", text: str = "te
     items = cut(item_windows(bench.select(F.col(item).alias("_item"), F.col(text).alias("_text")).where("_item IS NOT NULL")))
     hits = cut(_occurrences(_hits(docs.select("_row", "_text"), items).join(items, "hash")))
     place = ["_row", "item", "occ"]
-    spots = hits.groupBy(*place, "shift", "pos").agg(F.max("n").alias("n"))
+    spots = hits.groupBy(*place, "shift", "pos").agg(F.max("n").alias("n"), F.bool_or("exact").alias("exact"))
     islands = spots.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy(*place, "shift").orderBy("pos")))
     runs = islands.groupBy(*place, "shift", "run").agg(F.count("*").alias("k")).groupBy(*place).agg(F.max("k").alias("longest"))
-    found = spots.select(*place, "pos", "n").distinct().groupBy(*place).agg(F.count("*").alias("windows"), F.max("n").alias("of_windows"))
+    found = spots.select(*place, "pos", "n", "exact").distinct().groupBy(*place).agg(F.count("*").alias("windows"), F.max("n").alias("of_windows"), F.bool_or("exact").alias("exact"))
     values = hits.select(*place, F.explode(F.arrays_zip("want", "got")).alias("v")).groupBy(*place, "v.want").agg(F.min("v.got").alias("lo"), F.max("v.got").alias("hi"))
     agree = values.groupBy(*place).agg(F.count("*").alias("n_slots"), F.count_if(F.col("lo") == F.col("hi")).alias("n_consistent"), F.count_if((F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("want"))).alias("same"))
     out = found.join(runs, place).join(agree, place, "left").fillna(0, ["n_slots", "n_consistent", "same"])
     out = out.withColumn("coverage", F.col("windows") / F.col("of_windows")).withColumn("verbatim", F.col("same") == F.col("n_slots"))
-    out = out.where(((F.col("coverage") >= coverage) | (F.col("longest") >= run)) & (F.col("n_consistent") >= F.lit(consistent) * F.col("n_slots")))
+    enough = F.when(F.col("exact"), F.col("windows") >= F.col("of_windows")).otherwise((F.col("coverage") >= coverage) | (F.col("longest") >= run))
+    out = out.where(enough & (F.col("n_consistent") >= F.lit(consistent) * F.col("n_slots")))
     best = Window.partitionBy("_row", "item").orderBy(F.desc("coverage"), F.desc("verbatim"), F.desc("longest"), F.desc("n_slots"), F.desc("n_consistent"), "occ")
-    out = cut(out.withColumn("_best", F.row_number().over(best)).where("_best = 1").drop("same", "occ", "_best"))
+    out = cut(out.withColumn("_best", F.row_number().over(best)).where("_best = 1").drop("same", "exact", "occ", "_best"))
     named = docs.select("_row", "_id").join(out, "_row")
     return named.select("_row", F.col("_id").alias(id), F.col("item").alias(item), *[F.col(c).cast("long") for c in ("windows", "of_windows")], "coverage", F.col("longest").cast("long"), F.col("n_slots").cast("long"), F.col("n_consistent").cast("long"), "verbatim")
 

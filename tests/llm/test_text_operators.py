@@ -162,6 +162,16 @@ def test_each_occurrence_of_an_item_counts_by_itself(spark, tmp_path, words):
     assert all(r.n_consistent >= 0.8 * r.n_slots > 0 for r in out.values())
 
 
+def test_items_of_figures_are_found_verbatim(spark, tmp_path, words):
+    """Items without a window of firm words, and short ones."""
+    bench = make(spark, [(1, "What is 12 * 8?"), (2, "Compute 17 + 26 - 9"), (3, "Add 3, 5, 7, 9, 11, 13, 15 and 17"), (4, "Define entropy."), (5, ""), (6, "?!"), (7, None)], "item_id long, text string")
+    f = " ".join(words(20, 70))
+    texts = [f"{f}. What is 12*8? {f}", f"{f} compute 17 + 26 - 9, {f}", f"{f} Add 3, 5, 7, 9, 11, 13, 15 and 17. {f}", "define Entropy", f"What is 12 + 8? Compute 17 + 26 - 8. Add 3, 5, 7, 9, 11, 13, 15 and 18 {f}", "Add 3, 5, 7, 9, 11, 13, 15. Compute 17 + 26, then 5, 7, 9, 11, 13, 15 and 17", "", None, "define. Entropy"]
+    out = decontaminate.leaks(saved(spark, tmp_path, list(enumerate(texts, 1))), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in out) == [(1, 1), (2, 2), (3, 3), (4, 4)]
+    assert all(r.verbatim and r.coverage == 1 and r.n_slots == 0 for r in out)
+
+
 def test_leaks_of_the_driver_tables(spark):
     """Verbatim passages, found by brute force over all documents."""
     sf = "/root/testdata/sf0.001"
