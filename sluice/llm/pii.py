@@ -4,10 +4,12 @@ Base entities (e-mail, ip, card, phone) are found by pattern. Beyond them, terms
 entity: over the corpus, a term t discloses an entity e when their pointwise mutual information reaches a share of what e itself
 says, PMI(t; e) >= IC(e) / alpha with IC(e) = -log2 p(e). That is log2 p(e|t) >= IC(e) * (1 / alpha - 1). p(e|t) comes from
 counts over all documents: in how many t stands within WINDOW words of e, and in how many it stands at all. Documents
-that mention e then have such terms removed, or generalised, besides e itself.
+that mention e then have such terms removed, or generalised, wherever they stand in them, besides e itself. Only terms that stand beside
+e in at least SUPPORT documents are judged, so an entity of fewer documents has none.
 
 One scan finds entities and their surroundings; a second counts, over every text, the terms that passed the
-support threshold. Those are known to the scan by a bitmap of fixed size, whose false positives an exact join removes.
+support threshold; a third looks through the whole of the texts with entities for the terms that disclose one of theirs. Terms are
+known to the scans by bitmaps of fixed size, whose false positives an exact join removes.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -158,11 +160,47 @@ def frequencies(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     return docs.select(F.col(text).alias("t")).mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def occurrences(text: str, spans: list[tuple[int, int, int]], wanted: Callable[[str], bool]) -> dict[str, list[int]]:
+    """{term: [start, end, ...]} for all `wanted` terms of the text outside its entities."""
+    found: dict[str, list[int]] = {}
+    at = 0
+    for start, _, end in [*spans, (len(text), 0, len(text))]:
+        for m in _TERM.finditer(text, at, start) if at < start else ():
+            if wanted(term := m[0].lower()):
+                found.setdefault(term, []).extend(m.span())
+        at = max(at, end)
+    return found
+
+
+def everywhere(docs: DataFrame, text: str, disclosing: DataFrame) -> DataFrame:
+    """(_row, pair, at): where in the texts that mention an entity terms stand that may be `disclosing` (term and pair) it."""
+    crc = lambda c: disclosing.select(F.crc32(F.col(c).cast("binary")).alias("h"))
+    of_term, of_pair = (np.frombuffer(bitmap(crc(c), "h", BITS), np.uint8) for c in ("term", "pair"))
+    mask = (1 << BITS) - 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        terms, pairs = (np.unpackbits(b, bitorder="little").tobytes() for b in (of_term, of_pair))
+        for batch in batches:
+            rows = []
+            for row, t in zip(batch["_row"], batch["_text"], strict=True):
+                spans = find(t or "")
+                if spans:
+                    stand = occurrences(t, spans, lambda w: terms[zlib.crc32(w.encode()) & mask])
+                    for e in {f"{KINDS[k]}:{t[s:e].lower()}" for s, k, e in spans} if stand else ():
+                        for w, at in stand.items():
+                            pair = f"{e}\u0001{w}"
+                            if pairs[zlib.crc32(pair.encode()) & mask]:
+                                rows.append((row, pair, at))
+            yield pd.DataFrame(rows, columns=["_row", "pair", "at"])
+
+    return docs.select(F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text")).mapInPandas(run, "_row long, pair string, at array<int>")
+
+
 def sanitise(docs: DataFrame, id: str = "doc_id", text: str = "text", support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
     """One row per document: id, n_email, n_ip, n_card, n_phone, `base_sha256`, `spans`.
 
     spans lists kind:start:end (code points, end exclusive) by start, then kind; kind `term` marks the terms that
-    disclose an entity of the same document. Null and empty texts have no spans. Rows that repeat are each a document. `docs` must be the same
+    disclose an entity of the same document, at all their places in it. Null and empty texts have no spans. Rows that repeat are each a document. `docs` must be the same
     when it is read again, as a scan of files is. Columns other than id and text are not read.
     """
     whole_texts(docs.sparkSession)
@@ -176,8 +214,10 @@ def sanitise(docs: DataFrame, id: str = "doc_id", text: str = "text", support: i
     judged = pairs.join(of_entity, "entity").join(of_term, "term")
     ic = -F.log2(F.col("n_e") / F.lit(float(max(total, 1))))
     hint = F.log2(F.col("both") / F.greatest(F.col("n"), F.col("both")))
-    disclosing = cut(judged.where((ic > 0) & (hint >= ic * F.lit(1.0 / alpha - 1.0))).select("pair", "both", F.lit(True).alias("hit")))
-    hits = lookup(near, disclosing, "pair", "both", F.col("_row")).where("hit").groupBy("_row").agg(F.flatten(F.collect_list("at")).alias("terms"))
+    disclosing = cut(judged.where((ic > 0) & (hint >= ic * F.lit(1.0 / alpha - 1.0))).select("pair", "term", F.lit(True).alias("hit")))
+    places = cut(everywhere(docs, text, disclosing))
+    weighed = places.groupBy("pair").agg(F.count("*").alias("rows")).join(disclosing.drop("term"), "pair")
+    hits = lookup(places, weighed, "pair", "rows", F.col("_row")).where("hit").groupBy("_row").agg(F.flatten(F.collect_list("at")).alias("terms"))
     whole = found.drop("near").join(hits, "_row", "left")
 
     @F.pandas_udf("base_sha256 string, spans string")
