@@ -248,19 +248,32 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return left.join(sets.select(F.col("_row").alias("b"), F.col("grams").alias("gb")), "b").where(linked("ga", "gb")).select("a", "b")
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, comp) for all nodes of `edges` (a, b): the smallest node reachable. Labels fall to the least among neighbours, then jump to their label's label."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")))
-    for _ in range(most):
-        seen = both.join(label.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("m"))
-        low = label.join(seen.withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("was"), F.least("comp", "m").alias("comp"))
-        jump = low.select(F.col("node").alias("comp"), F.col("comp").alias("over"))
-        new = cut(low.join(jump, "comp").select("node", "was", F.least("comp", "over").alias("comp")))
-        label = new.drop("was")
-        if new.where("comp <> was").isEmpty():
-            return label
-    raise RuntimeError(f"components have not settled after {most} rounds")
+def components(edges: DataFrame) -> DataFrame:
+    """(node, comp) for all nodes of `edges` (a, b): the smallest node reachable.
+
+    Each round hooks every root to the smallest root beside it, follows the hooks to their ends, and contracts the edges to what still joins two roots.
+    A root that has no smaller one beside it takes in a neighbour, or sees a smaller root in the next round; so two rounds at least
+    halve the roots of each unfinished component, whatever its diameter and the order of its rows.
+    """
+    def done(df: DataFrame) -> DataFrame:
+        """Checkpointed, as new rows: else the optimiser's estimate of the size is squared by every join, to numbers of millions of digits."""
+        spark, rows = df.sparkSession, cut(df)._jdf
+        return type(df)(spark._jsparkSession.createDataFrame(rows.toJavaRDD(), rows.schema()), spark)
+
+    both = done(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
+    label = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("comp"))
+    while not both.isEmpty():
+        hook = done(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("root"), F.least("a", "m").alias("up")))
+        while True:  # each pass doubles the length of the hooks followed
+            over = hook.select(F.col("root").alias("up"), F.col("up").alias("over"))
+            new = done(hook.join(over, "up").select("root", F.col("over").alias("up"), F.col("up").alias("was")))
+            hook = new.drop("was")
+            if new.where("up <> was").isEmpty():
+                break
+        label = done(label.join(hook.withColumnRenamed("root", "comp"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")))
+        x, y = (hook.select(F.col("root").alias(c), F.col("up").alias(f"{c}_up")) for c in "ab")
+        both = done(both.join(x, "a").join(y, "b").where("a_up <> b_up").select(F.col("a_up").alias("a"), F.col("b_up").alias("b")).distinct())
+    return label
 
 
 def join(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = K, hot: int = HOT) -> DataFrame:

@@ -108,6 +108,18 @@ def test_similar_sets_share_a_signature():
             assert shared, (len(x), len(y), both)
 
 
+def test_components_of_long_chains(spark):
+    """Chains in random row order, one in order, a star around its largest node and a link to itself, whatever their diameter."""
+    order = list(range(600))
+    random.Random(5).shuffle(order)
+    edges = list(zip(order, order[1:], strict=False))
+    edges += [(20_000 + k, 20_001 + k) for k in range(100)] + [(30_000 + k, 39_999) for k in range(200)] + [(50_000, 50_000)]
+    out = {r.node: r.comp for r in jaccard.components(spark.createDataFrame(edges, "a long, b long").coalesce(2)).collect()}
+    least = lambda x: x // 10_000 * 10_000
+    assert out == {x: least(x) for e in edges for x in e}
+    assert jaccard.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_join_takes_odd_rows(spark, tmp_path):
     df = clashing(saved(spark, tmp_path, ODD))
     out = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.join(df).collect()), key=str)
