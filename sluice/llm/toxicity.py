@@ -9,8 +9,9 @@ with the sigmoid loss; when the bracket is negative, its gradient is followed up
 word that begins with certain 4 to 6 letters, hashed; those are kept whose rates in P and U differ beyond
 chance. Presence, unlike shares, doesn't fade in long texts.
 
-Training happens on the driver over bounded samples (at most MOST_P and MOST_U texts, chosen by hash of the id);
-feature counts for selection are taken over the same texts. Scoring runs over all documents.
+Training happens on the driver over bounded samples of rows (about MOST_P and MOST_U at most, drawn by hash). What features are
+chosen from is counted over all rows that may be learnt from, and scoring runs over all documents. What counts as beyond chance and the
+regularisation were chosen by training on fold 0 and validating on fold 2, and the other way round; fold 1 had no part in it.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .common import whole_texts
 MOST_P, MOST_U = 4000, 12_000
 BITS = 20
 FEATURES = 4096
+#: Texts of P that a feature must be in.
+IN_P = 3
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -48,11 +51,11 @@ def fold(id: Column) -> Column:
     return F.crc32(F.coalesce(id.cast("string"), F.lit("")).cast("binary")) % 3
 
 
-def _drawn(ids: DataFrame, most: int) -> DataFrame:
-    """About `most` of the ids at most, chosen by hash; all of them where there are fewer."""
-    n = ids.count()
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(3), "_id"), 11) / F.lit(float(1 << 53))
-    return ids if n <= most else ids.where(u < F.lit(0.95 * most / n))
+def _drawn(rows: DataFrame, most: int) -> DataFrame:
+    """About `most` rows at most, drawn by a hash of their place (so rows that repeat are drawn apart); all of them where there are fewer."""
+    n = rows.count()
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(3), "_row"), 11) / F.lit(float(1 << 53))
+    return rows if n <= most else rows.where(u < F.lit(0.95 * most / n))
 
 
 def _features(rows: DataFrame) -> list[np.ndarray]:
@@ -63,14 +66,55 @@ def _features(rows: DataFrame) -> list[np.ndarray]:
     return [np.frombuffer(r[0], np.int32) for r in rows.select("_text").mapInPandas(run, "f binary").collect()]
 
 
-def select_features(p: list[np.ndarray], u: list[np.ndarray], most: int = FEATURES) -> np.ndarray:
-    """The features whose rates in P and U differ beyond chance (likelihood ratio statistic of 25 or more), the most telling `most` of them."""
-    n, m = len(p), len(u)
-    if not n or not m:
+class Among:
+    """The features of texts that are in a table; remembers what words gave."""
+
+    def __init__(self, table: dict[int, float]) -> None:
+        self.table, self.memo = table, {}
+
+    def __call__(self, text: str | None) -> set[int]:
+        seen, table, memo = set(), self.table, self.memo
+        for w in set(_WORD.findall((text or "").lower())):
+            f = memo.get(w)
+            if f is None:
+                if len(memo) > 150_000:
+                    memo.clear()
+                f = memo[w] = tuple(x for x in features(w) if x in table)
+            if f:
+                seen.update(f)
+        return seen
+
+
+def _counted(rows: DataFrame, asked: np.ndarray) -> np.ndarray:
+    """In how many of all rows each of the features `asked` is: one number a feature reaches the driver."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        among, n = Among({int(f): i for i, f in enumerate(asked)}), np.zeros(len(asked), np.int64)
+        for b in batches:
+            for t in b["_text"]:
+                for f in among(t):
+                    n[among.table[f]] += 1
+        yield pd.DataFrame({"i": np.flatnonzero(n), "n": n[n > 0]})
+
+    out = np.zeros(len(asked))
+    for r in rows.select("_text").mapInPandas(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+        out[r["i"]] = r["n"]
+    return out
+
+
+def in_many(p: list[np.ndarray], least: int = IN_P) -> tuple[np.ndarray, np.ndarray]:
+    """(features, counts): those in at least `least` of the texts."""
+    n = np.bincount(np.concatenate(p), minlength=1 << BITS) if p else np.zeros(1, np.int64)
+    return np.flatnonzero(n >= least), n[n >= least].astype(float)
+
+
+def select_features(asked: np.ndarray, a: np.ndarray, n: int, b: np.ndarray, m: int, most: int = FEATURES) -> np.ndarray:
+    """Of the features `asked`, in `a` of `n` positive and `b` of `m` unlabelled texts, those whose rates differ beyond chance, the most telling `most` of them.
+
+    Beyond chance: a likelihood ratio statistic of 2 ln(number of features asked), which of so many about one reaches by chance.
+    """
+    if not n or not m or not len(asked):
         return np.zeros(0, np.int64)
-    a, b = (np.bincount(np.concatenate(x), minlength=1 << BITS) for x in (p, u))
-    often = np.flatnonzero(a + b >= 5)
-    a, b = a[often].astype(float), b[often].astype(float)
 
     def g(k: np.ndarray, of: int) -> np.ndarray:
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -79,7 +123,7 @@ def select_features(p: list[np.ndarray], u: list[np.ndarray], most: int = FEATUR
     rate = (a + b) / (n + m)
     stat = np.where(rate < 1, 2 * (g(a, n) + g(b, m)), 0)
     best = np.argsort(-stat, kind="stable")[:most]
-    return np.sort(often[best[stat[best] >= 25]])
+    return np.sort(asked[best[stat[best] >= 2 * np.log(len(asked))]])
 
 
 def train(p: list[np.ndarray], u: list[np.ndarray], prior: float, chosen: np.ndarray, steps: int = 1200, rate: float = 0.02, l2: float = 1e-5) -> tuple[np.ndarray, float]:
@@ -122,11 +166,14 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     told = labels.where(fold(F.col(id)) != 1).groupBy(F.col(id).alias("_id")).agg(F.max(label).alias("_y"))
     counts = told.agg(F.sum((F.col("_y") == 1).cast("long")).alias("p"), F.count("_y").alias("n")).first()
     prior = min(0.5, max(0.01, (counts["p"] or 0) / max(counts["n"], 1)))
-    known = docs.where(fold(F.col(id)) != 1).select(F.col(id).alias("_id"), F.col(text).alias("_text"))
-    # at most about MOST_P ids are broadcast, so no text is shuffled
-    positive = known.join(F.broadcast(_drawn(told.where("_y = 1").select("_id"), MOST_P)), "_id", "left_semi")
-    p, u = _features(positive), _features(_drawn(known, MOST_U))
-    chosen = select_features(p, u)
+    known = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row")).where(fold(F.col("_id")) != 1)
+    # about MOST_P ids at most are broadcast, so no text is shuffled; their rows are drawn once more, for ids may repeat
+    ids = _drawn(told.where("_y = 1").select("_id", F.xxhash64("_id").alias("_row")), MOST_P).select("_id")
+    p = _features(_drawn(known.join(F.broadcast(ids), "_id", "left_semi"), MOST_P))
+    asked, a = in_many(p)
+    m = known.count()
+    chosen = select_features(asked, a, len(p), _counted(known, asked), m) if len(asked) else asked
+    u = _features(_drawn(known, MOST_U))
     weights, bias = train(p, u, prior, chosen)
     return chosen, weights, bias
 
@@ -135,24 +182,14 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
     """`docs` with a score from 0 to 1 for every text (null counts as empty), from the text alone."""
     chosen, weights, bias = model
     table = dict(zip(map(int, chosen), map(float, weights), strict=True))
-    memo: dict[str, tuple[int, ...]] = {}
-
-    @F.pandas_udf("double")
-    def rate(texts: pd.Series) -> pd.Series:
-        out = np.empty(len(texts))
-        for i, t in enumerate(texts):
-            seen: set[int] = set()
-            for w in set(_WORD.findall((t or "").lower())):
-                f = memo.get(w)
-                if f is None:
-                    if len(memo) > 150_000:
-                        memo.clear()
-                    f = memo[w] = tuple(x for x in features(w) if x in table)
-                if f:
-                    seen.update(f)
-            out[i] = bias + sum(table[x] for x in sorted(seen))
-        return pd.Series(1 / (1 + np.exp(-np.clip(out, -30, 30))))
 
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        among = Among(table)
+        for texts in series:
+            out = np.array([bias + sum(table[f] for f in sorted(among(t))) for t in texts])
+            yield pd.Series(1 / (1 + np.exp(-np.clip(out, -30, 30))))
+
+    rate = F.pandas_udf(run, "double")
     return docs.withColumn(into, rate(F.col(text)))
 
 

@@ -288,6 +288,19 @@ def test_held_out_labels_are_never_read(spark, tmp_path, words):
     assert score(labels) == score(flipped)
 
 
+def test_draws_stay_within_their_bounds_though_ids_repeat(spark, tmp_path):
+    docs = saved(spark, tmp_path, [(7, f"text {k % 3}") for k in range(6000)])
+    rows = docs.select(F.col("text").alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    assert 700 < toxicity._drawn(rows, 1000).count() <= 1000 < toxicity._drawn(rows, 9000).count() == 6000
+
+
+def test_counts_cover_all_rows(spark, tmp_path):
+    texts = ["Red fox", "red RED hens", "blue", "", None]
+    docs = saved(spark, tmp_path, list(enumerate(texts))).select(F.col("text").alias("_text"))
+    asked = np.array(sorted({f for t in texts for f in toxicity.present(t)}))
+    assert toxicity._counted(docs, asked).tolist() == [sum(f in toxicity.present(t) for t in texts) for f in asked]
+
+
 def test_the_risk_stays_non_negative():
     r = np.random.default_rng(0)
     p = [np.array([1, int(k)], np.int32) for k in r.integers(100, 200, 60)]
