@@ -42,7 +42,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.sanitise(table(spark, sf_dir, "documents"))
+    return pii.sanitise(table(spark, sf_dir, "documents")).drop("sanitised")
 
 
 @query

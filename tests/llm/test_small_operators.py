@@ -184,8 +184,56 @@ def test_terms_that_disclose(spark, tmp_path):
         assert text.index("common") not in [int(s.split(":")[1]) for s in out[k].spans.split(",") if s.startswith("term")]
         assert out[k].base_sha256 == hashlib.sha256(pii.listed(brute_spans(text)).encode()).hexdigest()
     assert out[302].spans == "email:5:21" and all(out[100 + k].spans == "" for k in range(60))
-    df = make(spark, [(1, "by zorblat at bob@corp.example now")]).withColumn("spans", F.lit("term:3:10,email:14:30"))
-    assert df.select(pii.apply_spans("text", "spans")).first()[0] == "by <REDACTED> at <EMAIL> now"
+    assert out[0].sanitised == "the common words by <REDACTED> near <EMAIL> and the other common words 0x"
+    assert out[300].sanitised is None and out[0].sanitised_sha256 == hashlib.sha256(out[0].sanitised.encode()).hexdigest()
+    assert out[100].sanitised_sha256 == hashlib.sha256(rows[8][1].encode()).hexdigest()
+    assert pii.replaced("a bcd", [(0, 0, 3), (2, 5, 4)]) == "<EMAIL>d"
+
+
+def test_secrets():
+    held = {"AKIA" + "QWERTYUIOPASDFGH": 1, "token = 1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae": 1, "password=b7db7aa4a5fcc78305": 1, "internationalisation2024": 0, "THERHAOUANDENANOU": 0, "4111111111111111": 0, "ab1cd2ef3@mail.example": 0, "a1" * 100_000: 1, "ghp_" + "a" * 36 + "1": 1}
+    for t, n in held.items():
+        base, spans = pii.protected(t)
+        assert sum(k == pii.SECRET for _, k, _ in spans) == n and [x for x in spans if x[1] < 4] == base == brute_spans(t), t[:60]
+
+
+def test_entities_that_occur_once_are_protected_by_class(spark, tmp_path, words):
+    """Every secret and every e-mail is another; the words before them give them away all the same."""
+    h = lambda k, n: hashlib.sha1(str(k).encode()).hexdigest()[:n]
+    rows = [(k, " ".join([*words(30, k), f'passphrase = "{h(k, 40)}"', *words(30, 400 + k)])) for k in range(8)]
+    rows += [(20 + k, " ".join([*words(30, 50 + k), f"reachable x{k}@corp{k}.example", *words(30, 90 + k)])) for k in range(8)]
+    rows += [(100 + k, " ".join(words(60, 1000 + k))) for k in range(150)]
+    out = {r.doc_id: r for r in pii.sanitise(saved(spark, tmp_path, rows)).collect()}
+    for k, t in rows[:16]:
+        kinds = [(x.split(":")[0], t[int(x.split(":")[1]) : int(x.split(":")[2])]) for x in out[k].spans.split(",")]
+        assert (("term", "passphrase"), ("secret", h(k, 40)))[0] in kinds or k >= 20, kinds
+        assert ("secret", h(k, 40)) in kinds if k < 8 else ("term", "reachable") in kinds, kinds
+    assert not any(out[100 + k].spans for k in range(150))
+
+
+def test_disclosures_are_those_of_brute_force(spark, tmp_path):
+    import random
+
+    r = random.Random(3)
+    pool = ["".join(r.choices("abcdefgh", k=4)) for _ in range(60)]
+    texts = []
+    for k in range(300):
+        t = r.choices(pool, k=r.randint(0, 60))
+        for _ in range(r.choice((0, 0, 0, 0, 1, 2))):
+            i = r.randrange(5)
+            entity = ("bob@corp.example", f"x{k}@other.example", "8.8.8.8", "4111 1111 1111 1111", hashlib.sha1(str(k).encode()).hexdigest())[i]
+            t.insert(r.randint(0, len(t)), f"{'by' + pool[i if r.random() < 0.9 else r.randrange(5)]} {entity}")
+        texts.append(" ".join(t))
+    both, of_e, of_t = Counter(), Counter(), Counter()
+    for t in texts:
+        _, spans = pii.protected(t)
+        near = pii.contexts(t, spans)
+        both.update(near)
+        of_e.update({e for e, _ in near})
+        of_t.update(set(re.findall(r"[^\W\d_]{3,}", t.lower())))
+    want = {f"{e}\u0001{w}" for (e, w), n in both.items() if n >= 3 and of_e[e] < 300 and math.log2(n / max(of_t[w], n)) >= -math.log2(of_e[e] / 300) * (1 / pii.ALPHA - 1)}
+    docs = saved(spark, tmp_path, list(enumerate(texts)))
+    assert want and {x.pair for x in pii.disclosures(pii.scan(docs, "text", ["doc_id"]), docs, "text").collect()} == want
 
 
 def test_disclosure_by_counts(spark, tmp_path):
