@@ -279,6 +279,86 @@ def test_licences(spark, tmp_path, words):
         assert out[i].n_words == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))), k
 
 
+def brute_licence_spans(text):
+    """The definition in plain Python: {(label, template, start, end, coverage)}."""
+    w = [x for x in re.split(r"[^0-9a-z]+", text.lower()) if x]
+    out = []
+    for t, (label, template) in enumerate(licences.TEMPLATES):
+        v = re.findall(r"[0-9a-z]+", template.lower())
+        lines = {}
+        for i in range(len(w) - 2):
+            for o in range(len(v) - 2):
+                if w[i : i + 3] == v[o : o + 3]:
+                    lines.setdefault(i - o, []).append(o)
+        islands = []
+        for d in sorted(lines):
+            if not islands or d - islands[-1][-1] > 4:
+                islands.append([])
+            islands[-1].append(d)
+        for island in islands:
+            parts, last = [], None
+            for d in sorted(island, key=lambda d: (d + min(lines[d]), d)):
+                if last is None or min(lines[d]) <= last:
+                    parts.append([])
+                parts[-1].append(d)
+                last = min(lines[d])
+            for part in parts:
+                held = {o for d in part for o in lines[d]}
+                start, end = min(d + min(lines[d]) for d in part), max(d + max(lines[d]) for d in part) + 3
+                c = len(held) / (len(v) - 2)
+                if c >= 0.6 and end - start <= 1.4 * len(v) + 4:
+                    out.append((label, t, start, end, c))
+    kept, place, reach = [], [], -1
+    for x in [*sorted(out, key=lambda x: (x[2], x[3], x[1])), None]:
+        if x is None or x[2] >= reach:
+            top = max((y[4] for y in place), default=0)
+            kept += [y for y in place if y[4] >= top]
+            place = []
+        if x is not None:
+            place.append(x)
+            reach = max(reach, x[3])
+    return sorted(kept)
+
+
+def test_spans_are_those_of_brute_force(spark, tmp_path, words):
+    import random
+
+    r = random.Random(5)
+    rows = [(0, "licensed under the x licensed under the y licensed under the z licensed under"), (1, "under the MIT License " * 6), (2, "licensed under the GPL, licensed under the BSD"), (3, "\u212aind under the M\u0130T L\u0130CENSE")]
+    for k in range(120):
+        t = words(r.randint(0, 30), k)
+        for _ in range(r.randint(1, 4)):
+            v = re.findall(r"[0-9A-Za-z]+", r.choice(licences.TEMPLATES)[1])
+            a = r.randint(0, len(v) // 3)
+            v = v[a : a + r.randint(3, len(v))]
+            for _ in range(r.choice((0, 0, 1, 3))):
+                i = r.randrange(len(v))
+                v[i : i + 1] = r.choice(([], [v[i], "oh"], ["oh"], [v[i], v[i]]))
+            t += v + words(r.choice((0, 0, 5)), 900 + k)
+        rows.append((10 + k, " ".join(t)))
+    docs = saved(spark, tmp_path, rows)
+    got = {}
+    for x in licences.spans(docs, "doc_id", "text").collect():
+        got.setdefault(x.doc_id, []).append((x.label, x.template, x.start, x.end, x.coverage))
+    assert {i: sorted(v) for i, v in got.items()} == {i: v for i, t in rows[:3] + rows[4:] if (v := brute_licence_spans(t))}
+    out = {x.doc_id: (x.labels, x.n_base) for x in licences.scan(docs).collect()}
+    assert out[0] == ("", 0) and out[1] == ("mit", 6) and out[2] == ("", 0) and out[3] == ("", 0)
+
+
+def test_base_places_are_those_of_brute_force(spark, tmp_path):
+    import random
+
+    r = random.Random(6)
+    pool = ["mit", "MIT", "License", "license", "LICENSES", "apache", "general", "public", "General", "mıt", "x-", "\n", "é", "mit_license"]
+    rows = [(k, " ".join(r.choices(pool, k=r.randint(0, 40)))) for k in range(200)]
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for x in licences.scan(saved(spark, tmp_path, rows)).collect():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", rows[x.doc_id][1].translate(low))
+        at = [(i, label) for p, label in licences.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        want = (len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({label for _, label in at})))
+        assert (x.n_base, x.first_word, x.last_word, x.base_labels) == want, rows[x.doc_id]
+
+
 # ---------------------------------------------------------------- fingerprints
 
 
