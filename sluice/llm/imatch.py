@@ -1,12 +1,16 @@
 """I-Match fingerprints.
 
 The lexicon holds the terms whose inverse document frequency lies within a band: not so common that they say nothing, not so rare that
-a slip of the pen makes them. A document's distinct lexicon terms are sorted and hashed, for SUBSETS randomised subsets of the lexicon.
+a slip of the pen makes them. Frequencies are those of 64-bit term hashes, counted over all documents. A document's distinct lexicon terms are
+sorted and hashed together, once for the whole lexicon and once for each of many randomised subsets of it: CHAINS independent random orders of all terms, of each of which
+a quarter, a sixteenth and so on to 4**-RUNGS is a lexicon of its own, the same for all texts.
 
-Terms are hashed to 2**BITS slots, whose document frequencies are counted over all documents; so the lexicon is a
-bitmap of fixed size. Since texts differ in length by orders of magnitude, each subset is a chain of nested random
-lexicons, each half the one before, and a text uses the smallest in which it has a term: what it keeps is one or a few terms, whatever
-its length. Two texts agree on a subset about as often as the share of lexicon terms they have in common.
+A hash over many terms changes with any of them, so a long text that is edited keeps those of the sparse subsets, a short one has terms only in the dense ones.
+Two fingerprints are compared at the sparsest rate at which at least half of the subsets have a term of either text: there a
+subset agrees about as often as the texts' terms do.
+
+The lexicon reaches the texts as a bitmap of 2**BITS bits. How many terms can be in the band doesn't depend on the number of documents (of N
+distinct terms a document, N / RAREST at most); terms that fall on a bit of another one are in the lexicon too, for all texts alike.
 
 The main path is DataFrame functions only.
 """
@@ -15,18 +19,22 @@ from __future__ import annotations
 
 import json
 import struct
+from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bitmap, cut, hide, shown
 
-SUBSETS = 16
-BITS = 18
+CHAINS, RUNGS = 16, 6
+BITS = 20
 #: Shares of documents: the idf band is log(1 / share).
 RAREST, COMMONEST = 2e-5, 0.03
-#: Ids side by side that one task orders, for finding the next document.
-RUN = 2048
+#: Rows that one task orders, for finding the next document: about this many, in at most MOST_RANGES ranges of ids.
+RANGE, MOST_RANGES = 2048, 1 << 15
+#: Ids drawn for each range, to find where to cut.
+DRAWN = 8
 _SPLIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -40,54 +48,80 @@ def slot(term: Column) -> Column:
     return term.bitwiseAND(F.lit((1 << BITS) - 1))
 
 
-def lexicon(docs: DataFrame, text: str, rarest: float = RAREST, commonest: float = COMMONEST) -> Column:
-    """The slots in the idf band as an array of 64-bit words (a constant), counted over all rows."""
+def in_band(docs: DataFrame, text: str, rarest: float = RAREST, commonest: float = COMMONEST) -> DataFrame:
+    """(term, df): the lexicon, counted over all rows."""
     total = docs.count()
-    found = docs.select(F.explode(F.array_distinct(F.transform(terms(F.col(text)), slot))).alias("slot")).groupBy("slot").agg(F.count("*").alias("df"))
-    kept = found.where((F.col("df") >= F.lit(rarest * total)) & (F.col("df") <= F.lit(max(2.0, commonest * total))))
-    words = struct.unpack(f"<{1 << (BITS - 6)}q", bitmap(kept, "slot", BITS))
+    found = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return found.where((F.col("df") >= F.lit(rarest * total)) & (F.col("df") <= F.lit(max(2.0, commonest * total))))
+
+
+def lexicon(docs: DataFrame, text: str, rarest: float = RAREST, commonest: float = COMMONEST) -> Column:
+    """The lexicon's bitmap as an array of 64-bit words (a constant)."""
+    words = struct.unpack(f"<{1 << (BITS - 6)}q", bitmap(in_band(docs, text, rarest, commonest), "term", BITS))
     return F.from_json(F.lit(json.dumps(words)), "array<bigint>")
 
 
-def with_fingerprint(rows: DataFrame, text: str, lex: Column, into: str, subsets: int = SUBSETS) -> DataFrame:
-    """`rows` with the fingerprint of `text`: a hash per chain, comma-joined ("-": no term in it).
+def with_fingerprint(rows: DataFrame, text: str, lex: Column, into: str) -> DataFrame:
+    """`rows` with the fingerprint of `text`: the hash over all terms, then rate by rate one for each chain, comma-joined, 24 bits each ("-": no term in it).
 
-    A term's hash names its chain and its rank in it, a random number below 2**56; the chain's lexicon of level l holds the ranks below
-    2**l. Texts without a term in the lexicon use all their terms. The steps are columns of their own, so that each is computed once.
+    In each chain a term has a random rank below 2**56; the subset of rung k are the ranks below 2**(56 - 2 k). Texts without a term in
+    the lexicon use all their terms. The steps are columns of their own, so that each is computed once.
     """
-    low, rank = (1 << 56) - 1, lambda t: F.shiftrightunsigned(F.xxhash64(t, F.lit(29)), 4)
-    level = lambda r: F.floor(F.log2(r.bitwiseAND(F.lit(low)).cast("double") + 1.0))
+    rank = lambda j: lambda t: F.shiftrightunsigned(F.xxhash64(t, F.lit(j)), 8)
     inside = lambda t: F.getbit(F.get(lex, F.shiftright(slot(t), 6).cast("int")), slot(t).bitwiseAND(F.lit(63)).cast("int")) == 1
+    short = lambda own: F.when(F.size(own) > 0, F.right(F.lower(F.hex(F.xxhash64(own))), F.lit(6))).otherwise("-")
     steps = rows.withColumn("_all", terms(F.col(text))).withColumn("_in", F.filter("_all", inside))
-    steps = steps.withColumn("_ranks", F.array_sort(F.transform(F.when(F.size("_in") > 0, F.col("_in")).otherwise(F.col("_all")), rank)))
-    chains = [F.filter("_ranks", (lambda j: lambda r: F.shiftright(r, 56) == j)(j)) for j in range(subsets)]
-    steps = steps.withColumn("_chains", F.array(*chains))
-    # ranks are sorted, so the first sets the level
-    kept = lambda own: F.filter(own, lambda r: level(r) <= level(F.get(own, F.lit(0))))
-    one = lambda own: F.when(F.size(own) > 0, F.lower(F.hex(F.xxhash64(kept(own))))).otherwise("-")
-    return steps.withColumn(into, F.array_join(F.transform("_chains", one), ",")).drop("_all", "_in", "_ranks", "_chains")
+    steps = steps.withColumn("_own", F.array_sort(F.when(F.size("_in") > 0, F.col("_in")).otherwise(F.col("_all"))))
+    below = lambda own, k: F.filter(own, lambda r: r < F.lit(1 << (56 - 2 * k)))
+    steps = steps.withColumn("_chains", F.array(*[F.array_sort(below(F.transform("_own", rank(j)), 1)) for j in range(CHAINS)]))
+    rungs = [F.array_join(F.transform("_chains", (lambda k: lambda own: short(below(own, k) if k > 1 else own))(k)), ",") for k in range(1, RUNGS + 1)]
+    return steps.withColumn(into, F.concat_ws(",", short(F.col("_own")), *rungs)).drop("_all", "_in", "_own", "_chains")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of chains with equal hashes among those in which either text has a term; 1 for equal fingerprints."""
-    both = F.filter(F.zip_with(F.split(a, ","), F.split(b, ","), lambda x, y: F.when((x != "-") | (y != "-"), x == y)), lambda e: e.isNotNull())
-    return F.when(a == b, F.lit(1.0)).otherwise(F.size(F.filter(both, lambda e: e)) / F.greatest(F.size(both), F.lit(1)))
+    """The share of subsets with equal hashes among those in which either text has a term, at the sparsest rate at which these are at least half of all; 1 for equal fingerprints, and 0 where no rate has so many."""
+    said = F.zip_with(F.split(a, ","), F.split(b, ","), lambda x, y: F.when((x == "-") & (y == "-"), 0).when(x == y, 2).otherwise(1))
+    rungs = []
+    for k in range(RUNGS, 0, -1):
+        own = F.slice(said, 2 + CHAINS * (k - 1), CHAINS)
+        either = F.size(F.filter(own, lambda e: e > 0))
+        rungs.append(F.when(either >= CHAINS // 2, F.size(F.filter(own, lambda e: e == 2)) / F.greatest(either, F.lit(1))))
+    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(*rungs, F.lit(0.0)))
+
 
+def in_runs(docs: DataFrame, id: str, text: str, range_: int = RANGE) -> DataFrame:
+    """(_id, _text, _p, _run): rows in numbered runs of ids, about `range_` rows each, null ids first; _p orders rows of one id.
 
-def in_runs(docs: DataFrame, id: str, text: str, run: int = RUN) -> DataFrame:
-    """(_id, _text, _h, _run): rows in runs of `run` consecutive ids; null ids are a run of their own, the first."""
-    rows = docs.select(F.col(id).alias("_id"), F.coalesce(text, F.lit("")).alias("_text"))
-    return rows.withColumn("_h", F.xxhash64("_text")).withColumn("_run", F.coalesce(F.floor(F.col("_id") / run), F.lit(-(1 << 53))))
+    The cuts are quantiles of a sample of ids (at most about DRAWN * MOST_RANGES reach the driver). An id that holds several ranges' worth of rows (null is one)
+    is spread over as many runs by _p, a hash of the row's place.
+    """
+    rows = docs.select(F.col(id).alias("_id"), F.coalesce(text, F.lit("")).alias("_text"), F.shiftrightunsigned(F.xxhash64(F.lit(7), F.monotonically_increasing_id()), 1).alias("_p"))
+    n = docs.count()
+    ranges = min(MOST_RANGES, -(-n // range_)) or 1
+    uniform = F.col("_p") / F.lit(float(1 << 63))
+    drawn = rows.where(uniform < min(1.0, DRAWN * ranges / max(n, 1))).select("_id").collect()
+    ids, per = sorted(r[0] for r in drawn if r[0] is not None), max(1, len(drawn) // ranges)
+    at = Counter(ids[per - 1 :: per])
+    cuts, parts = list(at), [max(1, -(-(len(drawn) - len(ids)) // per)), *[at[c] if at[c] > 1 else 0 for c in at]]
+    first = list(accumulate([0, *[p + 1 for p in parts]]))
+    const = lambda xs, kind="bigint": F.from_json(F.lit(json.dumps(xs)), f"array<{kind}>")
+    steps = [1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)] if cuts else []
+    over = lambda k, step: F.when(F.get(const(cuts), k + step - 1) <= F.col("_id"), k + step).otherwise(k)  # noqa: E731  binary search
+    rows = rows.withColumn("_k", F.when(F.col("_id").isNull(), 0).otherwise(F.aggregate(const(steps, "int"), F.lit(0), over)))
+    share = F.get(const(parts), F.col("_k"))
+    same = F.col("_id").isNull() | (F.get(const(cuts), F.col("_k") - 1) == F.col("_id"))
+    sub = F.when(same & (share > 0), F.floor(uniform * share)).otherwise(share)
+    return rows.withColumn("_run", F.get(const(first), F.col("_k")) + sub).drop("_k")
 
 
 def with_next(rows: DataFrame, value: str, into: str) -> DataFrame:
-    """`rows` (_id, _h, _run and a `value` that is never null) with the value of the row that follows by id (after the last: the first).
+    """`rows` (_id, _p, _run and a `value` that is never null) with the value of the row that follows by id (after the last: the first).
 
-    Rows that repeat an id follow each other by the hash of their text. Each run is ordered apart; the last row of a run
+    Rows that repeat an id follow each other by _p. Each run is ordered apart; the last row of a run
     gets the first value of the next, by a join of one row per run. The three readings of the ordered runs share one shuffle.
     """
-    order = Window.partitionBy("_run").orderBy(F.col("_id").asc_nulls_first(), "_h")
-    placed = rows.withColumn(into, F.lead(value).over(order)).withColumn("_before", F.lag("_h").over(order))
+    order = Window.partitionBy("_run").orderBy(F.col("_id").asc_nulls_first(), "_p")
+    placed = rows.withColumn(into, F.lead(value).over(order)).withColumn("_before", F.lag("_p").over(order))
     along = Window.orderBy("_run")
     runs = rows.select("_run").distinct().select("_run", F.coalesce(F.lag("_run").over(along), F.max("_run").over(Window.partitionBy())).alias("_to"))
     heads = placed.where("_before IS NULL").select("_run", F.col(value).alias("_head")).join(cut(runs), "_run").select(F.col("_to").alias("_run"), "_head")
@@ -107,16 +141,17 @@ def compare(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
     The edited text has its last quarter of code points replaced by as many from the start of the next document (or all it has). Null is
-    empty. Other columns are not read. A single row is its own next document.
+    empty, null ids come first, and rows that repeat an id follow each other by their place. Other columns are not read. A single row is its own next document.
+    `docs` must be the same when it is read again, as a scan of files is.
     """
     lex = lexicon(docs, text)
     rows = with_next(in_runs(docs, id, text), "_text", "_next")
     n = F.length("_text")
     q = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("_text"), F.lit(1), n - q), F.substring(F.col("_next"), F.lit(1), q))
-    rows = rows.select("_run", "_id", "_h", n.cast("long").alias("n_chars"), "_text", F.coalesce(edited, F.lit("")).alias("_edited"))
+    rows = rows.select("_run", "_id", "_p", n.cast("long").alias("n_chars"), "_text", F.coalesce(edited, F.lit("")).alias("_edited"))
     rows = with_fingerprint(with_fingerprint(rows, "_text", lex, "fingerprint"), "_edited", lex, "edited_fingerprint")
-    rows = cut(rows.select("_run", "_id", "_h", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint"))
+    rows = cut(rows.select("_run", "_id", "_p", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint"))
     rows = with_next(rows, "fingerprint", "_fn")
     near = [likeness(F.col("fingerprint"), F.col(c)).alias(into) for c, into in (("edited_fingerprint", "near_edited"), ("_fn", "near_next"))]
     return rows.select(F.col("_id").alias(id), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near)

@@ -2,7 +2,7 @@
 
 A size-weighted sample of the record keys gives quantile boundaries; records fall into the ranges between them; ranges that
 turn out overfull are subdivided by a second key; consecutive ranges then make up the shards. The key is a hash of the text, so equal texts lie side by
-side, and a group too large for its range is cut by a hash of its ids.
+side, and a group too large for its range is cut by a hash of its ids and places (so even rows that repeat are dealt out).
 
 What the driver holds is bounded by parameters: the sample (about SAMPLE keys) and the cells (at most about three
 times shards * RANGES). Everything else, sizes of the cells included, is counted over all rows by Spark.
@@ -29,7 +29,7 @@ def shard(docs: DataFrame, id: str = "doc_id", text: str = "text", shards: int =
     """All rows of `docs` with `size`, `text_crc32`, `shard` (0 to shards - 1) and `slot` (gapless from 0 within the shard).
 
     size is the UTF-8 bytes of the text plus 8 (null text: 8, crc 0). The law kept is `bytes`: sizes of shards near
-    equal. Repeated rows may get each other's slots. With fewer records than shards some shards stay empty. A
+    equal. Repeated rows may get each other's slots. `docs` must be the same when it is read again, as a scan of files is. With fewer records than shards some shards stay empty. A
     column of `docs` with the name of a result column is replaced.
     """
     docs, names = hide(docs)
@@ -40,7 +40,7 @@ def shard(docs: DataFrame, id: str = "doc_id", text: str = "text", shards: int =
         (F.octet_length(blob) + 8).cast("long").alias("size"),
         F.crc32(blob).alias("text_crc32"),
         F.xxhash64(F.col(text)).alias("_k"),
-        F.xxhash64(F.lit(5), F.col(id), F.octet_length(blob)).alias("_t"),
+        F.xxhash64(F.lit(5), F.col(id), F.monotonically_increasing_id()).alias("_t"),
     )
     narrow = cut(keyed.select("size", "_k", "_t"))
     total = narrow.agg(F.sum("size")).first()[0] or 0

@@ -41,6 +41,13 @@ def test_shards_are_even_and_slots_gapless(spark, n):
         assert max(total.values()) < 1.05 * sum(total.values()) / 6
 
 
+def test_shards_are_even_though_half_the_rows_are_one(spark, tmp_path):
+    rows = [(7, "one and the same row")] * 5000 + [(k, f"other {k} " * 3) for k in range(5000)]
+    out = sharding.shard(saved(spark, tmp_path, rows)).groupBy("shard").agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.max("slot").alias("m"), F.countDistinct("slot").alias("d")).collect()
+    assert len(out) == 24 and all(r.m + 1 == r.d == r.n for r in out)
+    assert max(r.s for r in out) < 1.05 * min(r.s for r in out)
+
+
 def test_shards_take_odd_rows(spark):
     out = sharding.shard(clashing(make(spark, ODD)), shards=3)
     rows = out.select("doc_id", "text", "size", "shard", "slot", "_text").collect()
@@ -92,6 +99,46 @@ def test_better_documents_are_taken_more_often(spark):
     assert good > 1.5 * bad > 0
 
 
+def test_mix_cuts_rows_that_repeat(spark, tmp_path):
+    """A source that is one row many times meets its target; reruns agree."""
+    rows = [(7, "seven words make up this one text", "a")] * 3000 + [(100 + k, "two words", "b") for k in range(5000)]
+    docs = saved(spark, tmp_path, rows)
+    got = {r.source: r for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("copies").alias("most"), F.min("copies").alias("least")).collect()}
+    for r in got.values():
+        assert abs(r.taken - r.target) <= 7 and r.most - r.least <= 1
+    again = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken")).collect()
+    assert {r.source: r.taken for r in again} == {s: r.taken for s, r in got.items()}
+
+
+def test_no_bin_holds_much_of_a_source(spark):
+    for q in (0.1, 1.0):
+        v = -F.log(mixing.uniform(F.lit(17), F.col("id"))) / q
+        bins = spark.range(200_000).groupBy(F.floor(F.log2(v) * mixing.BINS).alias("b")).count().agg(F.max("count")).first()[0]
+        assert bins < 0.001 * 200_000
+
+
+def test_the_choice_is_that_of_brute_force(spark, tmp_path, words):
+    """Documents in order of their keys, whole, until the sum comes nearest to the target."""
+    rows = [(k, " ".join(words(k % 40, k)), "ab"[k % 7 > 4]) for k in range(600)]
+    docs = saved(spark, tmp_path, rows)
+    key = -F.log(mixing.uniform(F.lit(17), F.col("doc_id"), F.col("text"))) / mixing.quality(F.col("text"))
+    keys = {r.doc_id: r.v for r in docs.select("doc_id", key.alias("v")).collect()}
+    out = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    for s in "ab":
+        own = sorted((k for k, _, x in rows if x == s), key=keys.get)
+        size = {k: len(t.split()) for k, t, _ in rows}
+        total, target = sum(size[k] for k in own), out[own[0]].target
+        epochs, run, more = int(target // total), 0, set()
+        rest = target - epochs * total
+        for k in own:
+            if run + size[k] >= rest:
+                more |= {k} if (rest - run) / max(size[k], 1) + 0.5 >= 1 else set()
+                break
+            run += size[k]
+            more.add(k)
+        assert all(out[k].copies == epochs + (k in more) for k in own if size[k])
+
+
 def test_mix_takes_odd_rows(spark):
     out = mixing.mix(clashing(make(spark, ODD))).select("doc_id", "size", "taken", "_text").collect()
     assert len(out) == len(ODD) and {r._text for r in out} == {"clash"}
@@ -376,21 +423,61 @@ def test_fingerprints(spark, tmp_path, words):
     assert sum(near) / len(near) > 0.4 and sum(far) / len(far) < 0.1 and all(0 <= x <= 1 for x in near + far)
 
 
-def test_fingerprint_by_hand(spark):
-    """One text against the definition, with every slot in the lexicon."""
-    lex = F.array(*[F.lit(-1).cast("long")] * (1 << (imatch.BITS - 6)))
-    df = make(spark, [(1, "Some Words some MORE words, here")])
-    got = imatch.with_fingerprint(df, "text", lex, "f").first().f.split(",")
-    ranks = [r[0] for r in make(spark, [(0, w) for w in ("some", "words", "more", "here")]).select(F.shiftrightunsigned(F.xxhash64(F.xxhash64("text"), F.lit(29)), 4)).collect()]
-    low = (1 << 56) - 1
-    for j in range(imatch.SUBSETS):
-        own = sorted(r for r in ranks if r >> 56 == j)
-        if not own:
-            assert got[j] == "-"
-            continue
-        level = math.floor(math.log2((own[0] & low) + 1))
-        kept = [r for r in own if math.floor(math.log2((r & low) + 1)) <= level]
-        assert got[j] == spark.range(1).select(F.lower(F.hex(F.xxhash64(F.array(*map(F.lit, kept)).cast("array<bigint>"))))).first()[0]
+def brute_fingerprints(texts, rarest=imatch.RAREST, commonest=imatch.COMMONEST):
+    """The definition in plain Python, over a corpus."""
+    import struct
+
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    word = lambda w: signed(xxhash.xxh64_intdigest(w.encode(), 42))
+    own = [{word(w) for w in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t.lower()) if w} for t in texts]
+    df = Counter(t for o in own for t in o)
+    lex = {t % (1 << imatch.BITS) for t, n in df.items() if rarest * len(texts) <= n <= max(2, commonest * len(texts))}
+
+    def short(xs):
+        h = 42
+        for x in xs:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", x), h)
+        return f"{h:x}"[-6:] if xs else "-"
+
+    out = []
+    for o in own:
+        terms = sorted({t for t in o if t % (1 << imatch.BITS) in lex} or o)
+        ranks = [sorted(xxhash.xxh64_intdigest(struct.pack("<i", j), xxhash.xxh64_intdigest(struct.pack("<q", t), 42)) >> 8 for t in terms) for j in range(imatch.CHAINS)]
+        out.append(",".join([short(terms), *[short([r for r in c if r < 1 << (56 - 2 * k)]) for k in range(1, imatch.RUNGS + 1) for c in ranks]]))
+    return out
+
+
+def brute_likeness(a, b):
+    a, b = a.split(","), b.split(",")
+    if a == b:
+        return 1.0
+    for k in range(imatch.RUNGS, 0, -1):
+        pairs = [(x, y) for x, y in zip(a[1 + 16 * (k - 1) : 1 + 16 * k], b[1 + 16 * (k - 1) : 1 + 16 * k], strict=True) if (x, y) != ("-", "-")]
+        if len(pairs) >= 8:
+            return sum(x == y for x, y in pairs) / len(pairs)
+    return 0.0
+
+
+def test_fingerprints_are_those_of_brute_force(spark, tmp_path, words):
+    rows = [(17 * k * k, " ".join(words(1 + 7 * k % 300, k) + ["Common", "the"])) for k in range(250)] + [(1, ""), (2, "!!"), (3, "the")]
+    rows.sort()
+    out = sorted(imatch.compare(saved(spark, tmp_path, rows)).collect())
+    want = brute_fingerprints([t for _, t in rows])
+    assert [r.fingerprint for r in out] == want
+    for k, r in enumerate(out):
+        assert r.near_next == pytest.approx(brute_likeness(want[k], want[(k + 1) % len(want)])) and r.near_edited == pytest.approx(brute_likeness(r.fingerprint, r.edited_fingerprint))
+
+
+def test_runs_hold_few_rows_whatever_the_ids(spark, tmp_path):
+    """Sparse ids, many null ids and one id a thousand times: no run is large, and the order over all runs is that of the ids."""
+    rows = [(k * 10**12, "a") for k in range(3000)] + [(None, "b")] * 3000 + [(7 * 10**12, "c")] * 3000
+    df = imatch.in_runs(saved(spark, tmp_path, rows), "doc_id", "text", 100)
+    runs = df.groupBy("_run").agg(F.count("*").alias("n")).agg(F.max("n"), F.count("*")).first()
+    assert runs[0] < 500 and runs[1] > 60
+    got = [r._id for r in df.orderBy("_run", F.col("_id").asc_nulls_first(), "_p").collect()]
+    assert got == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
 
 
 def test_lexicon_keeps_the_band(spark):
