@@ -25,23 +25,26 @@ from pyspark.sql import types as T
 
 from .common import whole_texts
 
-PAGES = 300
+PAGES = 800
 
 # Fixed values of HTML: elements that have no content, that form blocks, and whose content is no text of the page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
-    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
+    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul xmp".split()
 )
-RAW = frozenset("script style textarea title xmp iframe noembed noframes template noscript svg math object".split())
+RAW = frozenset("script style textarea title iframe noembed noframes template svg".split())
+#: Their content is text, not markup.
+PLAIN = frozenset(("xmp",))
 #: An opening tag ends these, if open.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Implied ends are not looked for beyond these.
 SCOPE = frozenset("table ul ol dl article section div body main nav aside form header footer button select".split())
 _P_ENDS = BLOCK - frozenset("body head html title noscript option optgroup iframe button td th tr tbody thead tfoot caption legend".split())
 
-_MARKUP = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)(?:>|\Z)?)""", re.S)
+_MARKUP = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*|))*+)(?:>|\Z)?)""", re.S)
 _NAMES = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
+_RIGHTS = re.compile(r"©|®|\(c\)|copyright\b", re.I)
 
 
 class Block:
@@ -66,16 +69,17 @@ def blocks(page: str | None, memo: dict[tuple[str, str], str] | None = None) ->
     path: list[str] = []
     buffer: list[str] = []
     links = depth_a = 0
+    held: list[str] | None = None  # the innermost element around all text of the block
     low = None  # the page with A-Z in lower case, made when needed
 
     def close() -> None:
-        nonlocal links
+        nonlocal links, held
         if buffer:
             text = " ".join(entities.unescape("".join(buffer)).split())
             if text:
-                out.append(Block(text, tuple(path), links))
+                out.append(Block(text, tuple(path if held is None else held), links))
             buffer.clear()
-        links = 0
+        links, held = 0, None
 
     def pop_to(k: int) -> None:
         nonlocal depth_a
@@ -90,6 +94,8 @@ def blocks(page: str | None, memo: dict[tuple[str, str], str] | None = None) ->
         if start > at:
             piece = page[at:start]
             buffer.append(piece)
+            if not piece.isspace() and held != path:
+                held = path[:] if held is None else path[: next((k for k, (x, y) in enumerate(zip(held, path, strict=False)) if x != y), min(len(held), len(path)))]
             if depth_a:
                 links += len(piece)
         if not m:
@@ -111,14 +117,16 @@ def blocks(page: str | None, memo: dict[tuple[str, str], str] | None = None) ->
                 if tag not in BLOCK and tags[k] in BLOCK:
                     break
             continue
-        if tag in RAW:
+        if tag in RAW or tag in PLAIN:
             if tag in BLOCK:
                 close()
-            if m[3].endswith("/") and tag in ("svg", "math"):
+            if m[3].endswith("/") and tag == "svg":
                 continue
             if low is None:
                 low = page.lower() if page.isascii() else re.sub("[A-Z]+", lambda x: x[0].lower(), page)
             end = low.find(f"</{tag}", at)
+            if tag in PLAIN and (text := " ".join(page[at : size if end < 0 else end].split())):
+                out.append(Block(text, (*path, tag), 0))
             at = size if end < 0 else (low.find(">", end) + 1 or size)
             continue
         if tag in BLOCK:
@@ -153,7 +161,7 @@ def path_features(path: tuple[str, ...]) -> list[str]:
     tags = [p.split("|") for p in path]
     own = {f"t:{t[0]}" for t in tags} | {f"c:{c}" for t in tags for c in t[1:]}
     inner = [t for t in tags if t[0] in BLOCK]
-    own |= {f"p:{'>'.join(t[0] for t in inner[-2:])}", f"near:{inner[-1][0] if inner else ''}"}
+    own |= {f"p:{'>'.join(t[0] for t in inner[-2:])}", f"near:{inner[-1][0] if inner else ''}", f"deep:{min(len(inner), 5)}"}
     return sorted(own)
 
 
@@ -165,7 +173,7 @@ def text_features(b: Block) -> tuple[str, ...]:
         f"n:{0 if n < 20 else 1 if n < 60 else 2 if n < 200 else 3}",
         f"a:{0 if share < 0.05 else 1 if share < 0.4 else 2 if share < 0.8 else 3}",
         "end:stop" if last in ".!?…。" else "end:no",
-        "start:(c)" if b.text[0] in "©®" else "start:other",
+        "start:(c)" if _RIGHTS.match(b.text) else "start:other",
     )
 
 
@@ -262,8 +270,11 @@ BAD_NAMES = tuple(
 )
 
 
-def labelled_pages(count: int = PAGES, seed: int = 7) -> list[tuple[list[Block], list[int]]]:
-    """Generated pages as (blocks, labels). Words of the article begin with "q", all others with "z", which is how blocks get their label."""
+def labelled_pages(count: int = PAGES, seed: int = 7, bare: float = 0.15) -> list[tuple[list[Block], list[int]]]:
+    """Generated pages as (blocks, labels). Words of the article begin with "q", all others with "z", which is how blocks get their label.
+
+    `bare` is the share of pages whose article has no container of its own.
+    """
     r = Random(seed)
     sound = ("an", "or", "eti", "ou", "ß", "éa", "ión", "ты", "か", "um")
 
@@ -292,7 +303,9 @@ def labelled_pages(count: int = PAGES, seed: int = 7) -> list[tuple[list[Block],
         else:
             name = f"{r.choice(('div', 'div', 'section', 'ul', 'p', 'span'))}{r.choice('..#')}{r.choice(BAD_NAMES)}"
             if r.random() < 0.3:
-                name += r.choice(("-box", "-list", "-wrapper", "-area", "-item"))
+                name += r.choice(("-box", "-list", "-wrapper", "-area", "-item", "-form", "-section", "-body"))
+        if r.random() < 0.07:
+            return r.choice(("<p>{}</p>", "<div>{}</div>", "<center>{}</center>", "<p><small>{}</small></p>")).format(r.choice(("&copy; ", "© ", "Copyright ", "(c) ")) + words("z", r.randint(1, 5), r.choice(("", "."))))
         shape = r.random()
         if name.startswith(("p.", "p#", "span")):
             return tag(name, prose("z")) if not name.startswith("span") else f"<p>{tag(name, prose('z'))}</p>"
@@ -302,7 +315,8 @@ def labelled_pages(count: int = PAGES, seed: int = 7) -> list[tuple[list[Block],
         if shape < 0.6:
             return tag(name, prose("z"))
         if shape < 0.85:
-            return tag(name, "".join(f"<{(t := r.choice(('p', 'p', 'div', 'h3', 'li')))}>{prose('z')}</{t}>" for _ in range(r.randint(1, 5))))
+            title = f"<h{(k := r.choice((2, 3, 4)))}>{words('z', r.randint(1, 4), '')}</h{k}>" if r.random() < 0.6 else ""
+            return tag(name, title + "".join(f"<{(t := r.choice(('p', 'p', 'div', 'h3', 'li')))}>{prose('z')}</{t}>" for _ in range(r.randint(1, 5))))
         return tag(name, f"<label>{words('z', 2, '')}</label><input name=a><button>{words('z', 1, '')}</button>" + (f"&copy; {words('z', 3, '')}" if r.random() < 0.5 else ""))
 
     def article() -> str:
@@ -317,17 +331,21 @@ def labelled_pages(count: int = PAGES, seed: int = 7) -> list[tuple[list[Block],
                 out.append("<ul>" + "".join(f"<li>{prose('q')}</li>" for _ in range(r.randint(1, 4))) + "</ul>")
             elif u < 0.92:
                 out.append(f"<blockquote>{prose('q')}</blockquote>")
+            elif u < 0.935:
+                out.append(r.choice(("<figure><img src=x><figcaption>{}</figcaption></figure>", "<pre>{}</pre>", "<noscript>{}</noscript>", "<dl><dt>{}</dt></dl>", "<math><mi>{}</mi></math>", "<object>{}</object>")).format(prose("q")))
             elif u < 0.95:
                 out.append(f"<table><tr><td>{prose('q')}</td><td>{prose('q')}</td></tr></table>")
             else:
                 out.append(f"<div>{prose('q')}</div>")
-        for _ in range(r.choice((0, 0, 0, 1, 1, 2))):
-            out.insert(r.randint(0, len(out)), bad(True))
-        return tag(r.choice(GOOD) if r.random() < 0.85 else "div", "".join(out))
+        for _ in range(r.choice((0, 0, 1, 1, 2, 3))):
+            out.insert(r.choice((r.randint(0, len(out)), len(out))), bad(True))
+        form = r.random()
+        return "".join(out) if form < bare else tag(r.choice(GOOD) if form < 0.9 else "div", "".join(out))
 
     pages = []
     while len(pages) < count:
-        body = [bad(False) for _ in range(r.randint(0, 4))] + [article()] + [bad(False) for _ in range(r.randint(0, 4))]
+        before, after = (r.randint(0, 4), r.randint(0, 4)) if r.random() < 0.8 else (0, 0)
+        body = [bad(False) for _ in range(before)] + [article()] + [bad(False) for _ in range(after)]
         inner = "".join(body)
         if r.random() < 0.3:
             inner = tag(r.choice(("div.wrapper", "div.container", "div#page", "div.layout", "main")), inner)

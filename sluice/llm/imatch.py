@@ -2,8 +2,8 @@
 
 The lexicon holds the terms whose inverse document frequency lies within a band: not so common that they say nothing, not so rare that
 a slip of the pen makes them. Frequencies are those of 64-bit term hashes, counted over all documents. A document's distinct lexicon terms are
-sorted and hashed together, once for the whole lexicon and once for each of many randomised subsets of it: CHAINS independent random orders of all terms, of each of which
-a quarter, a sixteenth and so on to 4**-RUNGS is a lexicon of its own, the same for all texts.
+sorted and hashed together, once for the whole lexicon and once for each of many randomised subsets of it: CHAINS independent random halvings, in each of which
+a quarter of all terms, a sixteenth and so on to 4**-RUNGS is a lexicon of its own, the same for all texts.
 
 A hash over many terms changes with any of them, so a long text that is edited keeps those of the sparse subsets, a short one has terms only in the dense ones.
 Two fingerprints are compared at the sparsest rate at which at least half of the subsets have a term of either text: there a
@@ -64,18 +64,20 @@ def lexicon(docs: DataFrame, text: str, rarest: float = RAREST, commonest: float
 def with_fingerprint(rows: DataFrame, text: str, lex: Column, into: str) -> DataFrame:
     """`rows` with the fingerprint of `text`: the hash over all terms, then rate by rate one for each chain, comma-joined, 24 bits each ("-": no term in it).
 
-    In each chain a term has a random rank below 2**56; the subset of rung k are the ranks below 2**(56 - 2 k). Texts without a term in
+    A term's 64-bit hashes give it 16 random bits in each chain; the subset of rung k are the terms whose first 2 k bits there are 0. Texts without a term in
     the lexicon use all their terms. The steps are columns of their own, so that each is computed once.
     """
-    rank = lambda j: lambda t: F.shiftrightunsigned(F.xxhash64(t, F.lit(j)), 8)
     inside = lambda t: F.getbit(F.get(lex, F.shiftright(slot(t), 6).cast("int")), slot(t).bitwiseAND(F.lit(63)).cast("int")) == 1
     short = lambda own: F.when(F.size(own) > 0, F.right(F.lower(F.hex(F.xxhash64(own))), F.lit(6))).otherwise("-")
     steps = rows.withColumn("_all", terms(F.col(text))).withColumn("_in", F.filter("_all", inside))
     steps = steps.withColumn("_own", F.array_sort(F.when(F.size("_in") > 0, F.col("_in")).otherwise(F.col("_all"))))
-    below = lambda own, k: F.filter(own, lambda r: r < F.lit(1 << (56 - 2 * k)))
-    steps = steps.withColumn("_chains", F.array(*[F.array_sort(below(F.transform("_own", rank(j)), 1)) for j in range(CHAINS)]))
-    rungs = [F.array_join(F.transform("_chains", (lambda k: lambda own: short(below(own, k) if k > 1 else own))(k)), ",") for k in range(1, RUNGS + 1)]
-    return steps.withColumn(into, F.concat_ws(",", short(F.col("_own")), *rungs)).drop("_all", "_in", "_own", "_chains")
+    steps = steps.withColumn("_bits", F.array(*[F.transform("_own", (lambda w: lambda t: F.xxhash64(t, F.lit(w)))(w)) for w in range(CHAINS // 4)]))
+    for k in range(1, RUNGS + 1):
+        of = [F.get("_bits", F.lit(j // 4)) if k == 1 else F.get(f"_rung{k - 1}", F.lit(j)) for j in range(CHAINS)]
+        mask = [((1 << 2 * k) - 1) << 16 * (j % 4) for j in range(CHAINS)]
+        steps = steps.withColumn(f"_rung{k}", F.array(*[F.filter(x, (lambda m: lambda b: b.bitwiseAND(F.lit(m)) == 0)(m)) for x, m in zip(of, mask, strict=True)]))
+    rungs = [F.array_join(F.transform(f"_rung{k}", short), ",") for k in range(1, RUNGS + 1)]
+    return steps.withColumn(into, F.concat_ws(",", short(F.col("_own")), *rungs)).drop("_all", "_in", "_own", "_bits", *[f"_rung{k}" for k in range(1, RUNGS + 1)])
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -444,8 +444,9 @@ def brute_fingerprints(texts, rarest=imatch.RAREST, commonest=imatch.COMMONEST):
     out = []
     for o in own:
         terms = sorted({t for t in o if t % (1 << imatch.BITS) in lex} or o)
-        ranks = [sorted(xxhash.xxh64_intdigest(struct.pack("<i", j), xxhash.xxh64_intdigest(struct.pack("<q", t), 42)) >> 8 for t in terms) for j in range(imatch.CHAINS)]
-        out.append(",".join([short(terms), *[short([r for r in c if r < 1 << (56 - 2 * k)]) for k in range(1, imatch.RUNGS + 1) for c in ranks]]))
+        bits = [[xxhash.xxh64_intdigest(struct.pack("<i", w), xxhash.xxh64_intdigest(struct.pack("<q", t), 42)) for t in terms] for w in range(4)]
+        rungs = [short([signed(b) for b in bits[j // 4] if (b >> 16 * (j % 4)) % 4**k == 0]) for k in range(1, imatch.RUNGS + 1) for j in range(imatch.CHAINS)]
+        out.append(",".join([short(terms), *rungs]))
     return out
 
 
