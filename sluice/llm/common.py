@@ -30,10 +30,12 @@ def shown(names: dict[str, str], *besides: str) -> list[Column]:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is named (tests)."""
+    """The shared folder the cluster names; a folder of our own only where none is named and all runs in one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return named or context.getCheckpointDir()
 
@@ -45,10 +47,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def whole_texts(spark: SparkSession) -> None:
-    """Hand Python at most 1,000 rows at once, for rows are whole texts; a session that asks for fewer keeps its setting."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= 1000:
-        spark.conf.set(key, "1000")
+    """Hand Python at most 1,000 rows and about 64 MB at once, for rows are whole texts; a session that asks for less keeps its settings.
+
+    The settings stay, for a plan reads them when it runs.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20)):
+        if not 0 < int(spark.conf.get(key).rstrip("bB")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, spread: Column) -> DataFrame:
@@ -61,10 +66,12 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, spread: Col
     """
     values = [c for c in right.columns if c not in (key, weight)]
     hot = right.orderBy(F.desc(weight), F.asc(key)).limit(HOT_KEYS).select(F.col(key).alias("_hk"), F.struct(*values).alias("_hot"))
-    cold = right.select(F.col(key).cast("string").alias("_ck"), F.struct(*values).alias("_cold"))
+    cold = right.select(F.col(key).alias("_ck"), F.xxhash64(key).alias("_ch"), F.struct(*values).alias("_cold"))
     out = left.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
-    out = out.withColumn("_jk", F.when(F.col("_hk").isNull() & F.col(key).isNotNull(), F.col(key).cast("string")).otherwise(F.concat(F.lit("\u0001"), spread.cast("string"))))
-    out = out.join(cold, F.col("_jk") == F.col("_ck"), "left")
+    # rows already served, and those without a key, are spread; the second condition keeps them from meeting another key
+    served = F.col("_hk").isNotNull() | F.col(key).isNull()
+    out = out.withColumn("_jk", F.when(served, F.xxhash64(key, spread)).otherwise(F.xxhash64(key)))
+    out = out.join(cold, (F.col("_jk") == F.col("_ch")) & (F.col(key) == F.col("_ck")), "left")
     got = F.coalesce(F.col("_hot"), F.col("_cold"))
     return out.select(*left.columns, *[got[v].alias(v) for v in values])
 

@@ -20,6 +20,10 @@ each is paired with the first and with the one before it. Pairs pass if a second
 lower bound of D. What passes is verified on the full sets. Then, for buckets that still hold several components, the pairs
 across components are tried too, which makes the result exact: no link between different texts is lost. Hot buckets are cut
 into blocks for that, and sketches are compared block against block: no row per pair is made.
+
+Hot keys. Exact copies and members of large families of near copies share their keys. A class is gathered in CELLS cells first, then the cells are; so are the groups that a
+sample of documents shows to be shared by many. Large buckets are ordered cell by cell, and classes and components get
+their names by `lookup`, which broadcasts the largest.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitmap, cut, hide, shown, whole_texts
+from .common import bitmap, cut, hide, lookup, shown, whole_texts
 from .hashing import Words, lower_words, mix, rolling
 
 K = 5
@@ -44,7 +48,11 @@ HOT = 32
 #: Members of a hot bucket that are compared at once with as many others.
 BLOCK = 2048
 BITS = 24
-_ROWS = "sig long, _row long, n int, sketch binary"
+#: Cells among which the rows of one class or hot group are dealt.
+CELLS = 64
+#: Documents looked at, about, to find groups that more than 1/OFTEN of all share.
+SAMPLE, OFTEN = 4096, 512
+_ROWS = "sig long, _row long, cell byte, n int, sketch binary"
 _CLASS = 31
 
 
@@ -108,8 +116,11 @@ def distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _emit(docs: DataFrame, k: int) -> DataFrame:
-    """Per document one class row (n and sketch set), and the signatures of the first document of each class that a task meets."""
+def _emit(docs: DataFrame, k: int, often: np.ndarray) -> DataFrame:
+    """Per document one class row (n and sketch set), and the signatures of the first document of each class that a task meets.
+
+    Class rows and signatures that are in `often` (sorted) have a cell by their row; for others it is -1.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = Words(), set()
@@ -121,10 +132,13 @@ def _emit(docs: DataFrame, k: int) -> DataFrame:
                 row = np.repeat(np.array(rows, np.int64), counts)
                 n, sk = pa.array(ns, pa.int32()), pa.array(sks, pa.binary())
                 head = np.cumsum([0, *counts[:-1]])
+                apart = np.isin(sig, often)
+                apart[head] = True
+                cell = np.where(apart, (mix(row.view(np.uint64)) % np.uint64(CELLS)).astype(np.int8), np.int8(-1))
                 take = np.full(len(sig), -1, np.int64)
                 take[head] = np.arange(len(head))
                 at = pa.array(take, mask=take < 0)
-                return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(row), n.take(at), sk.take(at)], ["sig", "_row", "n", "sketch"])
+                return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(row), pa.array(cell), n.take(at), sk.take(at)], ["sig", "_row", "cell", "n", "sketch"])
 
             held = 0
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -148,15 +162,32 @@ def _emit(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("_row", "_text").mapInArrow(run, _ROWS)
 
 
+def _often(docs: DataFrame, k: int) -> np.ndarray:
+    """Signatures that more than about 1/OFTEN of all documents share, by a sample of about SAMPLE of them; at most OFTEN times a document's signatures. What it misses costs time only."""
+    total = docs.count()
+    if total <= BLOCK:
+        return np.zeros(0, np.int64)
+    few = docs.where(F.shiftrightunsigned(F.xxhash64(F.lit(13), "_row"), 11) / F.lit(float(1 << 53)) < min(1.0, SAMPLE / total))
+    sigs = _emit(few, k, np.zeros(0, np.int64)).where("n IS NULL").groupBy("sig").agg(F.count("*").alias("c"))
+    least = max(BLOCK / total, 1.0 / OFTEN) * min(total, SAMPLE)
+    return np.sort(np.array([r[0] for r in sigs.where(F.col("c") >= least).select("sig").collect()], np.int64))
+
+
 def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
 def _bucket_pairs(members: DataFrame) -> DataFrame:
-    """Each member of a bucket with the bucket's first and with the one before it."""
-    up = Window.partitionBy("sig").orderBy("rep")
+    """Each member of a bucket (sig, rep, c) with the bucket's first and with the one before it. Buckets of more than BLOCK are cut into cells, whose firsts are paired with the bucket's."""
+    cells = F.ceil(F.col("c") / BLOCK).cast("int")
+    members = members.withColumn("_cell", F.pmod(F.xxhash64("rep"), cells).cast("int"))
+    up = Window.partitionBy("sig", "_cell").orderBy("rep")
     near = members.select("rep", F.lag("rep").over(up).alias("prev"), F.first("rep").over(up).alias("first")).where("prev IS NOT NULL")
-    return near.select("rep", F.explode(F.array_distinct(F.array("prev", "first"))).alias("other")).select(*_ordered("rep", "other")).distinct()
+    pairs = near.select("rep", F.explode(F.array_distinct(F.array("prev", "first"))).alias("other"))
+    heads = members.where(F.col("c") > BLOCK).groupBy("sig", "_cell").agg(F.min("rep").alias("rep"))
+    firsts = heads.groupBy("sig").agg(F.min("rep").alias("other"))
+    pairs = pairs.union(heads.join(firsts, "sig").where("rep <> other").select("rep", "other"))
+    return pairs.select(*_ordered("rep", "other")).distinct()
 
 
 def _allowed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -270,7 +301,8 @@ def components(edges: DataFrame) -> DataFrame:
             hook = new.drop("was")
             if new.where("up <> was").isEmpty():
                 break
-        label = done(label.join(hook.withColumnRenamed("root", "comp"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")))
+        named = hook.withColumnRenamed("root", "comp").join(label.groupBy("comp").agg(F.count("*").alias("w")), "comp")
+        label = done(lookup(label, named, "comp", "w", F.col("node")).select("node", F.coalesce("up", "comp").alias("comp")))
         x, y = (hook.select(F.col("root").alias(c), F.col("up").alias(f"{c}_up")) for c in "ab")
         both = done(both.join(x, "a").join(y, "b").where("a_up <> b_up").select(F.col("a_up").alias("a"), F.col("b_up").alias("b")).distinct())
     return label
@@ -285,27 +317,31 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = K, ho
     """
     whole_texts(docs.sparkSession)
     docs = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
-    by_sig = Window.partitionBy("sig")
-    rows = _emit(docs, k).withColumn("c", F.count("*").over(by_sig)).withColumn("rep", F.when(F.col("n").isNotNull(), F.min("_row").over(by_sig)))
-    rows = cut(rows.where("c > 1 OR n IS NOT NULL").drop("c"))
-    every = rows.where("n IS NOT NULL").select("_row", "n", "sketch", "rep")
+    by_cell = Window.partitionBy("sig", "cell")
+    rows = _emit(docs, k, _often(docs, k)).withColumn("c", F.count("*").over(by_cell)).withColumn("near", F.when(F.col("n").isNotNull(), F.min("_row").over(by_cell)))
+    rows = cut(rows.where("c > 1 OR cell >= 0"))
+    every = rows.where("n IS NOT NULL")
+    heads = every.where("_row = near").select("sig", "near", "c")
+    heads = heads.join(heads.groupBy("sig").agg(F.min("near").alias("rep")), "sig").select("near", "rep", "c")
+    every = cut(lookup(every.select("_row", "n", "sketch", "near"), heads, "near", "c", F.col("_row")).drop("near"))
     reps = every.where("_row = rep").select("_row", "n", "sketch")
 
     members = rows.where("n IS NULL").select("sig", "_row").join(every.select("_row", "rep"), "_row").select("sig", "rep").distinct()
-    members = cut(members.withColumn("c", F.count("*").over(by_sig)).where("c > 1"))
+    shared = members.groupBy("sig").agg(F.count("*").alias("w")).where("w > 1").withColumn("c", F.col("w"))
+    members = cut(lookup(members, shared, "sig", "w", F.col("rep")).where("c IS NOT NULL"))
     family = F.col("sig").bitwiseAND(F.lit(31))
     spare = F.element_at(F.array(*[F.lit(groups_of(f)[1]) for f in range(2 * len(BANDS))]), (family + 1).cast("int"))
     heavy = members.where(F.col("c") > hot).groupBy("rep", family.alias("f")).agg(F.count("*").alias("hots"), F.first(spare).alias("spare")).where("hots > spare").select("rep", "f")
-    crowd = members.where(F.col("c") > hot).withColumn("f", family).join(heavy, ["rep", "f"], "left_semi").select("sig", "rep")
-    members = cut(members.where(F.col("c") <= hot).select("sig", "rep").union(crowd))
+    crowd = members.where(F.col("c") > hot).withColumn("f", family).join(heavy, ["rep", "f"], "left_semi").select("sig", "rep", "c")
+    members = cut(members.where(F.col("c") <= hot).select("sig", "rep", "c").union(crowd))
 
     first = cut(_allowed(_bucket_pairs(members), reps))
     links = cut(_verified(first, docs, k))
     found = components(links)
 
     named = members.join(found.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("sig", "rep", F.coalesce("comp", "rep").alias("comp"))
-    open_ = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi AND c > 2").select("sig", "c")
-    left = cut(named.join(open_, "sig"))
+    open_ = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi AND c > 2").select("sig", "c", F.col("c").alias("w"))
+    left = cut(lookup(named, open_, "sig", "w", F.col("rep")).where("c IS NOT NULL"))
     x, y = (left.where(F.col("c") <= hot).join(reps.select(F.col("_row").alias("rep"), "n"), "rep").select("sig", *[F.col(c).alias(f"{s}{c}") for c in ("rep", "comp", "n")]) for s in "xy")
     few = x.join(y, "sig").where("xrep < yrep AND xcomp <> ycomp AND 5 * least(xn, yn) >= 4 * greatest(xn, yn)").select(*_ordered("xrep", "yrep")).distinct()
     many = _block_pairs(left.where(F.col("c") > hot), reps).distinct()
@@ -316,10 +352,11 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = K, ho
         if not extra.isEmpty():
             found = components(links.union(extra))
 
-    comp = every.select("_row", "n", "rep").join(found.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("_row", "n", F.coalesce("comp", "rep").alias("comp"))
+    sizes = every.groupBy("rep").agg(F.count("*").alias("w")).join(found.select(F.col("node").alias("rep"), "comp"), "rep")
+    comp = lookup(every.select("_row", "n", "rep"), sizes, "rep", "w", F.col("_row")).select("_row", "n", F.coalesce("comp", "rep").alias("comp"))
     comp = cut(docs.select("_row", "_id").join(comp, "_row"))
-    least = comp.groupBy("comp").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("least"))
-    out = comp.join(least, "comp")
+    least = comp.groupBy("comp").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("least"), F.count("*").alias("w"))
+    out = lookup(comp, least, "comp", "w", F.col("_row"))
     return out.select(F.col("_id").alias(id), F.col("n").cast("long").alias("n_shingles"), F.col("least._id").alias("component_id"), (F.col("least._row") == F.col("_row")).alias("keep"), "_row")
 
 

@@ -22,8 +22,8 @@ from .common import lookup
 
 #: Payloads from this size on are stored once; later equal ones are revisits.
 DEDUPE_FROM = 1000
-#: Bytes of payload in one archive file, about.
-FILE_BYTES = 24 << 20
+#: Bytes of payload in one archive file, about; pages larger than BIG go to files of their own, of at most MOST_BYTES.
+FILE_BYTES, BIG, MOST_BYTES = 24 << 20, 1 << 20, 1 << 29
 ANCHORS = ("response", "revisit", "resource")
 RECORD = "record_id string, type string, concurrent_to string, refers_to string, target string, date string, digest string, payload_bytes long, payload binary, fields map<string,string>"
 
@@ -55,7 +55,7 @@ def write_archive(pages: DataFrame, path: str, id: str = "page_id", url: str = "
     rows = rows.withColumn("_bytes", F.octet_length("_body").cast("long")).withColumn("_sha", F.sha1(F.col("_body").cast("binary")))
     rows = rows.withColumn("_key", F.when(F.col("_bytes") >= DEDUPE_FROM, F.col("_sha")))
     groups = rows.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.count("*").alias("_n"), F.max(F.struct("_id", "_row")).alias("_of")).where("_n > 1")
-    size = rows.agg(F.avg("_bytes")).first()[0] or 0
+    size = rows.agg(F.avg("_bytes").alias("mean"), F.max("_bytes").alias("most")).first()
     rows = lookup(rows, groups, "_key", "_n", F.col("_row"))
 
     capture = _urn("capture", F.col("_row"), F.col("_id"))
@@ -74,9 +74,13 @@ def write_archive(pages: DataFrame, path: str, id: str = "page_id", url: str = "
         ),
         _record("metadata", _urn("metadata", F.col("_row"), F.col("_id")), date, F.col("_url"), "application/warc-fields", facts, ("WARC-Concurrent-To", capture)),
     )
-    per_file = max(3, 3 * int(FILE_BYTES / (size + 500)))
-    out = rows.select(F.explode(records).alias("value"))
-    out.write.mode("errorifexists").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+    mean, most = size["mean"] or 0, size["most"] or 0
+    parts = [(rows, FILE_BYTES / (mean + 500))]
+    if most > BIG:
+        parts = [(rows.where(F.col("_bytes") <= BIG), min(FILE_BYTES / (mean + 500), MOST_BYTES / BIG)), (rows.where(F.col("_bytes") > BIG), MOST_BYTES / most)]
+    for k, (part, pages_a_file) in enumerate(parts):
+        writer = part.select(F.explode(records).alias("value")).write.mode("append" if k else "errorifexists")
+        writer.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 3 * max(1, int(pages_a_file))).option("compression", "gzip").text(path)
 
 
 def _parse(data: bytes, payloads: bool) -> Iterator[tuple]:

@@ -170,6 +170,16 @@ def test_archives_round_trip(spark, tmp_path):
     assert out == sorted(want, key=str)
 
 
+def test_large_pages_have_files_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BIG", 2000)
+    monkeypatch.setattr(warc, "MOST_BYTES", 10_000)
+    pages = [(k, "u", "x" * (3000 + k if k % 3 == 0 else k)) for k in range(30)]
+    warc.write_archive(saved(spark, tmp_path, pages, PAGES), f"{tmp_path}/w")
+    records = warc.read_records(spark, f"{tmp_path}/w").where("type = 'response'")
+    assert sorted(r.payload_bytes for r in records.collect()) == sorted(len(h) for _, _, h in pages)
+    assert len(list((tmp_path / "w").glob("part*.gz"))) >= 5
+
+
 def test_records_of_a_capture_may_be_chained(spark):
     none = None
     rows = [("a", "response", "q"), ("q", "request", none), ("m", "metadata", "q"), ("n", "metadata", "m2"), ("m2", "metadata", "b"), ("b", "resource", none), ("lost", "metadata", "gone")]
