@@ -62,13 +62,13 @@ def lexicon(docs: DataFrame, text: str, rarest: float = RAREST, commonest: float
 
 
 def with_fingerprint(rows: DataFrame, text: str, lex: Column, into: str) -> DataFrame:
-    """`rows` with the fingerprint of `text`: the hash over all terms, then rate by rate one for each chain, comma-joined, 24 bits each ("-": no term in it).
+    """`rows` with the fingerprint of `text`: the hash over all terms (64 bits), then rate by rate one for each chain (16 bits), comma-joined ("-": no term in it).
 
     A term's 64-bit hashes give it 16 random bits in each chain; the subset of rung k are the terms whose first 2 k bits there are 0. Texts without a term in
     the lexicon use all their terms. The steps are columns of their own, so that each is computed once.
     """
     inside = lambda t: F.getbit(F.get(lex, F.shiftright(slot(t), 6).cast("int")), slot(t).bitwiseAND(F.lit(63)).cast("int")) == 1
-    short = lambda own: F.when(F.size(own) > 0, F.right(F.lower(F.hex(F.xxhash64(own))), F.lit(6))).otherwise("-")
+    short = lambda own, digits: F.when(F.size(own) > 0, F.right(F.lower(F.hex(F.xxhash64(own))), F.lit(digits))).otherwise("-")
     steps = rows.withColumn("_all", terms(F.col(text))).withColumn("_in", F.filter("_all", inside))
     steps = steps.withColumn("_own", F.array_sort(F.when(F.size("_in") > 0, F.col("_in")).otherwise(F.col("_all"))))
     steps = steps.withColumn("_bits", F.array(*[F.transform("_own", (lambda w: lambda t: F.xxhash64(t, F.lit(w)))(w)) for w in range(CHAINS // 4)]))
@@ -76,8 +76,8 @@ def with_fingerprint(rows: DataFrame, text: str, lex: Column, into: str) -> Data
         of = [F.get("_bits", F.lit(j // 4)) if k == 1 else F.get(f"_rung{k - 1}", F.lit(j)) for j in range(CHAINS)]
         mask = [((1 << 2 * k) - 1) << 16 * (j % 4) for j in range(CHAINS)]
         steps = steps.withColumn(f"_rung{k}", F.array(*[F.filter(x, (lambda m: lambda b: b.bitwiseAND(F.lit(m)) == 0)(m)) for x, m in zip(of, mask, strict=True)]))
-    rungs = [F.array_join(F.transform(f"_rung{k}", short), ",") for k in range(1, RUNGS + 1)]
-    return steps.withColumn(into, F.concat_ws(",", short(F.col("_own")), *rungs)).drop("_all", "_in", "_own", "_bits", *[f"_rung{k}" for k in range(1, RUNGS + 1)])
+    rungs = [F.array_join(F.transform(f"_rung{k}", lambda own: short(own, 4)), ",") for k in range(1, RUNGS + 1)]
+    return steps.withColumn(into, F.concat_ws(",", short(F.col("_own"), 16), *rungs)).drop("_all", "_in", "_own", "_bits", *[f"_rung{k}" for k in range(1, RUNGS + 1)])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -95,13 +95,16 @@ def in_runs(docs: DataFrame, id: str, text: str, range_: int = RANGE) -> DataFra
     """(_id, _text, _p, _run): rows in numbered runs of ids, about `range_` rows each, null ids first; _p orders rows of one id.
 
     The cuts are quantiles of a sample of ids (at most about DRAWN * MOST_RANGES reach the driver). An id that holds several ranges' worth of rows (null is one)
-    is spread over as many runs by _p, a hash of the row's place.
+    is spread over as many runs by _p, a hash of the text (a column that depends on the row's values alone, so that Spark
+    shuffles the texts once for all readings of the runs).
     """
-    rows = docs.select(F.col(id).alias("_id"), F.coalesce(text, F.lit("")).alias("_text"), F.shiftrightunsigned(F.xxhash64(F.lit(7), F.monotonically_increasing_id()), 1).alias("_p"))
+    rows = docs.select(F.col(id).alias("_id"), F.coalesce(text, F.lit("")).alias("_text"))
+    rows = rows.withColumn("_p", F.shiftrightunsigned(F.xxhash64(F.lit(7), "_text"), 1))
     n = docs.count()
     ranges = min(MOST_RANGES, -(-n // range_)) or 1
     uniform = F.col("_p") / F.lit(float(1 << 63))
-    drawn = rows.where(uniform < min(1.0, DRAWN * ranges / max(n, 1))).select("_id").collect()
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(7), F.monotonically_increasing_id()), 11) / F.lit(float(1 << 53))
+    drawn = docs.select(F.col(id).alias("_id"), place.alias("_u")).where(F.col("_u") < min(1.0, DRAWN * ranges / max(n, 1))).select("_id").collect()
     ids, per = sorted(r[0] for r in drawn if r[0] is not None), max(1, len(drawn) // ranges)
     at = Counter(ids[per - 1 :: per])
     cuts, parts = list(at), [max(1, -(-(len(drawn) - len(ids)) // per)), *[at[c] if at[c] > 1 else 0 for c in at]]
@@ -143,8 +146,7 @@ def compare(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
     The edited text has its last quarter of code points replaced by as many from the start of the next document (or all it has). Null is
-    empty, null ids come first, and rows that repeat an id follow each other by their place. Other columns are not read. A single row is its own next document.
-    `docs` must be the same when it is read again, as a scan of files is.
+    empty, null ids come first, and rows that repeat an id follow each other by a hash of their text. Other columns are not read. A single row is its own next document.
     """
     lex = lexicon(docs, text)
     rows = with_next(in_runs(docs, id, text), "_text", "_next")

@@ -178,9 +178,11 @@ def _ordered(a: str, b: str) -> list:
 
 
 def _bucket_pairs(members: DataFrame) -> DataFrame:
-    """Each member of a bucket (sig, rep, c) with the bucket's first and with the one before it. Buckets of more than BLOCK are cut into cells, whose firsts are paired with the bucket's."""
-    cells = F.ceil(F.col("c") / BLOCK).cast("int")
-    members = members.withColumn("_cell", F.pmod(F.xxhash64("rep"), cells).cast("int"))
+    """Each member of a bucket (sig, rep, c) with the bucket's first and with the one before it. Buckets of more than BLOCK are cut into cells, whose firsts are paired with the bucket's.
+
+    A cell is what comes from one partition of the input: so neighbours are the same in all buckets that two members share.
+    """
+    members = members.withColumn("_cell", F.when(F.col("c") > BLOCK, F.shiftright("rep", 33)).otherwise(0).cast("int"))
     up = Window.partitionBy("sig", "_cell").orderBy("rep")
     near = members.select("rep", F.lag("rep").over(up).alias("prev"), F.first("rep").over(up).alias("first")).where("prev IS NOT NULL")
     pairs = near.select("rep", F.explode(F.array_distinct(F.array("prev", "first"))).alias("other"))

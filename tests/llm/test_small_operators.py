@@ -445,18 +445,18 @@ def brute_fingerprints(texts, rarest=imatch.RAREST, commonest=imatch.COMMONEST):
     df = Counter(t for o in own for t in o)
     lex = {t % (1 << imatch.BITS) for t, n in df.items() if rarest * len(texts) <= n <= max(2, commonest * len(texts))}
 
-    def short(xs):
+    def short(xs, digits=4):
         h = 42
         for x in xs:
             h = xxhash.xxh64_intdigest(struct.pack("<q", x), h)
-        return f"{h:x}"[-6:] if xs else "-"
+        return f"{h:x}"[-digits:] if xs else "-"
 
     out = []
     for o in own:
         terms = sorted({t for t in o if t % (1 << imatch.BITS) in lex} or o)
         bits = [[xxhash.xxh64_intdigest(struct.pack("<i", w), xxhash.xxh64_intdigest(struct.pack("<q", t), 42)) for t in terms] for w in range(4)]
         rungs = [short([signed(b) for b in bits[j // 4] if (b >> 16 * (j % 4)) % 4**k == 0]) for k in range(1, imatch.RUNGS + 1) for j in range(imatch.CHAINS)]
-        out.append(",".join([short(terms), *rungs]))
+        out.append(",".join([short(terms, 16), *rungs]))
     return out
 
 
@@ -483,7 +483,7 @@ def test_fingerprints_are_those_of_brute_force(spark, tmp_path, words):
 
 def test_runs_hold_few_rows_whatever_the_ids(spark, tmp_path):
     """Sparse ids, many null ids and one id a thousand times: no run is large, and the order over all runs is that of the ids."""
-    rows = [(k * 10**12, "a") for k in range(3000)] + [(None, "b")] * 3000 + [(7 * 10**12, "c")] * 3000
+    rows = [(k * 10**12, "a") for k in range(3000)] + [(None, f"b{k}") for k in range(3000)] + [(7 * 10**12, f"c{k}") for k in range(3000)]
     df = imatch.in_runs(saved(spark, tmp_path, rows), "doc_id", "text", 100)
     runs = df.groupBy("_run").agg(F.count("*").alias("n")).agg(F.max("n"), F.count("*")).first()
     assert runs[0] < 500 and runs[1] > 60
