@@ -92,14 +92,20 @@ def cidr_cover(start: Column, count: Column) -> Column:
     parent does not. Per k only the first and the last aligned block of the range can qualify.
     """
     end = start + count
-    picks = []
-    for k in range(33):
-        step = 1 << k
-        first = F.shiftright(start + F.lit(step - 1), k) * step
-        last = F.shiftright(end, k) * step - step
-        for at in (first.cast("long"), last.cast("long")):
-            parent = F.shiftright(at, k + 1) * (2 * step)
+    power = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+
+    def picks(k: Column) -> Column:
+        step = power(k)
+        first, last = start + step - 1 - (start + step - 1) % step, end - end % step - step
+
+        def pick(at: Column) -> Column:
+            parent = at - at % (2 * step)
             inside = (at >= start) & (at + step <= end)
-            parent_in = (parent >= start) & (parent + 2 * step <= end) & F.lit(k < 32)
-            picks.append(F.when(inside & ~parent_in, F.struct(at.alias("addr"), F.lit(32 - k).alias("plen"))))
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*picks))))
+            parent_in = (parent >= start) & (parent + 2 * step <= end) & (k < 32)
+            return F.when(inside & ~parent_in, F.struct(at.cast("long").alias("addr"), (32 - k).alias("plen")))
+
+        return F.array(pick(first), F.when(last != first, pick(last)))
+
+    levels = F.sequence(F.lit(0), F.least(F.lit(32), F.floor(F.log2(count.cast("double"))).cast("int")))
+    none = F.array().cast("array<struct<addr:bigint,plen:int>>")
+    return F.when(count >= 1, F.array_sort(F.array_compact(F.flatten(F.transform(levels, picks))))).otherwise(none)

@@ -16,11 +16,11 @@ AFTER = Window("after", 883_612_800, 946_684_800)
 
 
 def _search_blocks(spark, sf_dir):
-    rows = prefixes(spark, sf_dir).where("seq % 3 = 0 AND plen IN (16, 18, 20)")
+    rows = prefixes(spark, sf_dir).where("plen IN (16, 18, 20)")
     return rows.select(F.col("prefix").alias("block")).distinct()
 
 
-_SEARCH = f"p AS {PREFIX_SQL}, b AS (SELECT DISTINCT addr, plen, prefix AS block FROM p WHERE seq % 3 = 0 AND plen IN (16, 18, 20)), up AS (SELECT p.prefix, k, p.addr - p.addr % (1 << (32 - k)) AS a FROM (SELECT DISTINCT prefix, addr, plen FROM p) p CROSS JOIN (VALUES (16), (18), (20)) AS x(k) WHERE k <= p.plen), best AS (SELECT up.prefix, arg_max(b.block, b.plen) AS block FROM up JOIN b ON b.addr = up.a AND b.plen = up.k GROUP BY up.prefix)"
+_SEARCH = f"p AS {PREFIX_SQL}, b AS (SELECT DISTINCT addr, plen, prefix AS block FROM p WHERE plen IN (16, 18, 20)), up AS (SELECT p.prefix, k, p.addr - p.addr % (1 << (32 - k)) AS a FROM (SELECT DISTINCT prefix, addr, plen FROM p) p CROSS JOIN (VALUES (16), (18), (20)) AS x(k) WHERE k <= p.plen), best AS (SELECT up.prefix, arg_max(b.block, b.plen) AS block FROM up JOIN b ON b.addr = up.a AND b.plen = up.k GROUP BY up.prefix)"
 
 
 @query(f"WITH {_SEARCH} SELECT p.seq, p.prefix, best.block FROM p LEFT JOIN best ON best.prefix = p.prefix")
@@ -28,9 +28,9 @@ def lpm_match(spark, sf_dir):
     return lpm.match_longest(prefixes(spark, sf_dir).select("seq", "prefix"), _search_blocks(spark, sf_dir))
 
 
-@query(f"WITH p AS {PREFIX_SQL}, t AS (SELECT DISTINCT prefix, addr, plen, CASE WHEN seq % 2 = 0 THEN 'A' ELSE 'B' END AS cc FROM p WHERE seq % 5 < 2) SELECT x.prefix, x.cc, y.prefix AS other, y.cc AS other_tag FROM t x JOIN t y ON y.plen <= x.plen AND y.addr = x.addr - x.addr % (1 << (32 - y.plen)) AND x.cc <> y.cc")
+@query(f"WITH p AS {PREFIX_SQL}, t AS (SELECT DISTINCT prefix, addr, plen, CASE WHEN seq % 2 = 0 THEN 'A' ELSE 'B' END AS cc FROM p), up AS (SELECT t.*, k, addr - addr % (1 << (32 - k)) AS a FROM t CROSS JOIN (SELECT DISTINCT plen AS k FROM t) WHERE k <= plen) SELECT x.prefix, x.cc, y.prefix AS other, y.cc AS other_tag FROM up x JOIN t y ON y.plen = x.k AND y.addr = x.a AND x.cc <> y.cc")
 def population_overlaps(spark, sf_dir):
-    rows = prefixes(spark, sf_dir).where("seq % 5 < 2").select("prefix", F.when(F.col("seq") % 2 == 0, "A").otherwise("B").alias("cc"))
+    rows = prefixes(spark, sf_dir).select("prefix", F.when(F.col("seq") % 2 == 0, "A").otherwise("B").alias("cc"))
     return lpm.overlaps(rows)
 
 
@@ -98,12 +98,12 @@ def restoration_order_by_type(spark, sf_dir):
 
 
 _HIST = """edges AS (SELECT CAST(k AS INTEGER) AS bin, k * 0.005 AS bin_lo, CASE WHEN k = 199 THEN 1.0 ELSE (k + 1) * 0.005 END AS bin_hi FROM (SELECT CAST(unnest(generate_series(0, 199)) AS DOUBLE) AS k)),
-    vals AS (SELECT l_discount * 7 + (l_orderkey % 31) / 100.0::DOUBLE AS v FROM lineitem WHERE l_linenumber <= 3),
+    vals AS (SELECT l_discount * 7 + (l_orderkey % 31) / 100.0::DOUBLE AS v FROM lineitem),
     hist AS (SELECT e.bin, e.bin_lo, e.bin_hi, count(v) AS "count" FROM edges e LEFT JOIN vals ON v >= bin_lo AND (v < bin_hi OR (bin = 199 AND v <= bin_hi)) GROUP BY ALL)"""
 
 
 def _hist(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select((F.col("l_discount") * 7 + (F.col("l_orderkey") % 31) / F.lit(100.0)).alias("v"))
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_discount") * 7 + (F.col("l_orderkey") % 31) / F.lit(100.0)).alias("v"))
     return calibration.histogram(rows, "v", 200)
 
 
@@ -120,13 +120,13 @@ def histogram_valley(spark, sf_dir):
     return rounded(calibration.find_valley(_hist(spark, sf_dir), 0.2, 0.8), "valley_lo", "valley_hi")
 
 
-_SERIES = "o AS (SELECT epoch_us(o_orderdate) // 86400000000 AS ts, CAST(o_orderkey % 101 AS DOUBLE) / 100 AS visibility FROM orders WHERE o_orderkey % 3 > 0), l AS (SELECT epoch_us(l_shipdate) // 86400000000 AS ts, l_discount * 10 AS visibility FROM lineitem)"
+_SERIES = "o AS (SELECT epoch_us(o_orderdate) // 86400000000 AS ts, CAST(o_orderkey % 101 AS DOUBLE) / 100 AS visibility FROM orders), l AS (SELECT epoch_us(l_shipdate) // 86400000000 AS ts, l_discount * 10 AS visibility FROM lineitem)"
 
 
 @query(f"WITH {_SERIES}, s AS (SELECT ts FROM o INTERSECT SELECT ts FROM l), a AS (SELECT 'orders' AS series, * FROM o WHERE ts IN (FROM s) UNION ALL SELECT 'lines', * FROM l WHERE ts IN (FROM s)) SELECT series, count(*) AS n, " + ", ".join(f"round(avg(CASE WHEN {c} THEN 1.0 ELSE 0 END), 9) AS {n}" for n, c in (("ambiguous_share", "visibility BETWEEN 0.2 AND 0.8"), ("near_zero_share", "visibility <= 0.2"), ("near_one_share", "visibility >= 0.8"))) + " FROM a GROUP BY series")
 def bimodality_summary(spark, sf_dir):
     day = lambda c: F.floor(seconds(F.col(c)) / 86_400)
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 3 > 0").select(day("o_orderdate").alias("ts"), ((F.col("o_orderkey") % 101).cast("double") / 100).alias("visibility"))
+    orders = table(spark, sf_dir, "orders").select(day("o_orderdate").alias("ts"), ((F.col("o_orderkey") % 101).cast("double") / 100).alias("visibility"))
     lines = table(spark, sf_dir, "lineitem").select(day("l_shipdate").alias("ts"), (F.col("l_discount") * 10).alias("visibility"))
     return rounded(calibration.bimodality({"orders": orders, "lines": lines}), "ambiguous_share", "near_zero_share", "near_one_share")
 
@@ -137,7 +137,7 @@ def monthly_band(spark, sf_dir):
     return rounded(calibration.monthly_band(rows, "v").withColumn("month", F.unix_seconds("month")), "lo", "hi", to=4)
 
 
-@query("SELECT n_nationkey AS cc, c_custkey AS asn, org, space, rank FROM (SELECT c_nationkey AS n_nationkey, c_custkey, org, space, row_number() OVER (PARTITION BY c_nationkey ORDER BY space DESC, f, c_custkey) AS rank FROM (SELECT c.*, 'o' || CAST(c_custkey % 40 AS VARCHAR) AS org, coalesce(s.space, 0) AS space, min(c_custkey) OVER (PARTITION BY c_nationkey, c_custkey % 40) AS f FROM customer c LEFT JOIN (SELECT s_suppkey % 40 AS o, CAST(sum(s_suppkey % 5) AS BIGINT) AS space FROM supplier WHERE s_suppkey % 3 > 0 GROUP BY 1) s ON s.o = c_custkey % 40)) ")
+@query("SELECT n_nationkey AS cc, c_custkey AS asn, org, space, rank FROM (SELECT c_nationkey AS n_nationkey, c_custkey, org, space, row_number() OVER (PARTITION BY c_nationkey ORDER BY space DESC, f, c_custkey) AS rank FROM (SELECT c.*, 'o' || CAST(c_custkey % 40 AS VARCHAR) AS org, coalesce(s.space, 0) AS space, min(c_custkey) OVER (PARTITION BY c_nationkey, c_custkey % 40) AS f FROM customer c LEFT JOIN (SELECT s_suppkey % 40 AS o, CAST(sum(s_suppkey % 5) AS BIGINT) AS space FROM supplier GROUP BY 1) s ON s.o = c_custkey % 40)) ")
 def org_rank(spark, sf_dir):
     return _ranked(spark, sf_dir)
 
@@ -145,24 +145,24 @@ def org_rank(spark, sf_dir):
 def _ranked(spark, sf_dir):
     org = lambda c: F.concat(F.lit("o"), (F.col(c) % 40).cast("string")).alias("org")
     asns = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("cc"), F.col("c_custkey").alias("asn"), org("c_custkey"), F.col("c_custkey").alias("seq"))
-    space = table(spark, sf_dir, "supplier").where("s_suppkey % 3 > 0").select(org("s_suppkey"), (F.col("s_suppkey") % 5).alias("size"))
+    space = table(spark, sf_dir, "supplier").select(org("s_suppkey"), (F.col("s_suppkey") % 5).alias("size"))
     return registry.rank_by_space(asns, space).select("cc", "asn", "org", "space", "rank")
 
 
-@query("WITH r AS (SELECT c_nationkey AS cc, c_custkey AS asn, c_acctbal > 2000 AS adequate, row_number() OVER (PARTITION BY c_nationkey ORDER BY space DESC, f, c_custkey) AS rank FROM (SELECT c.*, coalesce(s.space, 0) AS space, min(c_custkey) OVER (PARTITION BY c_nationkey, c_custkey % 40) AS f FROM customer c LEFT JOIN (SELECT s_suppkey % 40 AS o, sum(s_suppkey % 5) AS space FROM supplier WHERE s_suppkey % 3 > 0 GROUP BY 1) s ON s.o = c_custkey % 40)) SELECT cc, asn, rank, place FROM (SELECT *, row_number() OVER (PARTITION BY cc ORDER BY rank) AS place FROM r WHERE rank <= 40 AND adequate) WHERE place <= 10")
+@query("WITH r AS (SELECT c_nationkey AS cc, c_custkey AS asn, c_acctbal > 2000 AS adequate, row_number() OVER (PARTITION BY c_nationkey ORDER BY space DESC, f, c_custkey) AS rank FROM (SELECT c.*, coalesce(s.space, 0) AS space, min(c_custkey) OVER (PARTITION BY c_nationkey, c_custkey % 40) AS f FROM customer c LEFT JOIN (SELECT s_suppkey % 40 AS o, sum(s_suppkey % 5) AS space FROM supplier GROUP BY 1) s ON s.o = c_custkey % 40)) SELECT cc, asn, rank, place FROM (SELECT *, row_number() OVER (PARTITION BY cc ORDER BY rank) AS place FROM r WHERE rank <= 40 AND adequate) WHERE place <= 10")
 def org_rank_topn(spark, sf_dir):
     good = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("asn"), (F.col("c_acctbal") > 2000).alias("adequate"))
     return registry.top_adequate(_ranked(spark, sf_dir).join(good, "asn")).select("cc", "asn", "rank", "place")
 
 
-@query("SELECT coalesce(c.asn, s.asn) AS asn, coalesce(nullif(c.n, ''), s.n, c.n, '') AS org_name, CASE WHEN c.asn IS NULL THEN '' ELSE c.t END AS type, CASE WHEN c.asn IS NULL THEN '' ELSE 'kept' END AS notes FROM (SELECT c_custkey AS asn, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_name END AS n, c_mktsegment AS t FROM customer WHERE c_custkey % 2 = 0) c FULL JOIN (SELECT s_suppkey * 3 AS asn, s_name AS n FROM supplier) s USING (asn)")
+@query("SELECT coalesce(c.asn, s.asn) AS asn, coalesce(nullif(c.n, ''), s.n, c.n, '') AS org_name, CASE WHEN c.asn IS NULL THEN '' ELSE c.t END AS type, CASE WHEN c.asn IS NULL THEN '' ELSE 'kept' END AS notes FROM (SELECT c_custkey AS asn, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_name END AS n, c_mktsegment AS t FROM customer) c FULL JOIN (SELECT s_suppkey * 31 AS asn, s_name AS n FROM supplier) s USING (asn)")
 def registry_merge(spark, sf_dir):
-    old = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("asn"), F.when(F.col("c_custkey") % 4 == 0, "").otherwise(F.col("c_name")).alias("org_name"), F.col("c_mktsegment").alias("type"), F.lit("kept").alias("notes"))
-    new = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 3).alias("asn"), F.col("s_name").alias("org_name"))
+    old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("asn"), F.when(F.col("c_custkey") % 4 == 0, "").otherwise(F.col("c_name")).alias("org_name"), F.col("c_mktsegment").alias("type"), F.lit("kept").alias("notes"))
+    new = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 31).alias("asn"), F.col("s_name").alias("org_name"))
     return registry.merge_classification(old, new)
 
 
-@query("WITH a AS (SELECT s_suppkey AS org, 64000 + s_suppkey AS asn FROM supplier WHERE s_suppkey % 3 = 0), held AS (SELECT org % 10 AS org, array_to_string(list_sort(list(DISTINCT asn)), ',') AS org_asns FROM a GROUP BY 1) SELECT 'c' || CAST(c_custkey AS VARCHAR) AS prefix, CAST(c_custkey % 15 AS BIGINT) AS org, org_asns FROM customer JOIN held ON held.org = c_custkey % 15")
+@query("WITH a AS (SELECT s_suppkey AS org, 64000 + s_suppkey AS asn FROM supplier), held AS (SELECT org % 10 AS org, array_to_string(list_sort(list(DISTINCT asn)), ',') AS org_asns FROM a GROUP BY 1) SELECT 'c' || CAST(c_custkey AS VARCHAR) AS prefix, CAST(c_custkey % 15 AS BIGINT) AS org, org_asns FROM customer JOIN held ON held.org = c_custkey % 15")
 def org_blocks(spark, sf_dir):
     asns = table(spark, sf_dir, "supplier").select(F.lit("asn").alias("type"), (F.col("s_suppkey") % 10).alias("org"), (F.col("s_suppkey") + 64_000).alias("asn"), F.lit(None).cast("string").alias("prefix"), F.lit(None).cast("int").alias("family"), F.lit("IR").alias("cc"))
     nets = table(spark, sf_dir, "customer").select(F.lit("ipv4").alias("type"), (F.col("c_custkey") % 15).alias("org"), F.lit(None).cast("long").alias("asn"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("prefix"), F.lit(4).alias("family"), F.lit("IR").alias("cc"))
@@ -186,11 +186,11 @@ def degraded_cells(spark, sf_dir):
     return visibility.stamp_fullfeed(visibility.drop_degraded(_cells(spark, sf_dir), 15))
 
 
-@query("SELECT o_orderkey, p.asn, p.ts, EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey % 50 = p.asn AND p.ts BETWEEN epoch_us(l_shipdate) // 86400000000 AND epoch_us(l_shipdate) // 86400000000 + l_orderkey % 4 AND l_linenumber = 1) AS active FROM (SELECT o_orderkey, o_custkey % 50 AS asn, epoch_us(o_orderdate) // 86400000000 AS ts FROM orders) p")
+@query("SELECT o_orderkey, p.asn, p.ts, EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey % 50 = p.asn AND p.ts BETWEEN epoch_us(l_shipdate) // 86400000000 AND epoch_us(l_shipdate) // 86400000000 + l_orderkey % 4) AS active FROM (SELECT o_orderkey, o_custkey % 50 AS asn, epoch_us(o_orderdate) // 86400000000 AS ts FROM orders) p")
 def interval_stab(spark, sf_dir):
     day = lambda c: F.floor(seconds(F.col(c)) / 86_400)
     points = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("asn"), day("o_orderdate").alias("ts"))
-    periods = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select((F.col("l_suppkey") % 50).alias("asn"), day("l_shipdate").alias("start"), (day("l_shipdate") + F.col("l_orderkey") % 4).alias("end"))
+    periods = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("asn"), day("l_shipdate").alias("start"), (day("l_shipdate") + F.col("l_orderkey") % 4).alias("end"))
     return comparison.active_at(points, periods)
 
 
@@ -222,12 +222,12 @@ def duplicate_keys(spark, sf_dir):
     return quality.duplicates(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_suppkey"])
 
 
-@query(f"""WITH r AS (SELECT o_orderkey, 167772160 + o_orderkey * 977 AS s, 1 + (o_orderkey * 7919) % 5000 AS n FROM orders WHERE o_orderkey < 1000000),
+@query(f"""WITH r AS (SELECT o_orderkey, 167772160 + (o_orderkey * 977) % 4000000000 AS s, 1 + (o_orderkey * 7919) % 5000 AS n FROM orders),
     k AS (SELECT CAST(unnest(generate_series(0, 13)) AS INTEGER) AS k), c AS (SELECT DISTINCT o_orderkey, s, s + n AS e, k, unnest([((s + (1 << k) - 1) >> k) << k, (((s + n) >> k) << k) - (1 << k)]) AS a FROM r CROSS JOIN k)
     SELECT o_orderkey, {text_sql('a', '32 - k')} AS prefix FROM c WHERE a >= s AND a + (1 << k) <= e AND NOT ((a >> (k + 1)) << (k + 1) >= s AND ((a >> (k + 1)) << (k + 1)) + (1 << (k + 1)) <= e)""")
 def cidr_cover_ranges(spark, sf_dir):
-    start, count = F.lit(167_772_160) + F.col("o_orderkey") * 977, 1 + (F.col("o_orderkey") * 7919) % 5000
-    rows = table(spark, sf_dir, "orders").where("o_orderkey < 1000000").select("o_orderkey", F.explode(cidr_cover(start, count)).alias("c"))
+    start, count = F.lit(167_772_160) + (F.col("o_orderkey") * 977) % 4_000_000_000, 1 + (F.col("o_orderkey") * 7919) % 5000
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(cidr_cover(start, count)).alias("c"))
     return rows.select("o_orderkey", v4_text(F.col("c.addr"), F.col("c.plen")).alias("prefix"))
 
 
