@@ -22,8 +22,8 @@ across components are tried too, which makes the result exact: no link between d
 into blocks for that, and sketches are compared block against block: no row per pair is made.
 
 Hot keys. Exact copies and members of large families of near copies share their keys. A class is gathered in CELLS cells first, then the cells are; so are the groups that a
-sample of documents shows to be shared by many. Large buckets are ordered cell by cell, and classes and components get
-their names by `lookup`, which broadcasts the largest.
+sample of documents shows to be shared by many. Large buckets are ordered cell by cell, and documents get the names of their
+classes and components by `lookup`, which broadcasts the largest.
 """
 
 from __future__ import annotations
@@ -303,8 +303,7 @@ def components(edges: DataFrame) -> DataFrame:
             hook = new.drop("was")
             if new.where("up <> was").isEmpty():
                 break
-        named = hook.withColumnRenamed("root", "comp").join(label.groupBy("comp").agg(F.count("*").alias("w")), "comp")
-        label = done(lookup(label, named, "comp", "w", F.col("node")).select("node", F.coalesce("up", "comp").alias("comp")))
+        label = done(label.join(hook.withColumnRenamed("root", "comp"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")))
         x, y = (hook.select(F.col("root").alias(c), F.col("up").alias(f"{c}_up")) for c in "ab")
         both = done(both.join(x, "a").join(y, "b").where("a_up <> b_up").select(F.col("a_up").alias("a"), F.col("b_up").alias("b")).distinct())
     return label
@@ -324,7 +323,7 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = K, ho
     rows = cut(rows.where("c > 1 OR cell >= 0"))
     every = rows.where("n IS NOT NULL")
     heads = every.where("_row = near").select("sig", "near", "c")
-    heads = heads.join(heads.groupBy("sig").agg(F.min("near").alias("rep")), "sig").select("near", "rep", "c")
+    heads = heads.withColumn("rep", F.min("near").over(Window.partitionBy("sig"))).select("near", "rep", "c")  # CELLS rows a class at most
     every = cut(lookup(every.select("_row", "n", "sketch", "near"), heads, "near", "c", F.col("_row")).drop("near"))
     reps = every.where("_row = rep").select("_row", "n", "sketch")
 
