@@ -48,6 +48,8 @@ HOT = 32
 #: Members of a hot bucket that are compared at once with as many others.
 BLOCK = 2048
 BITS = 24
+#: Edges that one task takes when components are found: small graphs make few files.
+EDGES = 200_000
 #: Cells among which the rows of one class or hot group are dealt.
 CELLS = 64
 #: Documents looked at, about, to find groups that more than 1/OFTEN of all share.
@@ -288,9 +290,11 @@ def components(edges: DataFrame) -> DataFrame:
     A root that has no smaller one beside it takes in a neighbour, or sees a smaller root in the next round; so two rounds at least
     halve the roots of each unfinished component, whatever its diameter and the order of its rows.
     """
+    parts = -(-edges.count() // EDGES) or 1  # what follows only shrinks
+
     def done(df: DataFrame) -> DataFrame:
-        """Checkpointed, as new rows: else the optimiser's estimate of the size is squared by every join, to numbers of millions of digits."""
-        spark, rows = df.sparkSession, cut(df)._jdf
+        """Checkpointed in as many partitions as the edges need, as new rows: else the optimiser's estimate of the size is squared by every join, to numbers of millions of digits."""
+        spark, rows = df.sparkSession, cut(df.coalesce(parts))._jdf
         return type(df)(spark._jsparkSession.createDataFrame(rows.toJavaRDD(), rows.schema()), spark)
 
     both = done(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
