@@ -116,7 +116,8 @@ def in_runs(docs: DataFrame, id: str, text: str, range_: int = RANGE) -> DataFra
     share = F.get(const(parts), F.col("_k"))
     same = F.col("_id").isNull() | (F.get(const(cuts), F.col("_k") - 1) == F.col("_id"))
     sub = F.when(same & (share > 0), F.floor(uniform * share)).otherwise(share)
-    return rows.withColumn("_run", F.get(const(first), F.col("_k")) + sub).drop("_k")
+    # never null, which Spark can tell: no join adds a filter below the shuffle, and all readings of the runs share one
+    return rows.withColumn("_run", F.coalesce(F.get(const(first), F.col("_k")) + sub, F.lit(0).cast("bigint"))).drop("_k")
 
 
 def with_next(rows: DataFrame, value: str, into: str) -> DataFrame:
