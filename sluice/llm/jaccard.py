@@ -331,7 +331,9 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = K, ho
     every = cut(lookup(every.select("_row", "n", "sketch", "near"), heads, "near", "c", F.col("_row")).drop("near"))
     reps = every.where("_row = rep").select("_row", "n", "sketch")
 
-    members = rows.where("n IS NULL").select("sig", "_row").join(every.select("_row", "rep"), "_row").select("sig", "rep").distinct()
+    # a signature is never null; where Spark can tell, joins add no filter, and the readings of `members` share their shuffles
+    sigs = rows.where("n IS NULL").select(F.coalesce("sig", F.lit(0).cast("long")).alias("sig"), "_row")
+    members = sigs.join(every.select("_row", "rep"), "_row").select("sig", "rep").distinct()
     shared = members.groupBy("sig").agg(F.count("*").alias("w")).where("w > 1").withColumn("c", F.col("w"))
     members = cut(lookup(members, shared, "sig", "w", F.col("rep")).where("c IS NOT NULL"))
     family = F.col("sig").bitwiseAND(F.lit(31))
