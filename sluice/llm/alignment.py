@@ -50,7 +50,7 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        self.numbers, self.states, self.steps, self.n = {self.REST: 0}, [self.REST], [{}], 0
+        self.numbers, self.states, self.leads, self.steps, self.n = {self.REST: 0}, [self.REST], [self.REST[0]], [{}], 0
 
     def _step(self, state: int, token: int) -> int:
         """The next state, -1 where bytes disagree."""
@@ -65,95 +65,146 @@ class Transducer:
         number = -1 if then is None else 0 if not then[1] else self.numbers.setdefault(then, len(self.states))
         if number == len(self.states):
             self.states.append(then)
+            self.leads.append(then[0])
             self.steps.append({})
         self.steps[state][token] = number
         self.n += 1
         return number
 
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[int, int]] | None:
-        """How many tokens of each side there are up to the end of each group; None where the sides spell different bytes."""
+    def groups(self, a: list[int], b: list[int], sizes: list[tuple[int, int]]) -> tuple[list[int], list[int], list[int]]:
+        """For words one after the other, of so many tokens of each side: how many tokens of either side there are up to the end of each group, and how many groups a word has.
+
+        A word whose sides spell different bytes has no groups, and -1 as their number.
+        """
         if self.n > STEPS:
             self.reset()
-        steps, states, at, state, ends, tokens, many = self.steps, self.states, [0, 0], 0, [], (b, a), (len(b), len(a))
-        while True:
-            side = states[state][0]
-            k = at[side]
-            if k == many[side]:
-                return ends if not state and at[0] == many[0] else None
-            token = tokens[side][k]
-            at[side] = k + 1
-            then = steps[state].get(token)
-            state = self._step(state, token) if then is None else then
-            if state <= 0:
-                if state:
-                    return None
-                ends.append((at[1], at[0]))
+        steps, leads, i, j, left, right, found = self.steps, self.leads, 0, 0, [], [], []
+        for na, nb in sizes:
+            i_end, j_end, state, before = i + na, j + nb, 0, len(left)
+            while state >= 0:
+                if leads[state]:
+                    if i == i_end:
+                        break
+                    token = a[i]
+                    i += 1
+                else:
+                    if j == j_end:
+                        break
+                    token = b[j]
+                    j += 1
+                then = steps[state].get(token)
+                state = self._step(state, token) if then is None else then
+                if not state:
+                    left.append(i)
+                    right.append(j)
+            if state or i < i_end or j < j_end:
+                del left[before:], right[before:]
+                found.append(-1)
+            else:
+                found.append(len(left) - before)
+            i, j = i_end, j_end
+        return left, right, found
 
 
 class Aligner:
-    """What a worker knows of words: figures, groups as text and links, a pair of ids as one number. None for words whose sides differ from their bytes."""
+    """What a worker knows of words: n_a, n_b, n_groups, n_links, the groups as text, and the links (pairs of ids as numbers, as bytes). None for words that one side does not spell."""
 
     def __init__(self, left: str, right: str) -> None:
         self.a, self.b = vocab.ByteLevel(left), vocab.Pieces(right)
         self.cuts = self.a.cuts and self.b.cuts
         self.transducer = Transducer(self.a.bytes, self.b.bytes)
         self.known = vocab.Memo(self.learn, KNOWN)
+        top = 1 + max(*self.a.bytes, len(self.b.bytes))
+        self.text = np.array([[f"{i}{sep}" for i in range(top)] for sep in ("", ",", "|", ";")], object)
 
     def learn(self, words: list[str]) -> dict[str, tuple | None]:
-        left = self.a.encode_words(words)
-        return {w: self._entry(w, np.frombuffer(left[w], "<u4").tolist(), b) for w, b in zip(words, self.b.encode(words))}
-
-    def _entry(self, word: str, a: list[int], b: list[int]) -> tuple | None:
-        ends = self.transducer.groups(a, b)
-        if not ends or b"".join(map(self.a.bytes.__getitem__, a)) != b" " + word.encode():
-            return None
-        said, links, i, j = [], [], 0, 0
-        for k, m in ends:
-            if k - i == 1 == m - j:
-                x, y = a[i], b[j]
-                said.append(f"{x}|{y}")
-                links.append(x << 32 | y)
-            else:
-                xs, ys = a[i:k], b[j:m]
-                said.append(f"{','.join(map(str, xs))}|{','.join(map(str, ys))}")
-                links += [x << 32 | y for x in xs for y in ys]
-            i, j = k, m
-        return len(a), len(b), len(ends), len(links), ";".join(said), links
-
-    def words(self, texts: list[str | None]) -> Iterator[list[tuple[str, tuple]]]:
-        """The words of each text with their entries; none for a text that is empty or not spelled by both sides."""
-        split = [(vocab.CUT.split(t) if self.cuts else [t]) if t else [] for t in texts]
-        self.known.need(set().union(*split))
-        for text, words in zip(texts, split):
-            out = [(w, self.known[w]) for w in words]
-            if any(e is None for _, e in out):  # the sides may yet agree on the whole
-                whole = self.learn([text])[text] if len(words) > 1 else None
-                out = [(text, whole)] if whole else []
-            yield out
+        if not words:
+            return {}
+        left, right = self.a.encode_words(words), self.b.encode(words)
+        a = np.frombuffer(b"".join(map(left.__getitem__, words)), "<u4").astype(np.int64)
+        b = np.fromiter(chain.from_iterable(right), np.int64)
+        na, nb = [len(left[w]) // 4 for w in words], [*map(len, right)]
+        ids = a.tolist()
+        left, right, found = self.transducer.groups(ids, b.tolist(), [*zip(na, nb)])
+        spelled = [*map(self.a.bytes.__getitem__, ids)]
+        if b"".join(spelled) != b"".join(b" " + w.encode() for w in words):
+            ends = np.cumsum(na).tolist()
+            found = [-1 if b"".join(spelled[e - n : e]) != b" " + w.encode() else f for w, n, e, f in zip(words, na, ends, found)]
+        return dict(zip(words, self._entries(a, b, np.array(na), np.array(nb), np.array(left, np.int64), np.array(right, np.int64), np.array(found))))
+
+    def _entries(self, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, left: np.ndarray, right: np.ndarray, found: np.ndarray) -> Iterator[tuple | None]:
+        """Of all words at once. A word without groups stands in `a` and `b` and has none in `left` and `right`, so tokens are taken by group."""
+        word = np.repeat(np.arange(len(found)), np.maximum(found, 0))
+        first_a, first_b = np.cumsum(na) - na, np.cumsum(nb) - nb
+        begins = np.diff(word, prepend=-1) > 0  # of groups: the first of a word
+        start_a = np.where(begins, first_a[word], np.concatenate([[0], left[:-1]]))
+        start_b = np.where(begins, first_b[word], np.concatenate([[0], right[:-1]]))
+        p, q = left - start_a, right - start_b
+        # text: the tokens of a group's left side, then those of its right side, each with what follows it
+        at_a, at_b = places(start_a, p), places(start_b, q)
+        order = np.cumsum(p + q) - (p + q)
+        texts = np.empty(int((p + q).sum()), object)
+        sep_a, sep_b = np.ones(len(at_a), np.int8), np.ones(len(at_b), np.int8)
+        sep_a[np.cumsum(p) - 1], sep_b[np.cumsum(q) - 1] = 2, np.where(np.diff(word, append=-1) != 0, 0, 3)
+        texts[places(order, p)] = self.text[sep_a, a[at_a]]
+        texts[places(order + p, q)] = self.text[sep_b, b[at_b]]
+        # links: every left token of a group with every right one
+        rows = np.repeat(np.arange(len(p)), p * q)
+        k = places(np.zeros(len(p), np.int64), p * q)
+        links = (a[start_a[rows] + k // q[rows]] << 32 | b[start_b[rows] + k % q[rows]]).tobytes()
+        n_links = np.bincount(word, p * q, len(found)).astype(np.int64)
+        n_texts = np.bincount(word, p + q, len(found)).astype(np.int64)
+        texts, at, of = texts.tolist(), 0, 0
+        for x, y, g, n, m in zip(na.tolist(), nb.tolist(), found.tolist(), n_links.tolist(), n_texts.tolist()):
+            yield (x, y, g, n, "".join(texts[at : at + m]), links[of : of + 8 * n]) if g >= 0 and m else None
+            at, of = at + m, of + 8 * n
+
+
+def places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Block:
-    """Documents of a task, their words numbered and their pairs counted."""
+    """Documents of a task as sequences of numbered words, with the figures and links of each word, and their pairs counted."""
+
+    NOTHING = (0, 0, 0, 0, "", b"")
 
     def __init__(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.links: list[list[int]] = []
-        self.ids, self.figures, self.digests, self.sequences, self.sizes = [], [], [], [], []
+        self.numbers: dict[str | tuple[str], int] = {}
+        self.said, self.links = [], []
+        self.of_word, self.odd = np.empty((0, 4), np.int64), np.empty(0, bool)
+        self.ids, self.figures, self.digests, self.sequences = [], [], [], []
         self.pairs, self.holders, self.chars = np.empty(0, np.int64), np.empty(0, np.int64), 0
 
+    def _learn(self, entries: dict) -> None:
+        """Number these words."""
+        for w, e in entries.items():
+            self.numbers[w] = len(self.numbers)
+            self.said.append((e or self.NOTHING)[4])
+            self.links.append((e or self.NOTHING)[5])
+        if entries:
+            self.of_word = np.concatenate([self.of_word, [(e or self.NOTHING)[:4] for e in entries.values()]])
+            self.odd = np.concatenate([self.odd, [e is None for e in entries.values()]])
+
     def add(self, ids: pa.Array, texts: list[str | None], aligner: Aligner) -> None:
-        sequences, here = [], self.numbers
-        for words in aligner.words(texts):
-            for w, e in words:
-                if w not in here:
-                    here[w] = len(here)
-                    self.links.append(e[5])
-            sequences.append(np.fromiter((here[w] for w, _ in words), np.int32, len(words)))
-            self.figures.append(tuple(map(sum, zip(*(e[:4] for _, e in words)))) if words else (0, 0, 0, 0))
-            self.digests.append(sha256(";".join([e[4] for _, e in words]).encode()).hexdigest() if words else "")
+        split = [(vocab.CUT.split(t) if aligner.cuts else [t]) if t else [] for t in texts]
+        new = set().union(*split).difference(self.numbers)
+        aligner.known.need(new)
+        self._learn({w: aligner.known[w] for w in new})
+        sequences = [np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)) for words in split]
+        for k in np.flatnonzero([self.odd[s].any() for s in sequences]):  # a word's sides differ: they may yet agree on the whole text
+            whole = aligner.learn([texts[k]])[texts[k]]
+            if whole:
+                self._learn({(texts[k],): whole} if (texts[k],) not in self.numbers else {})
+            sequences[k] = np.array([self.numbers[(texts[k],)]] if whole else [], np.int32)
+        sizes = np.array([len(s) for s in sequences], np.int64)
+        words = np.concatenate([*sequences, np.empty(0, np.int32)])
+        self.figures.append(np.stack([sums(self.of_word[words, k], sizes) for k in range(4)], 1))
+        self.digests += [sha256(";".join(map(self.said.__getitem__, s.tolist())).encode()).hexdigest() if len(s) else "" for s in sequences]
         self.ids.append(ids)
         self.sequences += sequences
-        self.sizes += map(len, sequences)
         self.chars += sum(len(t or "") for t in texts)
         self._count(sequences)
 
@@ -169,7 +220,7 @@ class Block:
         flat, start, size = flatten(lists)
         pairs, number = np.unique(flat, return_inverse=True)
         many = size[place]
-        into = np.repeat(start[place] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        into = places(start[place], many)
         held = np.unique(np.repeat(doc, many) * len(pairs) + number[into])
         holders = np.bincount(held % len(pairs), minlength=len(pairs))
         merged, back = np.unique(np.concatenate([self.pairs, pairs]), return_inverse=True)
@@ -180,20 +231,20 @@ class Block:
         one = lambda values: pa.array([values])
         flat, _, size = flatten(self.links)
         sequence = np.concatenate([*self.sequences, np.empty(0, np.int32)])
-        packed = [zlib.compress(x.astype("<i4").tobytes(), 1) for x in (sequence, np.array(self.sizes), np.searchsorted(self.pairs, flat), size)]
+        sizes, figures = np.array([len(s) for s in self.sequences]), np.concatenate(self.figures)
+        packed = [zlib.compress(x.astype("<i4").tobytes(), 1) for x in (sequence, sizes, np.searchsorted(self.pairs, flat), size)]
         ids = pa.concat_arrays(self.ids)
         documents = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-        figures = [pa.array([[f[k] for f in self.figures]], pa.list_(pa.int64())) for k in range(4)]
+        figures = [pa.array([figures[:, k]], pa.list_(pa.int64())) for k in range(4)]
         digests = pa.array([self.digests], pa.list_(pa.string()))
-        counts = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (self.pairs, self.holders)]
+        counts = [pa.array([x], pa.list_(pa.int64())) for x in (self.pairs, self.holders)]
         return [one(number), documents, *figures, digests, *map(one, packed), *counts]
 
 
-def flatten(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All numbers, where each list starts, and its length."""
-    size = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter(chain.from_iterable(lists), np.int64, int(size.sum()))
-    return flat, np.cumsum(size) - size, size
+def flatten(links: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All numbers, where those of each word start, and how many they are."""
+    size = np.fromiter(map(len, links), np.int64, len(links)) // 8
+    return np.frombuffer(b"".join(links), np.int64), np.cumsum(size) - size, size
 
 
 NAMES = ["block", "doc_id", *FIGURES, "groups_sha256", "words", "sizes", "links", "link_sizes", "pairs", "holders"]
