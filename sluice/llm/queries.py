@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import alignment, decontaminate, htmltext, imatch, jaccard, licences, mixing, packing, pii, sharding, toxicity, warc
+from . import alignment, collocations, decontaminate, htmltext, imatch, jaccard, licences, mixing, packing, pii, sharding, toxicity, warc
 from .common import checkpoint_dir, cut, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -25,6 +25,33 @@ ORACLE_SQL["op1_warc"] = """
     FROM m
 """
 
+ORACLE_SQL["op11_collocations"] = """
+    WITH p AS (
+        SELECT doc_id, coalesce(lang, 'und') AS lang,
+               unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+        FROM documents
+    ), w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+    g AS (
+        SELECT lang, k, unnest([list_slice(w, i, i + k - 1) FOR i IN range(1, len(w) - k + 2)]) AS ws
+        FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k
+    ), f AS (SELECT lang, k, ws, CAST(count(*) AS HUGEINT) AS n FROM g GROUP BY ALL),
+    sizes AS (SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY lang),
+    c AS (SELECT lang, k, ws, n AS a, unnest(range(1, k)) AS cut FROM f WHERE k > 1 AND n >= 10),
+    s AS (
+        SELECT c.*, x.n AS l, y.n AS r, 1000000 * a * a // (x.n * y.n) AS score
+        FROM c JOIN f x ON x.lang = c.lang AND x.ws = c.ws[:c.cut] JOIN f y ON y.lang = c.lang AND y.ws = c.ws[c.cut + 1:]
+        QUALIFY row_number() OVER (PARTITION BY c.lang, c.ws ORDER BY score, c.cut) = 1
+    ), inside AS (
+        SELECT lang, part, max(a) AS longer
+        FROM (SELECT lang, a, unnest([ws[1:2], ws[2:3]]) AS part FROM s WHERE k = 3) GROUP BY lang, part
+    ), kept AS (
+        SELECT s.*, array_to_string(ws, ' ') AS phrase FROM s LEFT JOIN inside i ON i.lang = s.lang AND i.part = s.ws
+        WHERE NOT coalesce(100 * longer >= 50 * a, false)
+    ), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+    SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(sizes.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+    FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
 
 def query(f):
     QUERIES[f.__name__] = f
@@ -87,6 +114,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))

@@ -191,7 +191,7 @@ def brute_collocations(rows, least=10, top=2000, cover=50):
 PROSE = "lang string, text string, phrase int, n string, ids int, _part int"
 
 
-def prose(seed, docs=60):
+def prose(seed, docs=150):
     r, out = random.Random(seed), []
     pool = ["the", "of", "a", "New", "york", "CITY", "é", "É", "z" * 90, "x\x00y", "don't", "—", "ÅB"]
     for _ in range(docs):
