@@ -6,7 +6,7 @@ equality only; where order matters, see `sort_key`. All expressions are built in
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WIDTH = {4: 32, 6: 128}
@@ -109,3 +109,22 @@ def cidr_cover(start: Column, count: Column) -> Column:
     levels = F.sequence(F.lit(0), F.least(F.lit(32), F.floor(F.log2(count.cast("double"))).cast("int")))
     none = F.array().cast("array<struct<addr:bigint,plen:int>>")
     return F.when(count >= 1, F.array_sort(F.array_compact(F.flatten(F.transform(levels, picks))))).otherwise(none)
+
+
+def cover_rows(df: DataFrame, start: str, count: str) -> DataFrame:
+    """A row for each of the minimal IPv4 prefixes that cover [start, start + count): `df` with addr BIGINT and plen INT. A row whose count is 0, less or null has none.
+
+    As `cidr_cover`, but the two candidates of each k are rows that plain columns decide on: nothing is sorted or gathered.
+    """
+    s, end, k, at = F.col(start), F.col(start) + F.col(count), F.col("_k"), F.col("addr")
+    one = F.lit(1).cast("long")
+    aligned = lambda x, bits: F.call_function("shiftleft", F.call_function("shiftright", x, bits), bits)
+    levels = df.where(F.col(count) >= 1).withColumn("_k", F.explode(F.sequence(F.lit(0), F.least(F.lit(32), F.floor(F.log2(F.col(count).cast("double"))).cast("int")))))
+    levels = levels.withColumn("_size", F.call_function("shiftleft", one, k))
+    first, last = aligned(s + F.col("_size") - 1, k), aligned(end, k) - F.col("_size")
+    both = levels.withColumn("_first", first).withColumn("_last", last).withColumn("_turn", F.explode(F.array(F.lit(0), F.lit(1))))
+    found = both.withColumn("addr", F.when(F.col("_turn") == 0, F.col("_first")).otherwise(F.col("_last"))).where("_turn = 0 OR _last <> _first")
+    parent = aligned(at, k + 1)
+    inside = (at >= s) & (at + F.col("_size") <= end)
+    parent_in = (parent >= s) & (parent + 2 * F.col("_size") <= end) & (k < 32)
+    return found.where(inside & ~parent_in).withColumn("plen", 32 - k).drop("_k", "_size", "_first", "_last", "_turn")

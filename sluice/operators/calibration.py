@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def bin_edges(spark: SparkSession, bins: int, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
     """(bin, bin_lo, bin_hi) with evenly spaced edges, computed as lo + k * (hi - lo) / bins."""
@@ -76,5 +78,5 @@ def monthly_band(df: DataFrame, value: str, by: str = "type") -> DataFrame:
 
 def to_baseline_median(df: DataFrame, reference: DataFrame, value: str = "value") -> DataFrame:
     """Adds `ratio`, the value over the median of the reference rows."""
-    median = reference.agg(F.median(value).alias("_m"))
+    median = quantiles(reference, [], {"_m": (value, 0.5)})
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(median.withColumn("_one", F.lit(1))), "_one").withColumn("ratio", F.col(value) / F.nullif(F.col("_m"), F.lit(0.0))).drop("_one", "_m")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import beside, modes, quantiles
+
 
 def missing_keys(expected: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, problem): expected keys without data are missing, present ones that nobody expects are extra."""
@@ -34,7 +36,8 @@ def native_steps(df: DataFrame, by: list[str], start: int | None = None, end: in
     """
     diff = F.col("ts") - F.lag("ts").over(Window.partitionBy(*by).orderBy("ts"))
     rows = df.withColumn("diff", diff)
-    steps = rows.groupBy(*by).agg(F.count("*").alias("n"), F.mode("diff", True).alias("step"), F.min("ts").alias("first"), F.max("ts").alias("last")).where("n >= 2")
+    steps = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")).where("n >= 2")
+    steps = steps.join(modes(rows, by, "diff").withColumnRenamed("diff", "step"), by)
     odd = rows.where("diff IS NOT NULL").join(steps.select(*by, "step"), by).where("diff <= 0 OR pmod(diff, nullif(step, 0)) <> 0").groupBy(*by).agg(F.count("*").alias("n_irregular"))
     out = steps.join(odd, by, "left").withColumn("n_irregular", F.coalesce("n_irregular", F.lit(0).cast("long")))
     late = F.lit(False) if start is None else F.col("first") >= F.lit(start) + F.col("step")
@@ -44,7 +47,7 @@ def native_steps(df: DataFrame, by: list[str], start: int | None = None, end: in
 
 def median_drift(df: DataFrame, value: str, share: float = 0.15) -> DataFrame:
     """Rows whose value is farther than `share` of the median from the series' median."""
-    middle = df.agg(F.median(value).alias("_m")).withColumn("_one", F.lit(1))
+    middle = quantiles(df, [], {"_m": (value, 0.5)}).withColumn("_one", F.lit(1))
     far = F.abs(F.col(value) - F.col("_m")) > F.lit(share) * F.col("_m")
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(middle), "_one").where(far).select(*df.columns, F.col("_m").alias("median"))
 
@@ -71,4 +74,5 @@ def snapshot_problems(df: DataFrame) -> DataFrame:
 
 
 def summary(df: DataFrame, value: str) -> DataFrame:
-    return df.agg(F.min(value).alias("min"), F.median(value).alias("median"), F.max(value).alias("max"))
+    ends = df.agg(F.min(value).alias("min"), F.max(value).alias("max"))
+    return beside(ends, quantiles(df, [], {"median": (value, 0.5)})).select("min", "median", "max")

@@ -2,35 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as By
 from pyspark.sql import functions as F
 
 from .bands import Window
 from .lpm import map_to_blocks
+from .quantiles import beside, modes, quantiles, with_quantiles
 from .visibility import with_type
 
 
 def dominant(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value): the most frequent value; of several the smallest."""
-    return df.groupBy(key).agg(F.mode(value, True).alias(value))
+    return modes(df, [key], value)
 
 
 def first_withdrawals(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return events.where("event = 'withdraw'").groupBy(*by, "prefix").agg(F.min("ts").alias("t"))
 
 
-def _quantile(q: float) -> Column:
-    return F.percentile("t", F.lit(q))
-
-
 def event_speed(events: DataFrame, by: str = "window") -> DataFrame:
     """Onset speed per window from each prefix's first withdrawal; windows without withdrawals have no row.
 
     Quantiles are exact and linear; durations are truncated to seconds after subtracting.
     """
-    q = {p: _quantile(p / 100) for p in (5, 50, 90, 95, 99)}
-    out = first_withdrawals(events, (by,)).groupBy(by).agg(F.count("*").alias("n_prefixes_withdrawn"), F.min("t").alias("t_first"), F.max("t").alias("t_last"), *[c.alias(f"q{p}") for p, c in q.items()])
+    rows = first_withdrawals(events, (by,))
+    out = rows.groupBy(by).agg(F.count("*").alias("n_prefixes_withdrawn"), F.min("t").alias("t_first"), F.max("t").alias("t_last"))
+    out = with_quantiles(out, rows, [by], {f"q{p}": ("t", p / 100) for p in (5, 50, 90, 95, 99)})
     whole = lambda c: c.cast("long")
     first = F.col("t_first")
     return out.select(
@@ -45,7 +43,9 @@ def event_speed(events: DataFrame, by: str = "window") -> DataFrame:
 def wave_timing(events: DataFrame, start: int) -> DataFrame:
     """One row: quantiles of the first withdrawals from `start` on."""
     late = first_withdrawals(events.where(F.col("ts") >= start))
-    return late.agg(F.count("*").alias("n_prefixes"), F.min("t").alias("t_min"), *[_quantile(p / 100).cast("long").alias(f"t_p{p}") for p in (5, 50, 95)], F.max("t").alias("t_max"))
+    ends = late.agg(F.count("*").alias("n_prefixes"), F.min("t").alias("t_min"), F.max("t").alias("t_max"))
+    middle = quantiles(late, [], {f"t_p{p}": ("t", p / 100) for p in (5, 50, 95)})
+    return beside(ends, middle).select("n_prefixes", "t_min", *[F.col(f"t_p{p}").cast("long") for p in (5, 50, 95)], "t_max")
 
 
 def restoration_events(rollup: DataFrame, owners: DataFrame, before: Window, after: Window, thresholds: tuple[float, ...] = (0.25, 0.5, 0.8), main: float = 0.5, block: str = "block", value: str = "visibility_weighted") -> DataFrame:
@@ -72,7 +72,8 @@ def restoration_events(rollup: DataFrame, owners: DataFrame, before: Window, aft
 
 def restoration_by_type(events: DataFrame, classification: DataFrame, start: int, block: str = "block") -> DataFrame:
     typed = with_type(events, classification, "asn").withColumn("delay", F.col("restoration_ts") - start)
-    out = typed.groupBy("type").agg(F.countDistinct(block).alias("n_blocks"), F.count("restoration_ts").alias("n_restored"), F.median("delay").alias("delay_median"), F.avg("delay").alias("delay_mean"), F.median("steady_state_ratio").alias("ratio_median"))
+    out = typed.groupBy("type").agg(F.countDistinct(block).alias("n_blocks"), F.count("restoration_ts").alias("n_restored"), F.avg("delay").alias("delay_mean"))
+    out = with_quantiles(out, typed, ["type"], {"delay_median": ("delay", 0.5), "ratio_median": ("steady_state_ratio", 0.5)})
     return out.withColumn("n_never_restored", F.col("n_blocks") - F.col("n_restored"))
 
 
@@ -85,4 +86,5 @@ def fine_restoration_order(events: DataFrame, blocks: DataFrame, since: int, cc:
 def restoration_order_by_type(order: DataFrame, owners: DataFrame, classification: DataFrame, start: int, block: str = "block") -> DataFrame:
     """(type, n, delay_median, delay_mean, delay_p10, delay_p90)."""
     typed = with_type(order.join(owners.select(block, "asn"), block, "left"), classification, "asn").withColumn("delay", F.col("first_reannounce_ts") - start)
-    return typed.groupBy("type").agg(F.count("*").alias("n"), F.median("delay").alias("delay_median"), F.avg("delay").alias("delay_mean"), F.percentile("delay", F.lit(0.1)).alias("delay_p10"), F.percentile("delay", F.lit(0.9)).alias("delay_p90"))
+    out = typed.groupBy("type").agg(F.count("*").alias("n"), F.avg("delay").alias("delay_mean"))
+    return with_quantiles(out, typed, ["type"], {"delay_median": ("delay", 0.5), "delay_p10": ("delay", 0.1), "delay_p90": ("delay", 0.9)})

@@ -6,45 +6,81 @@ nearest announced ancestor in the same (ts, block), the block's weighted visibil
     sum over p of 2**(plen(block) - plen(p)) * (v_p - v_parent(p)),   v_parent = 0 for roots
 
 since every nested prefix takes its area from its parent. Ratios are powers of two, so any address width is exact.
+
+Parents are found by a sweep: rows are dealt by (ts, block) and put in order of address and falling size within their partition, so a prefix comes
+right after what it lies in. One pass keeps the prefixes that are open at an address on a stack (never more than there are lengths) and adds up each
+(ts, block) as it goes: one shuffle, and a row's cost does not depend on the width of addresses.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions.net import masked, parse_prefix
+from sluice.functions.net import parse_prefix
 
 from .lpm import map_to_blocks
 
+_WORD = (1 << 64) - 1
 
-def with_parents(rows: DataFrame, keys: list[str], top: str) -> DataFrame:
-    """(keys, _p, visibility, ...) with `v_parent`: the visibility of the nearest announced strict ancestor of at least `top` bits under the same keys, else 0.
 
-    Each prefix is put down under itself and under its ancestors; where it meets the row of an ancestor that is announced, it
-    learns its visibility. `rows` are computed once: no self-join.
-    """
-    p = F.col("_p")
-    carried = [c for c in rows.columns if c not in (*keys, "_p")]
-    spots = rows.withColumn("_k", F.explode(F.sequence(F.least(F.col(top), p["plen"]), p["plen"])))
-    hi, lo = masked(p["family"], p["hi"], p["lo"], F.col("_k"))
-    spots = spots.withColumn("_hi", hi).withColumn("_lo", lo)
-    own = F.col("_k") == p["plen"]
-    here = F.max(F.when(own, F.col("visibility"))).over(Window.partitionBy(*keys, "_k", "_hi", "_lo"))
-    found = spots.withColumn("_v", F.when(~own, here))
-    out = found.groupBy(*keys, "_p").agg(*[F.first(c).alias(c) for c in carried], F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_k"))).alias("v_parent"))
-    return out.withColumn("v_parent", F.coalesce("v_parent", F.lit(0.0)))
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (ts, block, top, family, hi, lo, plen, visibility), ordered by ts, block, address and plen, to a row for each (ts, block)."""
+    group, open_, out = None, [], []
+    n, total, most, family, last = 0, 0.0, None, None, None
+    for batch in batches:
+        columns = batch.columns
+        for ts, block, top, kind, hi, lo, plen, v in zip(*(c.to_pylist() for c in columns)):
+            if (ts, block) != group:
+                if group is not None:
+                    out.append((*group, family, most, n, total))
+                group, family, n, total, most, last = (ts, block), kind, 0, 0.0, None, None
+                open_.clear()
+            n += 1
+            if v is None:
+                continue
+            start = (hi & _WORD) << 64 | lo & _WORD
+            if last is not None and last[:2] == (start, plen):  # the prefix repeats: the highest counts
+                if v > last[2]:
+                    total += 2.0 ** (top - plen) * (v - last[2])
+                    last = start, plen, v
+                    open_[-1] = (open_[-1][0], v)
+                    most = max(most, v)
+                continue
+            while open_ and open_[-1][0] < start:
+                open_.pop()
+            total += 2.0 ** (top - plen) * (v - (open_[-1][1] if open_ else 0.0))
+            open_.append((start | (1 << ((32 if kind == 4 else 128) - plen)) - 1, v))
+            last, most = (start, plen, v), v if most is None else max(most, v)
+        if len(out) >= 10_000:
+            yield _rows(out, columns)
+            out = []
+    if group is not None:
+        out.append((*group, family, most, n, total))
+    if out:
+        yield _rows(out, columns)
+
+
+def _rows(out: list[tuple], like: list[pa.Array]) -> pa.RecordBatch:
+    kinds = [like[0].type, like[1].type, pa.int32(), pa.float64(), pa.int64(), pa.float64()]
+    names = ["ts", "block", "family", "visibility_max", "n_observed", "visibility_weighted"]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
 
 def rollup_visibility(visibility: DataFrame, blocks: DataFrame, prefix: str = "prefix", block: str = "block") -> DataFrame:
     """(ts, block, family, visibility_max, n_observed, visibility_weighted). A block without prefixes at a ts has no row; a prefix in no block fails the job.
 
-    A prefix that repeats at a ts counts once, at its highest visibility, in the weighted sum; n_observed counts its rows. A block has addresses of one family,
-    so (ts, block) and the masked words name a prefix.
+    A prefix that repeats at a ts counts once, at its highest visibility, in the weighted sum; n_observed counts its rows. A block has addresses of one family. Rows without a
+    visibility are counted and otherwise left out.
     """
-    mapped = map_to_blocks(visibility, blocks, prefix, block, "_p")
-    own = mapped.groupBy("ts", block, "_p").agg(F.max("visibility").alias("visibility"), F.count("*").alias("_n"))
-    own = own.withColumn("_top", parse_prefix(F.col(block))["plen"])
-    parts = with_parents(own, ["ts", block], "_top")
-    area = F.pow(F.lit(2.0), (F.col("_top") - F.col("_p.plen")).cast("double")) * (F.col("visibility") - F.col("v_parent"))
-    return parts.groupBy("ts", block).agg(F.first("_p.family").alias("family"), F.max("visibility").alias("visibility_max"), F.sum("_n").alias("n_observed"), F.sum(area).alias("visibility_weighted"))
+    p = F.col("_p")
+    mapped = map_to_blocks(visibility.withColumn("visibility", F.col("visibility").cast("double")), blocks, prefix, block, "_p")
+    rows = mapped.select("ts", F.col(block).alias("block"), parse_prefix(F.col(block))["plen"].alias("top"), p["family"].alias("family"), p["hi"].alias("hi"), p["lo"].alias("lo"), p["plen"].alias("plen"), "visibility")
+    unsigned = [F.col(c).bitwiseXOR(F.lit(-(1 << 63))) for c in ("hi", "lo")]
+    swept = rows.repartition("ts", "block").sortWithinPartitions("ts", "block", *unsigned, "plen")
+    kind = {c: t for c, t in rows.dtypes}
+    out = swept.mapInArrow(_sweep, f"ts {kind['ts']}, block {kind['block']}, family int, visibility_max double, n_observed long, visibility_weighted double")
+    return out.withColumnRenamed("block", block)

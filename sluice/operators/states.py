@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .asof import asof_backward, at_every, densify
+from .quantiles import with_quantiles
 from .visibility import per_as
 
 WITHDRAWN, DARK, REACHABLE = "withdrawn", "dark", "reachable"
@@ -19,7 +20,9 @@ def state(visibility: Column, probing: Column, baseline: Column, announced_min:
 
 def probing_baseline(signal: DataFrame, key: str, nonzero_min: float, median_min: float) -> DataFrame:
     """(key, nonzero_share, median, adequate, baseline) over the reference window's non-null readings; baseline is null unless adequate."""
-    out = signal.where("value IS NOT NULL").groupBy(key).agg(F.avg((F.col("value") > 0).cast("double")).alias("nonzero_share"), F.median("value").alias("median"))
+    read = signal.where("value IS NOT NULL")
+    out = read.groupBy(key).agg(F.avg((F.col("value") > 0).cast("double")).alias("nonzero_share"))
+    out = with_quantiles(out, read, [key], {"median": ("value", 0.5)})
     out = out.withColumn("adequate", (F.col("nonzero_share") >= nonzero_min) & (F.col("median") >= median_min))
     return out.withColumn("baseline", F.when(F.col("adequate"), F.col("median")))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sluice.functions.lists import blank_to, join_numbers, list_size, split_list
 
 from .asof import at_every
+from .quantiles import with_quantiles
 
 PEER = ("collector", "peer_asn", "peer_address")
 FULL_FEED = {4: 400_000, 6: 50_000}
@@ -98,7 +99,8 @@ def with_type(df: DataFrame, classification: DataFrame, asn: str) -> DataFrame:
 def by_type(df: DataFrame, classification: DataFrame) -> DataFrame:
     """(ts, type) to mean, exact median and number of prefixes."""
     typed = with_type(df, classification, "origin_asn")
-    return typed.groupBy("ts", "type").agg(F.avg("visibility").alias("visibility_mean"), F.median("visibility").alias("visibility_median"), F.countDistinct("prefix").alias("n_prefixes"))
+    out = typed.groupBy("ts", "type").agg(F.avg("visibility").alias("visibility_mean"), F.countDistinct("prefix").alias("n_prefixes"))
+    return with_quantiles(out, typed, ["ts", "type"], {"visibility_median": ("visibility", 0.5)}).select("ts", "type", "visibility_mean", "visibility_median", "n_prefixes")
 
 
 def upstream_sets(df: DataFrame) -> DataFrame:

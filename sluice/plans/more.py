@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,9 +9,10 @@ from pyspark.sql import functions as F
 from sluice.functions.net import v4_text
 from sluice.functions.timegrid import seconds
 from sluice.operators import comparison, excursions, restoration, sessions
+from sluice.operators.quantiles import beside, quantiles
 from sluice.operators.visibility import with_type
 from sluice.sources import registries, signals
-from sluice.sources.sinks import write_table
+from sluice.sources.sinks import remove, shared_folder, write_table
 from sluice.streaming import origins
 
 from .adapters import CLASS_SQL, DAY, EVENTS_SQL, PREFIX_SQL, START, UPDATES_SQL, VISIBILITY_SQL, classification, events, prefixes, query, rounded, table, updates
@@ -24,7 +24,8 @@ _GAPS = f"(SELECT gap_s FROM (SELECT event, lag(event) OVER s AS b, ts - (lag(ts
 @query(f"SELECT count(*) AS n, count(*) FILTER (gap_s = 0) AS n_zero, {', '.join(f'round(quantile_cont(gap_s, {q / 100}), 6) AS p{q}' for q in (5, 25, 50, 75, 95))} FROM {_GAPS}")
 def gap_distribution(spark, sf_dir):
     gaps = sessions.reannounce_gaps(updates(spark, sf_dir))
-    out = gaps.agg(F.count("*").alias("n"), F.count_if(F.col("gap_s") == 0).alias("n_zero"), *[F.percentile("gap_s", F.lit(q / 100)).alias(f"p{q}") for q in (5, 25, 50, 75, 95)])
+    counts = gaps.agg(F.count("*").alias("n"), F.count_if(F.col("gap_s") == 0).alias("n_zero"))
+    out = beside(counts, quantiles(gaps, [], {f"p{q}": ("gap_s", q / 100) for q in (5, 25, 50, 75, 95)}))
     return rounded(out, *[f"p{q}" for q in (5, 25, 50, 75, 95)], to=6)
 
 
@@ -51,7 +52,8 @@ def stratified_sample(spark, sf_dir):
 
 @query(f"WITH d AS (SELECT coalesce(nullif(c.type, ''), 'unclassified') AS type, median(visibility) AS m FROM {VISIBILITY_SQL} v LEFT JOIN {CLASS_SQL} c ON c.asn = v.origin_asn GROUP BY 1) SELECT (SELECT type FROM d ORDER BY m, type LIMIT 1) AS lowest, (SELECT type FROM d ORDER BY m DESC, type LIMIT 1) AS highest")
 def type_extremes(spark, sf_dir):
-    medians = with_type(seen(spark, sf_dir), classification(spark, sf_dir), "origin_asn").groupBy("type").agg(F.median("visibility").alias("m"))
+    medians = with_type(seen(spark, sf_dir), classification(spark, sf_dir), "origin_asn")
+    medians = quantiles(medians, ["type"], {"m": ("visibility", 0.5)})
     return excursions.extremes(medians, "type", "m")
 
 
@@ -110,18 +112,13 @@ def stream_last_origin(spark, sf_dir):
     rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").where("event_type IN ('click', 'error')")
     kind = F.when(F.col("event_type") == "click", "A").otherwise("W")
     elems = rows.select(F.lit("x").alias("peer_address"), F.col("user_id").alias("peer_asn"), F.lit("p").alias("prefix"), seconds(F.col("ts")).alias("time"), F.col("event_id").alias("seq"), kind.alias("type"), (F.col("event_id") % 50).cast("string").alias("as_path"))
-    base = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def sink(batch, number):
         write_table(batch, f"{base}/out/{number}")
 
-    origins.attribute_stream(elems).writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/out/*").select("seq", "asn")
-
-
-def _shared(spark) -> str:
-    """The folder the cluster names for what all executors share; one of our own only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = tempfile.mkdtemp(prefix="stream-")
-    return named
+    try:
+        origins.attribute_stream(elems).writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(f"{base}/out/*").select("seq", "asn").checkpoint()
+    finally:
+        remove(spark, base)

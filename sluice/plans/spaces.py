@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sluice.functions.net import cidr_cover, parse_prefix, size_of, v4_text
+from sluice.functions.net import cover_rows, parse_prefix, size_of, v4_text
 from sluice.functions.timegrid import seconds
 from sluice.operators import calibration, comparison, lpm, quality, registry, restoration, rollup, visibility
 from sluice.operators.bands import Window
@@ -227,8 +227,8 @@ def duplicate_keys(spark, sf_dir):
     SELECT o_orderkey, {text_sql('a', '32 - k')} AS prefix FROM c WHERE a >= s AND a + (1 << k) <= e AND NOT ((a >> (k + 1)) << (k + 1) >= s AND ((a >> (k + 1)) << (k + 1)) + (1 << (k + 1)) <= e)""")
 def cidr_cover_ranges(spark, sf_dir):
     start, count = F.lit(167_772_160) + (F.col("o_orderkey") * 977) % 4_000_000_000, 1 + (F.col("o_orderkey") * 7919) % 5000
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(cidr_cover(start, count)).alias("c"))
-    return rows.select("o_orderkey", v4_text(F.col("c.addr"), F.col("c.plen")).alias("prefix"))
+    rows = cover_rows(table(spark, sf_dir, "orders").select("o_orderkey", start.alias("start"), count.alias("count")), "start", "count")
+    return rows.select("o_orderkey", v4_text(F.col("addr"), F.col("plen")).alias("prefix"))
 
 
 @query(f"SELECT seq, CAST(4 AS INTEGER) AS family, addr AS lo, plen, power(2.0, 32 - plen) AS size FROM {PREFIX_SQL}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.functions.net import cidr_cover, v4_text
+from sluice.functions.net import cover_rows, v4_text
 
 #: The statuses under which a registry's row is in use.
 IN_USE = ("allocated", "assigned")
@@ -33,8 +33,8 @@ def _v4(text: Column) -> Column:
 
 def delegated_prefixes(rows: DataFrame) -> DataFrame:
     """(cc, prefix, family, status, date, org): IPv4 counts become minimal covers; for IPv6 the count is the prefix length."""
-    v4 = rows.where("type = 'ipv4' AND count > 0").withColumn("c", F.explode(cidr_cover(_v4(F.col("start")), F.col("count"))))
-    v4 = v4.select("cc", v4_text(F.col("c.addr"), F.col("c.plen")).alias("prefix"), F.lit(4).alias("family"), "status", "date", "org")
+    v4 = cover_rows(rows.where("type = 'ipv4'").withColumn("_from", _v4(F.col("start"))), "_from", "count")
+    v4 = v4.select("cc", v4_text(F.col("addr"), F.col("plen")).alias("prefix"), F.lit(4).alias("family"), "status", "date", "org")
     v6 = rows.where("type = 'ipv6'").select("cc", F.concat("start", F.lit("/"), F.col("count").cast("string")).alias("prefix"), F.lit(6).alias("family"), "status", "date", "org")
     return v4.unionByName(v6)
 

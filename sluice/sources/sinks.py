@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """`path` and all below it, on whatever file system it is."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for what all executors share, and the checkpoint folder from now on; one of our own only where none is named and all runs in one process."""
+    named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="shared-"))
+    return named or context.getCheckpointDir()
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file, written beside its place and renamed."""
     fs, p = _fs(spark, path)
