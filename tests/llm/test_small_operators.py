@@ -301,14 +301,14 @@ def test_disclosure_by_counts(spark, tmp_path):
 
 
 def test_disclosing_terms_are_marked_in_the_whole_text(spark, tmp_path, words):
-    """Far from the entity, before and after it, and in a text that has them only there; not in texts without the entity."""
+    """Far from the entity, before and after it, and in a text that has them only there; in texts with an entity of its class (one domain); not with others, nor without an entity."""
     far = " ".join(words(60, 12))
-    rows = [(k, f"Zorblat spoke {far} by zorblat near bob@corp.example then {far} zorblat left") for k in range(5)]
-    rows += [(10, f"bob@corp.example {far} ZORBLAT"), (11, f"ann@corp.example {far} zorblat"), (12, "zorblat alone")] + [(50 + k, far) for k in range(100)]
+    rows = [(k, f"Zorblat spoke {far} by zorblat near bob@corp.example then {far} zorblat left") for k in range(9)]
+    rows += [(10, f"bob@corp.example {far} ZORBLAT"), (11, f"ann@corp.example {far} zorblat"), (12, "zorblat alone"), (13, f"ann@other.example {far} zorblat")] + [(50 + k, f"u{k}@d{k}.example {far}") for k in range(100)]
     out = {r.doc_id: r.spans for r in pii.sanitise(saved(spark, tmp_path, rows)).collect()}
-    for k, t in rows[:8]:
+    for k, t in rows[:13]:
         got = [s for s in out[k].split(",") if s.startswith("term") and t[int(s.split(":")[1]) : int(s.split(":")[2])].lower() == "zorblat"]
-        assert got == ([f"term:{m.start()}:{m.end()}" for m in re.finditer("zorblat", t.lower())] if k <= 10 else []), k
+        assert got == ([f"term:{m.start()}:{m.end()}" for m in re.finditer("zorblat", t.lower())] if k <= 11 else []), k
 
 
 def test_no_documents(spark, tmp_path):
