@@ -1,6 +1,7 @@
 """The Jaccard join, decontamination, main text, toxicity and the pipeline, against brute force, planted cases and held-out accuracy."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -184,6 +185,60 @@ def test_items_of_figures_are_found_verbatim(spark, tmp_path, words):
     assert all(r.verbatim and r.coverage == 1 and r.n_slots == 0 for r in out)
 
 
+STORY = "Alice has 12 apples. Bob gives her 7 more apples from the tree, then Alice eats 3 of them every day. How many apples does Alice have after 5 days?"
+SHOP = "A shop sells three pencils for two dollars and five notebooks for nine dollars. What does a buyer pay for twenty one pencils and ten notebooks?"
+TRIP = "A train covers 60 miles in 2 hours, and a second train covers 90 miles in 3 hours. Which of both trains needs more hours for a way of 500 miles?"
+
+
+def reparameterised(text, names, numbers):
+    out = text
+    for k, (a, b) in enumerate(names.items()):
+        out = re.sub(rf"\b{a}\b", f"@{k}@", out)
+    for k, b in enumerate(names.values()):
+        out = out.replace(f"@{k}@", b)
+    return re.sub(r"\d+", lambda m: str(numbers.get(int(m[0]), int(m[0]))), out)
+
+
+def test_questions_with_other_names_and_numbers_are_found(spark, tmp_path, words):
+    bench = make(spark, [("alice", STORY), ("shop", SHOP), ("trip", TRIP)], "item_id string, text string")
+    people = {"Alice": "Carol", "Bob": "Dan"}
+    spelled = SHOP.replace("three", "six").replace("two", "four").replace("nine", "eleven").replace("twenty one", "thirty")
+    filler = lambda k: " ".join(words(30, 150 + k))
+    texts = {
+        1: STORY, 2: reparameterised(STORY, people, {}), 3: reparameterised(STORY, people, {12: 40, 7: 9, 3: 2, 5: 6}), 4: reparameterised(STORY, {}, {12: 15}), 5: SHOP, 6: spelled,
+        7: SHOP.replace("two dollars", "6 dollars"), 8: TRIP, 9: reparameterised(TRIP, {}, {60: 80, 2: 4, 90: 120, 3: 6}), 10: reparameterised(TRIP, {}, {60: 80, 2: 4, 90: 80, 3: 4, 500: 80}),
+        11: reparameterised(TRIP, {}, {60: -80, 2: 4}).replace("90", "$1,250.50"), 12: filler(99),
+    }
+    docs = saved(spark, tmp_path, [(k, f"{filler(k)}. {t} {filler(50 + k)}") for k, t in texts.items()])
+    out = decontaminate.leaks(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in out} == {(k, "alice") for k in (1, 2, 3, 4)} | {(k, "shop") for k in (5, 6, 7)} | {(k, "trip") for k in (8, 9, 11)}
+    assert {r.doc_id for r in out if r.verbatim} == {1, 5, 8}
+
+
+def test_short_questions_with_other_figures(spark, tmp_path, words):
+    bench = make(spark, [(1, "What is 12 * 8?"), (2, "Compute 17 + 26 - 9"), (3, "Define entropy.")], "item_id long, text string")
+    rows = [(1, "so what is 13 * 7? I ask"), (2, "What is 12 * 8?"), (3, "what is 13 + 7"), (4, "Compute 1 + 2 - 3"), (5, "compute 17 + 26 - 9!"), (6, "what is thirteen * seven"), (7, "What is 5 * 5?")]
+    out = decontaminate.leaks(saved(spark, tmp_path, rows), bench, figures=True).collect()
+    assert sorted((r.doc_id, r.item_id, r.verbatim) for r in out) == [(1, 1, False), (2, 1, True), (5, 2, True), (6, 1, False)]
+
+
+def test_recall_of_reparameterised_items(spark, tmp_path, words):
+    """Names, numbers and units of generated questions changed together: all are found, and nothing in texts that hold none."""
+    r = random.Random(11)
+    people, things, units = ["Anna", "Boris", "Chen", "Dora", "Emil", "Fatima"], ["apples", "stones", "letters", "boxes"], ["km", "miles", "hours", "kg", "dollars"]
+    bench, rows = [], []
+    for k in range(40):
+        own = words(12, 500 + k)
+        fill = lambda a, b, n, u: f"{a} takes {n[0]} {things[k % 4]} and {' '.join(own[:4])} after {n[1]} {u}. {b} then {' '.join(own[4:8])} with {n[2]} {u} left. How many {' '.join(own[8:])} does {a} keep?"  # noqa: E731, B023
+        a, b, c, d = r.sample(people, 4)
+        bench.append((f"q{k}", fill(a, b, r.sample(range(2, 99), 3), units[k % 5])))
+        rows.append((k, " ".join(words(40, 900 + k)) + ". " + fill(c, d, r.sample(range(100, 999), 3), r.choice(units)) + " " + " ".join(words(40, 700 + k))))
+        rows.append((1000 + k, " ".join(words(100, 2000 + k)).capitalize() + ". " + " ".join(own[:4])))
+    out = decontaminate.leaks(saved(spark, tmp_path, rows), make(spark, bench, "item_id string, text string")).collect()
+    found = {(x.doc_id, x.item_id) for x in out}
+    assert len(found & {(k, f"q{k}") for k in range(40)}) >= 36 and all(d < 40 for d, _ in found)
+
+
 def test_leaks_of_the_driver_tables(spark):
     """Verbatim passages, found by brute force over all documents."""
     sf = "/root/testdata/sf0.001"
