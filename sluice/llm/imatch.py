@@ -9,8 +9,9 @@ A hash over many terms changes with any of them, so a long text that is edited k
 Two fingerprints are compared at the sparsest rate at which at least half of the subsets have a term of either text: there a
 subset agrees about as often as the texts' terms do.
 
-The lexicon reaches the texts as a bitmap of 2**BITS bits. How many terms can be in the band doesn't depend on the number of documents (of N
-distinct terms a document, N / RAREST at most); terms that fall on a bit of another one are in the lexicon too, for all texts alike.
+A term of fewer than LEAST documents is outside, whatever the share. The lexicon reaches the texts as a Bloom filter of PROBES bits a term, at least PER_TERM times as many bits as the band has
+terms. How many these are doesn't depend on the number of documents (of N distinct terms a document, N / RAREST at most: 2 million for N = 200), so 2**MOST_BITS bits are enough
+at any size. Terms outside the band that pass (0.24 % at PER_TERM bits a term) are in the lexicon too, for all texts alike.
 
 The main path is DataFrame functions only.
 """
@@ -20,6 +21,8 @@ from __future__ import annotations
 import json
 import struct
 from collections import Counter
+from collections.abc import Callable
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,9 +31,10 @@ from pyspark.sql import functions as F
 from .common import bitmap, cut, hide, shown
 
 CHAINS, RUNGS = 16, 6
-BITS = 20
-#: Shares of documents: the idf band is log(1 / share).
-RAREST, COMMONEST = 2e-5, 0.03
+#: Bits of the filter: 2**LEAST_BITS to 2**MOST_BITS, PER_TERM for each term of the band, of which PROBES are set.
+LEAST_BITS, MOST_BITS, PER_TERM, PROBES = 12, 25, 16, 4
+#: Shares of documents: the idf band is log(1 / share). Terms of fewer documents than LEAST are slips of the pen or ids.
+RAREST, COMMONEST, LEAST = 1e-4, 0.03, 3
 #: Rows that one task orders, for finding the next document: about this many, in at most MOST_RANGES ranges of ids.
 RANGE, MOST_RANGES = 2048, 1 << 15
 #: Ids drawn for each range, to find where to cut.
@@ -44,40 +48,46 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def slot(term: Column) -> Column:
-    return term.bitwiseAND(F.lit((1 << BITS) - 1))
+def slots(term: Column, bits: int) -> list[Column]:
+    """PROBES bits of the filter, from two independent hashes of up to 32 bits each."""
+    return [w.bitwiseAND(F.lit((1 << bits) - 1)) for h in (term, F.xxhash64(term, F.lit(9))) for w in (h, F.shiftrightunsigned(h, 32))]
 
 
 def in_band(docs: DataFrame, text: str, rarest: float = RAREST, commonest: float = COMMONEST) -> DataFrame:
     """(term, df): the lexicon, counted over all rows."""
     total = docs.count()
     found = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return found.where((F.col("df") >= F.lit(rarest * total)) & (F.col("df") <= F.lit(max(2.0, commonest * total))))
+    return found.where((F.col("df") >= F.lit(max(LEAST, rarest * total))) & (F.col("df") <= F.lit(commonest * total)))
 
 
-def lexicon(docs: DataFrame, text: str, rarest: float = RAREST, commonest: float = COMMONEST) -> Column:
-    """The lexicon's bitmap as an array of 64-bit words (a constant)."""
-    words = struct.unpack(f"<{1 << (BITS - 6)}q", bitmap(in_band(docs, text, rarest, commonest), "term", BITS))
-    return F.from_json(F.lit(json.dumps(words)), "array<bigint>")
+def lexicon(docs: DataFrame, text: str, rarest: float = RAREST, commonest: float = COMMONEST) -> Callable[[Column], Column]:
+    """Whether a term is in the lexicon, which the expression carries as a constant. Runs jobs."""
+    band = cut(in_band(docs, text, rarest, commonest))
+    bits = min(MOST_BITS, max(LEAST_BITS, (PER_TERM * band.count() - 1).bit_length()))
+    found = bitmap(band.select(F.explode(F.array(*slots(F.col("term"), bits))).alias("slot")), "slot", max(bits, 15))
+    words = F.from_json(F.lit(json.dumps(struct.unpack(f"<{1 << (bits - 6)}q", found[: 1 << (bits - 3)]))), "array<bigint>")
+    has = lambda s: F.getbit(F.get(words, F.shiftright(s, 6).cast("int")), s.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return lambda term: reduce(Column.__and__, map(has, slots(term, bits)))
 
 
-def with_fingerprint(rows: DataFrame, text: str, lex: Column, into: str) -> DataFrame:
+def with_fingerprint(rows: DataFrame, text: str, inside: Callable[[Column], Column], into: str) -> DataFrame:
     """`rows` with the fingerprint of `text`: the hash over all terms (64 bits), then rate by rate one for each chain (16 bits), comma-joined ("-": no term in it).
 
     A term's 64-bit hashes give it 16 random bits in each chain; the subset of rung k are the terms whose first 2 k bits there are 0. Texts without a term in
-    the lexicon use all their terms. The steps are columns of their own, so that each is computed once.
+    the lexicon use all their terms. The steps are columns of their own, so that each is computed once, and a rung's subsets go once they are hashed and halved.
     """
-    inside = lambda t: F.getbit(F.get(lex, F.shiftright(slot(t), 6).cast("int")), slot(t).bitwiseAND(F.lit(63)).cast("int")) == 1
     short = lambda own, digits: F.when(F.size(own) > 0, F.right(F.lower(F.hex(F.xxhash64(own))), F.lit(digits))).otherwise("-")
     steps = rows.withColumn("_all", terms(F.col(text))).withColumn("_in", F.filter("_all", inside))
     steps = steps.withColumn("_own", F.array_sort(F.when(F.size("_in") > 0, F.col("_in")).otherwise(F.col("_all"))))
     steps = steps.withColumn("_bits", F.array(*[F.transform("_own", (lambda w: lambda t: F.xxhash64(t, F.lit(w)))(w)) for w in range(CHAINS // 4)]))
+    steps = steps.withColumn("_said", short(F.col("_own"), 16)).drop("_all", "_in", "_own")
     for k in range(1, RUNGS + 1):
-        of = [F.get("_bits", F.lit(j // 4)) if k == 1 else F.get(f"_rung{k - 1}", F.lit(j)) for j in range(CHAINS)]
+        of = [F.get("_bits", F.lit(j // 4)) if k == 1 else F.get("_rung", F.lit(j)) for j in range(CHAINS)]
         mask = [((1 << 2 * k) - 1) << 16 * (j % 4) for j in range(CHAINS)]
-        steps = steps.withColumn(f"_rung{k}", F.array(*[F.filter(x, (lambda m: lambda b: b.bitwiseAND(F.lit(m)) == 0)(m)) for x, m in zip(of, mask, strict=True)]))
-    rungs = [F.array_join(F.transform(f"_rung{k}", lambda own: short(own, 4)), ",") for k in range(1, RUNGS + 1)]
-    return steps.withColumn(into, F.concat_ws(",", short(F.col("_own"), 16), *rungs)).drop("_all", "_in", "_own", "_bits", *[f"_rung{k}" for k in range(1, RUNGS + 1)])
+        steps = steps.withColumn("_next_rung", F.array(*[F.filter(x, (lambda m: lambda b: b.bitwiseAND(F.lit(m)) == 0)(m)) for x, m in zip(of, mask, strict=True)]))
+        steps = steps.drop("_bits", "_rung").withColumnRenamed("_next_rung", "_rung")
+        steps = steps.withColumn("_said", F.concat_ws(",", "_said", F.array_join(F.transform("_rung", lambda own: short(own, 4)), ",")))
+    return steps.drop("_rung").withColumnRenamed("_said", into)
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -443,7 +443,17 @@ def brute_fingerprints(texts, rarest=imatch.RAREST, commonest=imatch.COMMONEST):
     word = lambda w: signed(xxhash.xxh64_intdigest(w.encode(), 42))
     own = [{word(w) for w in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t.lower()) if w} for t in texts]
     df = Counter(t for o in own for t in o)
-    lex = {t % (1 << imatch.BITS) for t, n in df.items() if rarest * len(texts) <= n <= max(2, commonest * len(texts))}
+    lex = {t for t, n in df.items() if max(imatch.LEAST, rarest * len(texts)) <= n <= commonest * len(texts)}
+    bits = max(imatch.LEAST_BITS, (imatch.PER_TERM * len(lex) - 1).bit_length())
+
+    def probes(t):
+        both = t % 2**64, xxhash.xxh64_intdigest(struct.pack("<i", 9), xxhash.xxh64_intdigest(struct.pack("<q", t), 42))
+        return {w % (1 << bits) for h in both for w in (h, h >> 32)}
+
+    taken = set().union(*map(probes, lex))
+    strangers = {t for t in df if t not in lex and probes(t) <= taken}
+    assert len(strangers) < 0.01 * len(df)
+    lex |= strangers
 
     def short(xs, digits=4):
         h = 42
@@ -453,7 +463,7 @@ def brute_fingerprints(texts, rarest=imatch.RAREST, commonest=imatch.COMMONEST):
 
     out = []
     for o in own:
-        terms = sorted({t for t in o if t % (1 << imatch.BITS) in lex} or o)
+        terms = sorted({t for t in o if t in lex} or o)
         bits = [[xxhash.xxh64_intdigest(struct.pack("<i", w), xxhash.xxh64_intdigest(struct.pack("<q", t), 42)) for t in terms] for w in range(4)]
         rungs = [short([signed(b) for b in bits[j // 4] if (b >> 16 * (j % 4)) % 4**k == 0]) for k in range(1, imatch.RUNGS + 1) for j in range(imatch.CHAINS)]
         out.append(",".join([short(terms, 16), *rungs]))
@@ -493,9 +503,18 @@ def test_runs_hold_few_rows_whatever_the_ids(spark, tmp_path):
 
 def test_lexicon_keeps_the_band(spark):
     rows = [(k, "common " + ("middle " if k < 10 else "") + f"rare{k}") for k in range(1000)]
-    lex = spark.range(1).select(imatch.lexicon(make(spark, rows), "text", 5e-3, 0.05).alias("x")).first().x
-    slots = {w: spark.range(1).select(imatch.slot(F.xxhash64(F.lit(w)))).first()[0] for w in ("common", "middle", "rare7")}
-    assert {w: (lex[s >> 6] >> (s & 63)) & 1 for w, s in slots.items()} == {"common": 0, "middle": 1, "rare7": 0}
+    inside = imatch.lexicon(make(spark, rows), "text", 5e-3, 0.05)
+    words_ = spark.createDataFrame([("common",), ("middle",), ("rare7",)], "w string")
+    assert {r.w: r.x for r in words_.select("w", inside(F.xxhash64("w")).alias("x")).collect()} == {"common": False, "middle": True, "rare7": False}
+
+
+def test_rare_terms_are_out_and_few_strangers_get_in(spark):
+    """Terms of one or two documents are outside at any size; of terms that no text has, less than one in a hundred passes the filter."""
+    rows = [(k, f"once{k} twice{k // 2} four{k // 4} four{k // 4}") for k in range(8000)]
+    inside = imatch.lexicon(make(spark, rows), "text", 1e-9, 0.9)
+    found = spark.range(8000).select(*[inside(F.xxhash64(F.concat(F.lit(w), (F.col("id") / d).cast("long").cast("string")))).cast("int").alias(w) for w, d in (("once", 1), ("twice", 2), ("four", 4), ("never", 1))])
+    share = found.agg(*[F.avg(c).alias(c) for c in found.columns]).first()
+    assert share.four == 1 and max(share.once, share.twice, share.never) < 0.01
 
 
 def test_a_single_row_follows_itself(spark, tmp_path):
