@@ -15,30 +15,57 @@ def at_every(keys: DataFrame, grid: DataFrame, on: str = "ts") -> DataFrame:
     return keys.withColumn("_one", F.lit(1)).join(F.broadcast(whole), "_one").select(*keys.columns, F.explode("_grid").alias(on))
 
 
-def asof_backward(left: DataFrame, right: DataFrame, by: list[str], value: str, on: str = "ts", into: str | None = None, width: int | None = None) -> DataFrame:
+#: Rows of one key that a task orders at most, and the units of time in which slices begin and end.
+MOST, GRAIN = 1_000_000, 3600
+
+
+def sliced(rows: DataFrame, by: list[str], on: str, most: int = MOST, grain: int = GRAIN) -> DataFrame:
+    """`rows` with `_slice`: keys of more than `most` rows are cut into slices of time of about so many, counted in the data; null for all other keys.
+
+    Rows are counted per key and `grain` of time, and a slice begins wherever the running count passes a multiple of `most`. What lies within one grain stays together.
+    """
+    rows = rows.withColumn("_bin", F.floor(F.col(on) / grain))
+    counts = rows.groupBy(*by, "_bin").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
+    heavy = counts.where(F.col("_all") > most).select(*[F.col(c).alias(f"_h{k}") for k, c in enumerate([*by, "_bin"])], F.floor(F.col("_before") / most).alias("_slice"))
+    same = [F.col(c).eqNullSafe(F.col(f"_h{k}")) for k, c in enumerate([*by, "_bin"])]
+    return rows.join(heavy, same, "left").drop("_bin", *[f"_h{k}" for k in range(len(by) + 1)])
+
+
+def running(rows: DataFrame, by: list[str], on: str, then: str, value: str, into: str, how: str, most: int = MOST, grain: int = GRAIN) -> DataFrame:
+    """`rows` with `into`: of the rows of a key up to each, in the order of (`on`, `then`), the last non-null `value` (`how` = last) or the largest (max).
+
+    One ordered window a slice, and a scan over the slices of a key that carries what came before into each: a key that holds most of all rows is spread like any other.
+    """
+    rows = sliced(rows, by, on, most, grain)
+    pick = {"last": lambda c: F.last(c, ignorenulls=True), "max": F.max}[how]
+    order = Window.partitionBy(*by, "_slice").orderBy(on, then).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn(into, pick(value).over(order))
+    final = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(on, then))) if how == "last" else F.max(value)
+    ends = rows.where("_slice IS NOT NULL").groupBy(*by, "_slice").agg(final.alias("_end"))
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*by, "_slice"]
+    carried = ends.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(keys)], pick("_end").over(before).alias("_carried"))
+    out = out.join(carried, [F.col(c).eqNullSafe(F.col(f"_c{k}")) for k, c in enumerate(keys)], "left")
+    whole = F.coalesce(into, "_carried") if how == "last" else F.greatest(into, "_carried")
+    return out.withColumn(into, whole).drop("_slice", "_carried", *[f"_c{k}" for k in range(len(keys))])
+
+
+def asof_backward(left: DataFrame, right: DataFrame, by: list[str], value: str, on: str = "ts", into: str | None = None, width: int | None = None, most: int = MOST, grain: int = GRAIN) -> DataFrame:
     """`left` with the last non-null `value` of `right` at or before `on`, per `by`; null where there is none.
 
-    Union and one ordered window: one shuffle on `by`, no comparison of pairs, streaming within the partition. Of several readings at one instant the largest counts.
-    With `width`, each `by` is cut into stretches of so many seconds, each a task's work of its own, and the last value of
-    the stretches before is carried in: for data in which one entity holds a large part of all rows.
+    Union and an ordered window: no comparison of pairs, streaming within the partition; keys of more than `most` rows are cut into slices of time. Of several readings at one instant the largest counts.
+    With `width`, all keys are cut, into stretches of so many seconds.
     """
     into = into or value
+    if width:
+        most, grain = 1, width
     right = right.where(F.col(value).isNotNull()).groupBy(*by, on).agg(F.max(value).alias("_value"))
     names = [c for c in left.columns if c != into]
     tagged = left.select(*names, F.lit(1).alias("_side"), F.lit(None).cast(dict(right.dtypes)["_value"]).alias("_value"))
     both = tagged.unionByName(right.withColumn("_side", F.lit(0)), allowMissingColumns=True)
-    keys = list(by)
-    if width:
-        both, keys = both.withColumn("_stretch", F.floor(F.col(on) / width)), [*by, "_stretch"]
-    order = Window.partitionBy(*keys).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn(into, F.last("_value", ignorenulls=True).over(order))
-    if width:
-        ends = both.groupBy(*keys).agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(on))).alias("_end"))
-        before = Window.partitionBy(*by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-        carried = ends.select(*keys, F.last("_end", ignorenulls=True).over(before).alias("_carried"))
-        same = [out[k].eqNullSafe(carried[k]) for k in keys]
-        out = out.join(carried, same, "left").select(*[out[c] for c in out.columns if c != into], F.coalesce(out[into], "_carried").alias(into))
-    return out.where("_side = 1").select(*names, into)
+    return running(both, list(by), on, "_side", "_value", into, "last", most, grain).where("_side = 1").select(*names, into)
 
 
 def densify(df: DataFrame, keys: list[str], grid: DataFrame, value: str, on: str = "ts", fill: float = 0.0) -> DataFrame:

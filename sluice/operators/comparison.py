@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asof import GRAIN, MOST, running
+
 
 def cross_check(a: DataFrame, b: DataFrame, keys: list[str], value: str = "value", within: float = 1e-6) -> DataFrame:
     """Rows of both whose values differ: not both null, and not closer than `within`."""
@@ -25,17 +27,14 @@ def run_differences(ours: DataFrame, theirs: DataFrame, keys: list[str], columns
     return both.select(kind.alias("kind"), *[F.coalesce(F.col(f"a.{k}"), F.col(f"b.{k}")).alias(k) for k in keys]).where("kind IS NOT NULL")
 
 
-def active_at(points: DataFrame, periods: DataFrame, key: str = "asn", ts: str = "ts") -> DataFrame:
+def active_at(points: DataFrame, periods: DataFrame, key: str = "asn", ts: str = "ts", most: int = MOST, grain: int = GRAIN) -> DataFrame:
     """`points` with `active`: some period (start, end, both ends closed) of the same key holds the instant.
 
-    Periods that overlap or touch are merged first; then an instant is inside if the last merged period that began does. One union and one ordered window, whatever the number of periods.
+    It does if, of the periods that began by then, the one that ends last has not ended. One union and one ordered window, whatever the number of periods; keys of more than `most` rows are cut into slices of time.
     """
-    order = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    merged = periods.select(key, "start", "end").where("start <= end").withColumn("reach", F.max("end").over(order))
-    marks = merged.select(key, F.col("start").alias(ts), F.greatest("end", F.coalesce("reach", F.col("end"))).alias("_end"), F.lit(0).alias("_side"))
-    tagged = points.withColumn("_side", F.lit(1))
-    up = Window.partitionBy(key).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = tagged.unionByName(marks, allowMissingColumns=True).withColumn("_reach", F.max("_end").over(up))
+    marks = periods.where("start <= end").select(key, F.col("start").alias(ts), F.col("end").alias("_end"), F.lit(0).alias("_side"))
+    both = points.withColumn("_side", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    both = running(both, [key], ts, "_side", "_end", "_reach", "max", most, grain)
     return both.where("_side = 1").withColumn("active", F.coalesce(F.col("_reach") >= F.col(ts), F.lit(False))).select(*points.columns, "active")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sluice.functions.net import v4_text
 from sluice.functions.timegrid import seconds
 from sluice.operators import comparison, excursions, restoration, sessions
+from sluice.operators.asof import asof_backward
 from sluice.operators.quantiles import beside, quantiles
 from sluice.operators.visibility import with_type
 from sluice.sources import registries, signals
@@ -50,6 +51,19 @@ def stratified_sample(spark, sf_dir):
     return excursions.stratified(rows, "type", "asn", 20)
 
 
+_HOT = "CASE WHEN user_id % 10 > 0 THEN 0 ELSE user_id END"
+
+
+@query(f"""WITH e AS (SELECT {_HOT} AS k, t, event_id, event_type, value FROM {EVENTS_SQL}), r AS (SELECT k, t, max(value) AS v FROM e WHERE event_type = 'error' AND value IS NOT NULL GROUP BY k, t)
+    SELECT e.event_id, e.k AS asn, r.v AS value FROM (SELECT * FROM e WHERE event_type <> 'error') e ASOF LEFT JOIN r ON r.k = e.k AND r.t <= e.t""")
+def asof_hot_entity(spark, sf_dir):
+    """The last reading before each event, where one entity has nine tenths of all rows."""
+    rows = events(spark, sf_dir).withColumn("asn", F.when(F.col("user_id") % 10 > 0, 0).otherwise(F.col("user_id")))
+    left = rows.where("event_type <> 'error'").select("event_id", "asn", F.col("t").alias("ts"))
+    right = rows.where("event_type = 'error'").select("asn", F.col("t").alias("ts"), "value")
+    return asof_backward(left, right, ["asn"], "value", most=1000).select("event_id", "asn", "value")
+
+
 @query(f"WITH d AS (SELECT coalesce(nullif(c.type, ''), 'unclassified') AS type, median(visibility) AS m FROM {VISIBILITY_SQL} v LEFT JOIN {CLASS_SQL} c ON c.asn = v.origin_asn GROUP BY 1) SELECT (SELECT type FROM d ORDER BY m, type LIMIT 1) AS lowest, (SELECT type FROM d ORDER BY m DESC, type LIMIT 1) AS highest")
 def type_extremes(spark, sf_dir):
     medians = with_type(seen(spark, sf_dir), classification(spark, sf_dir), "origin_asn")

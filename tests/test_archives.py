@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions import net
-from sluice.operators import quantiles, rollup
+from sluice.operators import asof, comparison, quantiles, rollup
 from sluice.operators.sessions import attribute_withdrawals
 from sluice.sources import archive, mrt
 from sluice.streaming import sessions
@@ -228,6 +228,35 @@ def test_modes_and_single_rows(spark):
     assert tuple(quantiles.beside(df.agg(F.max("v").alias("a")), df.agg(F.min("v").alias("b"))).first()) == (9, 2)
 
 
+def test_a_hot_entity_is_cut_into_even_slices(spark):
+    r = random.Random(6)
+    key = lambda: 0 if r.random() < 0.9 else r.choice([None, 1, 2, 3])
+    readings = [(key(), r.randint(0, 50_000), r.choice([None, r.random()])) for _ in range(900)]
+    points = [(k, key(), r.randint(-10, 50_010)) for k in range(900)]
+    right, left = spark.createDataFrame(readings, "asn int, ts long, value double"), spark.createDataFrame(points, "id int, asn int, ts long")
+    want = {}
+    for k, asn, ts in points:
+        before = [(t, v) for a, t, v in readings if a == asn and t <= ts and v is not None]
+        want[k] = max(before)[1] if before else None
+    for most in (1, 60, 10**6):
+        out = asof.asof_backward(left, right, ["asn"], "value", most=most, grain=500)
+        assert {x.id: x.value for x in out.collect()} == {k: v if points[k][1] is not None else out_of_null(readings, points[k][2]) for k, v in want.items()}
+    parts = asof.sliced(left, ["asn"], "ts", most=60, grain=500).groupBy("asn", "_slice").agg(F.count("*").alias("n")).collect()
+    assert max(x.n for x in parts) < 90 and {x.asn for x in parts if x._slice is not None} == {0} and len(parts) > 10
+
+    periods = [(key(), s, s + r.randint(-5, 900)) for s in (r.randint(0, 50_000) for _ in range(300))]
+    inside = {k: any(a == asn and s <= ts <= e for a, s, e in periods) for k, asn, ts in points}
+    spans = spark.createDataFrame(periods, "asn int, start long, end long")
+    for most in (50, 10**6):
+        assert {x.id: x.active for x in comparison.active_at(left, spans, most=most, grain=500).collect()} == inside
+
+
+def out_of_null(readings, ts):
+    """A null entity is an entity like any other."""
+    before = [(t, v) for a, t, v in readings if a is None and t <= ts and v is not None]
+    return max(before)[1] if before else None
+
+
 def test_cover_rows_are_the_cover(spark):
     r = random.Random(2)
     ranges = [(r.getrandbits(32) >> r.randint(0, 8), r.randint(1, 1 << r.randint(0, 20))) for _ in range(200)] + [(0, 2**32), (2**32 - 1, 1), (5, 0), (5, -3)]
