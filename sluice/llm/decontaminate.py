@@ -51,9 +51,10 @@ UNITS = frozenset(
 NUMBER_WORDS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half third quarter".split()
 )
-_FIGURES = r"(?:(?<![^\s(])[-−+]?[$€£¥]?)?\d+(?:[.,/:]\d+)*"
-_TOKEN = re.compile(_FIGURES + r"|[^\W\d_]+|[%.!?\n]")
-_SIGN = re.compile(_FIGURES + r"|[^\W\d_]+|\S")
+#: Words first, which most tokens are. A sign belongs to a number where nothing but a space or a bracket comes before it.
+_LETTERS_OR_FIGURES = r"[^\W\d_]+|\d+(?:[.,/:]\d+)*|[-−+$€£¥](?<![^\s(].)[$€£¥]?\d+(?:[.,/:]\d+)*"
+_TOKEN = re.compile(_LETTERS_OR_FIGURES + r"|[%.!?\n]")
+_SIGN = re.compile(_LETTERS_OR_FIGURES + r"|\S")
 _WORD, _NUMBER, _CAPITAL, _STOP, _UNIT, _SPELLED = range(6)
 _NUM, _UNI, _NAME = np.uint64(8), np.uint64(16), np.uint64(24)
 
