@@ -22,7 +22,6 @@ import json
 import struct
 from collections import Counter
 from collections.abc import Callable
-from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
@@ -67,7 +66,7 @@ def lexicon(docs: DataFrame, text: str, rarest: float = RAREST, commonest: float
     found = bitmap(band.select(F.explode(F.array(*slots(F.col("term"), bits))).alias("slot")), "slot", max(bits, 15))
     words = F.from_json(F.lit(json.dumps(struct.unpack(f"<{1 << (bits - 6)}q", found[: 1 << (bits - 3)]))), "array<bigint>")
     has = lambda s: F.getbit(F.get(words, F.shiftright(s, 6).cast("int")), s.bitwiseAND(F.lit(63)).cast("int")) == 1
-    return lambda term: reduce(Column.__and__, map(has, slots(term, bits)))
+    return lambda term: F.forall(F.array(*slots(term, bits)), has)  # the constant stands in the plan once
 
 
 def with_fingerprint(rows: DataFrame, text: str, inside: Callable[[Column], Column], into: str) -> DataFrame:
