@@ -7,12 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.functions.timegrid import floor_to
+from sluice.operators import inventory
 from sluice.operators.visibility import visibility
-from sluice.sources import archive, mrt
+from sluice.sources import archive, gated, mrt
 from sluice.sources.sinks import remove, shared_folder, write_table
 from sluice.streaming import sessions
 
-from .adapters import DAY, EVENTS_SQL, GRID, events, query
+from .adapters import DAY, EVENTS_SQL, GRID, START, events, query
 
 _PEER = "'10.1.' || CAST(user_id % 7 AS VARCHAR) || '.1'"
 _V6 = "'2a01:' || CAST(1 + user_id % 500 AS VARCHAR) || '::/32'"
@@ -96,6 +98,59 @@ def archive_fallback(spark, sf_dir):
     return settled(out, base)
 
 
+# expected units: two ranges of one series overlap, a second series, and one of which nothing is there
+RANGES = [("click", START, START + 30 * DAY, GRID), ("click", START + 20 * DAY + 1, START + 35 * DAY, GRID), ("error", START + 100, START + 10 * DAY, GRID), ("none", START, START + 15 * GRID, GRID)]
+_GRIDS = " UNION ".join(f"SELECT '{s}' AS series, CAST(unnest(generate_series({-(-a // g) * g}, {b - 1}, {g})) AS VARCHAR) AS unit" for s, a, b, g in RANGES)
+_THERE = f"(SELECT DISTINCT event_type AS series, CAST(t - t % {GRID} AS VARCHAR) AS unit FROM {EVENTS_SQL} WHERE event_type IN ('click', 'error', 'view') AND event_id % 3 = 0)"
+
+
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = (F.col("t") - F.col("t") % GRID).cast("string").alias("unit")
+    return events(spark, sf_dir).select(F.col("event_type").alias("series"), unit, "event_id", "value")
+
+
+@query(f"""WITH e AS ({_GRIDS}), p AS {_THERE}, c AS (SELECT * FROM p WHERE CAST(unit AS BIGINT) // {GRID} % 7 > 0),
+    u AS (SELECT series, unit, e.series IS NOT NULL AS e, p.series IS NOT NULL AS p, c.series IS NOT NULL AS c FROM e FULL JOIN p USING (series, unit) FULL JOIN c USING (series, unit)),
+    m AS (SELECT series, unit, row_number() OVER (PARTITION BY series ORDER BY unit) AS k FROM u WHERE e AND NOT p)
+    SELECT series, count(*) FILTER (e) AS n_expected, count(*) FILTER (e AND p) AS n_present, count(*) FILTER (e AND NOT p) AS n_missing, count(*) FILTER (p AND NOT e) AS n_extra, count(*) FILTER (c <> p) AS n_stale,
+        coalesce((SELECT string_agg(unit, ',' ORDER BY unit) FROM m WHERE m.series = u.series AND k <= 10), '') AS first_missing, count(*) FILTER ((e AND NOT p) OR c <> p) = 0 AS complete
+    FROM u GROUP BY series""")
+def inventory_report(spark, sf_dir):
+    """Expected, present and consolidated units of each series, with the first that are missing."""
+    there = _units(spark, sf_dir).where("series IN ('click', 'error', 'view') AND event_id % 3 = 0").select("series", "unit").distinct()
+    return inventory.report(inventory.expected_units(spark, RANGES), there, there.where(F.floor(F.col("unit").cast("long") / GRID) % 7 > 0))
+
+
+@query(f"""WITH e AS ({_GRIDS}), i AS (SELECT event_type AS series, CAST(t - t % {GRID} AS VARCHAR) AS unit, count(*) FILTER (event_id % 41 > 0) AS old, count(*) FILTER (event_id % 41 = 0) AS new FROM {EVENTS_SQL} GROUP BY ALL)
+    SELECT * FROM (SELECT series, unit, CASE WHEN coalesce(old, 0) = 0 THEN 'missing' WHEN new > 0 THEN 'stale' END AS reason FROM e LEFT JOIN i USING (series, unit)) WHERE reason IS NOT NULL""")
+def stale_units(spark, sf_dir):
+    """What a run has to do after a manifest was written and rows were added to the inputs of some units."""
+    base, rows = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}", _units(spark, sf_dir)
+    inventory.record(inventory.fingerprints(rows.where("event_id % 41 > 0"), inventory.UNIT), base)
+    out = inventory.to_do(inventory.expected_units(spark, RANGES), inventory.finished(spark, base), inventory.fingerprints(rows, inventory.UNIT))
+    return settled(out, base)
+
+
+_SERIES = f"""(SELECT t - t % {GRID} AS ts, 'p' || CAST(event_id % 200 AS VARCHAR) AS prefix, CASE WHEN event_id % 200 % 4 = 0 THEN 6 ELSE 4 END AS family, max(value) AS visibility FROM {EVENTS_SQL} GROUP BY ALL)"""
+_TOTAL = f"CASE WHEN family = 4 THEN 9 + ts // {GRID} % 5 ELSE 4 END"
+
+
+@query(f"SELECT ts, family, count(*) AS n, CAST(max({_TOTAL}) AS BIGINT) AS peers_total, CAST(max(CASE WHEN family = 4 THEN 1 END) * max(9 + ts // {GRID} % 5) AS BIGINT) AS ff_v4, 1 AS n_files FROM {_SERIES} GROUP BY ts, family")
+def snapshot_gate(spark, sf_dir):
+    """A series written through its gates, read back by snapshot and family: each snapshot lies in one file."""
+    rows = events(spark, sf_dir).select(floor_to(F.col("t"), GRID).alias("ts"), (F.col("event_id") % 200).alias("k"), "value")
+    rows = rows.groupBy("ts", "k").agg(F.max("value").alias("visibility")).withColumn("family", F.when(F.col("k") % 4 == 0, 6).otherwise(4))
+    four = (9 + F.floor(F.col("ts") / GRID) % 5).cast("int")
+    audit = F.format_string('{"c1":{"ipv4":%d,"ipv6":3},"c2":{"ipv4":2,"ipv6":1}}', four - 2)
+    rows = rows.select("ts", F.concat(F.lit("p"), F.col("k").cast("string")).alias("prefix"), "family", "visibility", F.when(F.col("family") == 4, four).otherwise(4).alias("peers_total"), audit.alias("collector_fullfeed"))
+    base = f"{shared_folder(spark)}/gate-{uuid.uuid4().hex}"
+    gated.write_consolidated(rows, f"{base}/series", ["c1", "c2"])
+    back = spark.read.parquet(f"{base}/series").withColumn("file", F.col("_metadata.file_path"))
+    files = back.groupBy("ts").agg(F.countDistinct("file").cast("int").alias("n_files"))
+    out = back.groupBy("ts", "family").agg(F.count("*").alias("n"), F.max("peers_total").cast("long").alias("peers_total"), F.max(F.when(F.col("family") == 4, F.col("ff_v4"))).cast("long").alias("ff_v4"))
+    return settled(out.join(files, "ts"), base)
+
+
 _SNAPSHOTS = f"(SELECT DISTINCT time - time % {GRID} AS ts, peer_asn, peer_address, prefix FROM {ELEMS_SQL} WHERE type = 'A')"
 
 

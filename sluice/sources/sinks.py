@@ -26,6 +26,26 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def move(spark: SparkSession, old: str, new: str) -> None:
+    """Rename, replacing what is at `new`: a file in one step where the file system can; a folder's former content is set aside first and comes back if that fails."""
+    fs, source = _fs(spark, old)
+    jvm, target, aside = spark._jvm.org.apache.hadoop.fs, _fs(spark, new)[1], f"{new}.old"
+    if fs.exists(target) and fs.getFileStatus(target).isDirectory():
+        kept = _fs(spark, aside)[1]
+        fs.delete(kept, True)
+        if not fs.rename(target, kept):
+            raise OSError(f"{new} can't be replaced")
+        if not fs.rename(source, target):
+            fs.rename(kept, target)
+            raise OSError(f"{new} can't be written")
+        fs.delete(kept, True)
+        return
+    context = jvm.FileContext.getFileContext(source.toUri() if source.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+    options[0] = jvm.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(source), fs.makeQualified(target), options)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for what all executors share, and the checkpoint folder from now on; one of our own only where none is named and all runs in one process."""
     named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
@@ -37,7 +57,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, written beside its place and renamed."""
+    """A small file, written beside its place and renamed over what is there."""
     fs, p = _fs(spark, path)
     part = spark._jvm.org.apache.hadoop.fs.Path(path + ".part")
     out = fs.create(part, True)
@@ -45,9 +65,7 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    fs.delete(p, False)
-    if not fs.rename(part, p):
-        raise OSError(f"{path} can't be written")
+    move(spark, path + ".part", path)
 
 
 def write_table(df: DataFrame, path: str, partition: str | None = None, rows_per_file: int | None = None) -> None:
@@ -75,8 +93,8 @@ def write_with_provenance(df: DataFrame, path: str, facts: dict, force: bool = F
     spark = df.sparkSession
     if exists(spark, path) and not force:
         raise FileExistsError(f"{path} is there; force to replace it")
+    write_text(spark, f"{path}.meta.json", json.dumps(facts, indent=2, sort_keys=True))  # first: a table never stands without it
     write_csv(df, path)
-    write_text(spark, f"{path}.meta.json", json.dumps(facts, indent=2, sort_keys=True))
 
 
 def remaining(expected: DataFrame, path: str, key: str) -> DataFrame:

@@ -7,13 +7,14 @@ import struct
 from collections import Counter
 from itertools import islice
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions import net
-from sluice.operators import asof, comparison, quantiles, rollup
+from sluice.operators import asof, comparison, inventory, quantiles, rollup
 from sluice.operators.sessions import attribute_withdrawals
-from sluice.sources import archive, mrt
+from sluice.sources import archive, gated, mrt, sinks
 from sluice.streaming import sessions
 
 ELEMS = "seq long, time long, type string, peer_asn long, peer_address string, prefix string, as_path string"
@@ -292,3 +293,99 @@ def test_sweep_against_every_ancestor(spark, block):
     out = rollup.rollup_visibility(df, spark.createDataFrame([(block,)], "block string")).collect()
     assert {x.ts: (x.visibility_max, x.n_observed, round(x.visibility_weighted, 12)) for x in out} == want
     assert {(x.block, x.family) for x in out} == {(block, net_.version)}
+
+
+AUDIT = '{"c1":{"ipv4":3,"ipv6":1},"c2":{"ipv4":1,"ipv6":1}}'
+SNAPSHOT = "ts long, prefix string, family int, peers_total int, collector_fullfeed string, visibility double, cc string"
+
+
+def snapshots(n=3):
+    return [(ts, p, f, 4 if f == 4 else 2, AUDIT, 0.5, None if p == "a" else "TR") for ts in range(n) for p, f in (("a", 4), ("b", 4), ("x", 6), ("y", 6))]
+
+
+@pytest.mark.parametrize(
+    "change,found",
+    [
+        (lambda r: r + [r[0]], {"repeated prefixes": 1}),
+        (lambda r: [(*r[0][:3], 5, *r[0][4:]), *r[1:]], {"uneven totals": 1, "totals that are not the audit's sum": 1}),
+        (lambda r: [x if x[0] else (*x[:4], AUDIT.replace('"c1"', '"c9"'), *x[5:]) for x in r], {"no full-feed peer of c1": 1}),
+        (lambda r: [*r[:3], (*r[3][:4], AUDIT + " ", *r[3][5:]), *r[4:]], {"several audits": 1}),
+        (lambda r: [(*x[:4], None, *x[5:]) for x in r], {"totals that are not the audit's sum": 6, "no full-feed peer of c1": 3, "no full-feed peer of c2": 3}),
+    ],
+)
+def test_a_gate_that_fails_leaves_nothing(spark, tmp_path, change, found):
+    path = str(tmp_path / "series")
+    good = spark.createDataFrame(snapshots(), SNAPSHOT)
+    assert gated.write_consolidated(good, path, ["c1", "c2"]) == {"rows": 12, "snapshots": 3}
+    with pytest.raises(gated.GateError) as error:
+        gated.write_consolidated(spark.createDataFrame(change(snapshots()), SNAPSHOT), path, ["c1", "c2"])
+    assert error.value.found == found
+    assert [x.name for x in tmp_path.iterdir()] == ["series"] and spark.read.parquet(path).count() == 12
+    with pytest.raises(Exception, match="boom"):
+        gated.write_consolidated(good.withColumn("visibility", F.when(F.col("ts") == 2, F.raise_error(F.lit("boom")).cast("double")).otherwise(0.5)), path, ["c1"])
+    assert [x.name for x in tmp_path.iterdir()] == ["series"]
+
+
+def test_snapshots_are_whole_and_ordered_in_their_files(spark, tmp_path):
+    path = str(tmp_path / "series")
+    rows = snapshots(40)
+    random.Random(1).shuffle(rows)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"  # few rows would become one file
+    spark.conf.set(coalesce, "false")
+    try:
+        gated.write_consolidated(spark.createDataFrame(rows, SNAPSHOT).repartition(7), path, ["c1", "c2"])
+    finally:
+        spark.conf.unset(coalesce)
+    files = [pq.ParquetFile(f) for f in sorted((tmp_path / "series").glob("*.parquet"))]
+    assert len(files) > 1
+    groups = [f.metadata.row_group(g).column(f.schema.names.index("ts")).statistics for f in files for g in range(f.num_row_groups)]
+    for ts in range(40):
+        assert sum(s.min <= ts <= s.max for s in groups) == 1  # one row group answers a filter on ts
+    for f in files:
+        t = f.read().to_pylist()
+        assert [(r["ts"], r["family"], r["prefix"]) for r in t] == sorted((r["ts"], r["family"], r["prefix"]) for r in t)
+        assert all((r["ff_v4"], r["ff_v6"], r["cc"]) == (4, 2, "IR" if r["prefix"] == "a" else "TR") for r in t)
+    gated.write_consolidated(spark.createDataFrame([], SNAPSHOT), str(tmp_path / "none"), ["c1"])
+    assert spark.read.parquet(str(tmp_path / "none")).count() == 0
+
+
+def test_inventory(spark, tmp_path):
+    want = inventory.expected_units(spark, [("a", 5, 41, 10), ("a", 40, 60, 10), ("b", 0, 30, 15), ("c", 7, 7, 10)])
+    assert sorted(map(tuple, want.collect())) == [("a", x) for x in ("10", "20", "30", "40", "50")] + [("b", "0"), ("b", "15")]
+    have = spark.createDataFrame([("a", "10"), ("a", "99"), ("b", "0"), ("b", "15"), ("d", "1")], "series string, unit string")
+    found = {r.series: tuple(r)[1:] for r in inventory.report(want, have, sample=2).collect()}
+    assert found == {"a": (5, 1, 4, 1, 0, "20,30", False), "b": (2, 2, 0, 0, 0, "", True), "d": (0, 0, 0, 1, 0, "", True)}
+    stale = inventory.report(want, have, have.where("unit <> '15'"))
+    assert {r.series: (r.n_stale, r.complete) for r in stale.collect()} == {"a": (0, False), "b": (1, False), "d": (0, True)}
+    inventory.require(inventory.report(want, have), ["b", "d"])
+    with pytest.raises(inventory.Incomplete, match="incomplete: a"):
+        inventory.require(inventory.report(want, have), ["a", "b"])
+    with pytest.raises(inventory.Incomplete, match="unknown series: z"):
+        inventory.require(inventory.report(want, have), ["z", "b"])
+
+
+def test_units_without_rows_are_done_and_changed_inputs_are_not(spark, tmp_path):
+    path = str(tmp_path / "manifest")
+    want = inventory.expected_units(spark, [("s", 0, 40, 10)])
+    assert inventory.to_do(want, inventory.finished(spark, path)).count() == 4
+    rows = lambda *r: spark.createDataFrame([("s", u, v) for u, v in r], "series string, unit string, v int")
+    old = inventory.fingerprints(rows(("0", 1), ("0", 2), ("10", 5), ("10", 5), ("10", 5)), inventory.UNIT)
+    inventory.record(old, path)
+    inventory.record(spark.createDataFrame([("s", "20", 0, None)], inventory.MANIFEST), path)
+    assert [tuple(r) for r in inventory.to_do(want, inventory.finished(spark, path)).collect()] == [("s", "30", "missing")]
+    now = inventory.fingerprints(rows(("0", 2), ("0", 1), ("10", 5)), inventory.UNIT)
+    assert {r.unit: r.n_rows for r in now.collect()} == {"0": 2, "10": 1}
+    assert sorted(tuple(r)[1:] for r in inventory.to_do(want, inventory.finished(spark, path), now).collect()) == [("10", "stale"), ("30", "missing")]
+    inventory.record(now, path)
+    assert [r.unit for r in inventory.to_do(want, inventory.finished(spark, path), now).collect()] == ["30"]
+
+
+def test_renaming_replaces(spark, tmp_path):
+    for text in ("one", "two"):
+        sinks.write_text(spark, str(tmp_path / "f.txt"), text)
+        assert (tmp_path / "f.txt").read_text() == text
+    for n in (1, 2):
+        spark.range(n).write.parquet(str(tmp_path / f"new{n}"))
+        sinks.move(spark, str(tmp_path / f"new{n}"), str(tmp_path / "t"))
+        assert spark.read.parquet(str(tmp_path / "t")).count() == n
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["f.txt", "t"]
