@@ -429,6 +429,24 @@ def test_stages_take_no_documents(spark, tmp_path):
         assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0, name
 
 
+def test_stages_leave_columns_as_they_are(spark, tmp_path, words):
+    """Columns called like those that operators add keep their values; so do rows with nulls."""
+    rows = [(k, " ".join(words(30, k)), ["a", "b", None][k % 3]) for k in range(40)] + [(None, None, "a"), (41, "", "b"), (3, " ".join(words(30, 3)), "a")]
+    names = ["_copy", "size", "copies", "target", "taken", "source_size", "score", "predicted", "held_out", "shard", "slot", "text_crc32", "_row", "we.ird"]
+    base = make(spark, [(k, t, s) for k, t, s in rows]).withColumn("source", F.when(F.col("source") != "s", F.col("source")))
+    path = str(tmp_path / "docs")
+    base.select("*", *[F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(n) for n in names]).write.parquet(path)
+    docs, sf = spark.read.parquet(path), "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        last = name == corpus_pipeline.STAGES[-1][0]
+        kept = [n for n in names if not last or n in ("_copy", "copies", "target", "taken", "source_size", "score", "predicted", "held_out", "_row", "we.ird")]
+        assert [c for c in out.columns if c in docs.columns] == docs.columns or last
+        got = out.select("doc_id", *[F.col(f"`{n}`") for n in kept]).collect()
+        assert got and all(tuple(r)[1:] == tuple(f"{n}{'-' if r.doc_id is None else r.doc_id}" for n in kept) for r in got), name
+        assert stage(spark, docs.limit(0), sf).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(set(llm.QUERIES) - {"pipeline"}))
 def test_queries_return_a_row_per_input(spark, name):
     sf = "/root/testdata/sf0.001"
