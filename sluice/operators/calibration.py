@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .quantiles import quantiles
@@ -43,11 +45,41 @@ def find_valley(hist: DataFrame, lo: float, hi: float) -> DataFrame:
     return best.union(other).orderBy("rank").limit(1).drop("rank")
 
 
+def _passed(value: Column, limits: list[Column]) -> Column:
+    """How many of the ascending limits the value has reached."""
+    return reduce(Column.__add__, [(value >= x).cast("int") for x in limits])
+
+
 def dark_ratio_sweep(readings: DataFrame, ratios: list[float]) -> DataFrame:
-    """(ratio, n, n_asns, false_dark_rate) from (asn, probing, baseline): one pass for all ratios."""
-    each = readings.withColumn("ratio", F.explode(F.array(*[F.lit(r) for r in ratios])))
-    dark = (F.col("probing") < F.col("ratio") * F.col("baseline")).cast("double")
-    return each.groupBy("ratio").agg(F.count("*").alias("n"), F.countDistinct("asn").alias("n_asns"), F.avg(dark).alias("false_dark_rate"))
+    """(ratio, n, n_asns, false_dark_rate) from (asn, probing, baseline): a row is placed once between the ratios, and the counts up to each ratio answer it. Baselines are not negative; rows without a reading or a baseline are no part of the rate."""
+    ratios = sorted(set(ratios))
+    rows = readings.withColumn("_from", _passed(F.col("probing"), [F.lit(r) * F.col("baseline") for r in ratios]))  # dark from this ratio on
+    one = rows.agg(F.count("*").alias("n"), F.countDistinct("asn").alias("n_asns"), F.count("_from").alias("known"), *[F.count_if(F.col("_from") <= k).alias(f"_dark{k}") for k in range(len(ratios))])
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), (F.col(f"_dark{k}") / F.nullif("known", F.lit(0))).alias("false_dark_rate")) for k, r in enumerate(ratios)]))
+    return one.where("n > 0").select("n", "n_asns", each.alias("x")).select("x.ratio", "n", "n_asns", "x.false_dark_rate")
+
+
+def state_grid(rows: DataFrame, announced: list[float], dark: list[float]) -> DataFrame:
+    """(announced_min, dark_ratio, n, n_withdrawn, n_dark, n_reachable) of (visibility, probing, baseline) rows, for every pair of thresholds.
+
+    A row is placed once among both lists of thresholds; running counts over the cells in both directions then answer all pairs, however many there are. States are those of `states.state`; rows without a visibility are announced.
+    """
+    announced, dark = sorted(set(announced)), sorted(set(dark))
+    na, nd = len(announced), len(dark)
+    known = F.col("probing").isNotNull() & F.col("baseline").isNotNull() & (F.col("baseline") > 0)
+    i = F.coalesce(_passed(F.col("visibility"), [F.lit(a) for a in announced]), F.lit(na))  # withdrawn from threshold i on
+    j = F.when(known, _passed(F.col("probing"), [F.lit(d) * F.col("baseline") for d in dark])).otherwise(nd)  # dark from ratio j on
+    cells = rows.select(i.alias("i"), j.alias("j")).groupBy("i", "j").agg(F.count("*").alias("n"))
+    empty = rows.sparkSession.range((na + 1) * (nd + 1)).select((F.col("id") / (nd + 1)).cast("int").alias("i"), (F.col("id") % (nd + 1)).cast("int").alias("j"), F.lit(0).cast("long").alias("n"))
+    cells = cells.unionByName(empty).groupBy("i", "j").agg(F.sum("n").alias("n"))
+    along = Window.partitionBy("i").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("j").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
+    table = cells.withColumn("n", F.sum("n").over(along)).withColumn("n", F.sum("n").over(down))  # rows at i or more and at j or less
+    whole = Window.partitionBy()  # the table has a cell for each pair
+    table = table.withColumn("all", F.max("n").over(whole)).withColumn("up", F.max("n").over(Window.partitionBy("i")))
+    pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), k)
+    out = table.where((F.col("i") >= 1) & (F.col("j") < nd))
+    return out.select(pick(announced, F.col("i")).alias("announced_min"), pick(dark, F.col("j") + 1).alias("dark_ratio"), F.col("all").alias("n"), (F.col("all") - F.col("up")).alias("n_withdrawn"), F.col("n").alias("n_dark"), (F.col("up") - F.col("n")).alias("n_reachable"))
 
 
 def largest_ratio_under(sweep: DataFrame, most: float) -> DataFrame:

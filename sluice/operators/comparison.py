@@ -27,6 +27,36 @@ def run_differences(ours: DataFrame, theirs: DataFrame, keys: list[str], columns
     return both.select(kind.alias("kind"), *[F.coalesce(F.col(f"a.{k}"), F.col(f"b.{k}")).alias(k) for k in keys]).where("kind IS NOT NULL")
 
 
+def own_rows(df: DataFrame, cc: str = "IR") -> DataFrame:
+    """Rows of the population `cc`; all of them where none is named, as in snapshots made before there were several."""
+    return df.where(F.col("cc").isNull() | (F.col("cc") == cc)) if "cc" in df.columns else df
+
+
+def audit_lists(df: DataFrame, by: str = "ts", audit: str = "collector_fullfeed", seq: str = "seq") -> DataFrame:
+    """(by, place, audit): the distinct audits of each snapshot in the order in which they come first."""
+    first = df.groupBy(by, audit).agg(F.min(seq).alias("_first"))
+    return first.select(by, F.row_number().over(Window.partitionBy(by).orderBy("_first")).alias("place"), audit)
+
+
+def compare_snapshots(base: DataFrame, candidate: DataFrame, cc: str = "IR", columns: tuple[str, ...] = ("peers_seen", "peers_total", "visibility", "origin_asn")) -> DataFrame:
+    """(ts, kind, n, of, example): what differs between two runs of the same snapshots; empty if nothing does.
+
+    Kinds: `collector_fullfeed`, the places at which the ordered lists of audits differ; `only_base` and `only_candidate`, prefixes of the population that one run lacks; and each of `columns`, in which null equals null. `of` counts
+    places, prefixes of either run, and prefixes of both. The example is the first place, or the smallest prefix. Rows have ts, seq (their order in the snapshot), prefix and the columns; rows of other populations may be there or not.
+    """
+    a, b = (audit_lists(df).select("ts", "place", F.struct("collector_fullfeed").alias(name)) for df, name in ((base, "_a"), (candidate, "_b")))
+    odd = ~F.col("_a").eqNullSafe(F.col("_b"))
+    lists = a.join(b, ["ts", "place"], "full").groupBy("ts").agg(F.count_if(odd).alias("n"), F.count("*").alias("of"), F.min(F.when(odd, F.col("place"))).cast("string").alias("example"))
+    side = lambda df, name: own_rows(df, cc).select("ts", "prefix", F.struct(*columns).alias(name))
+    both = side(base, "_a").join(side(candidate, "_b"), ["ts", "prefix"], "full")
+    there = {"only_base": F.col("_b").isNull(), "only_candidate": F.col("_a").isNull()}
+    shared = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    kinds = {k: (v, F.lit(True)) for k, v in there.items()} | {c: (shared & ~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")), shared) for c in columns}
+    rows = both.select("ts", "prefix", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), odd.alias("odd"), among.alias("among")) for k, (odd, among) in kinds.items()])).alias("x"))
+    found = rows.groupBy("ts", "x.kind").agg(F.count_if("x.odd").alias("n"), F.count_if("x.among").alias("of"), F.min(F.when(F.col("x.odd"), F.col("prefix"))).alias("example"))
+    return lists.select("ts", F.lit("collector_fullfeed").alias("kind"), "n", "of", "example").unionByName(found).where("n > 0")
+
+
 def active_at(points: DataFrame, periods: DataFrame, key: str = "asn", ts: str = "ts", most: int = MOST, grain: int = GRAIN) -> DataFrame:
     """`points` with `active`: some period (start, end, both ends closed) of the same key holds the instant.
 

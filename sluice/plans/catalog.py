@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archives, more, signals, spaces  # noqa: F401  register their queries
+from . import archives, more, signals, spaces, sweeps  # noqa: F401  register their queries
 from .adapters import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
