@@ -8,9 +8,11 @@ import tempfile
 import time
 import urllib.parse
 import urllib.request
-from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 from datetime import UTC, datetime
+from itertools import islice
 from pathlib import Path
 
 TRIES = 3
@@ -122,15 +124,37 @@ def with_fallback(transports: list[Callable[[], object]], attempts: int = 5, del
     return None
 
 
-def in_order(urls: list[str], fetch: Callable[[str], Path], ahead: int = 8) -> Iterator[Path]:
-    """Files in the order of `urls`, at most `ahead` fetched or waiting at a time; each is deleted once the next is asked for."""
-    with ThreadPoolExecutor(ahead) as pool:
-        waiting = [pool.submit(fetch, u) for u in urls[:ahead]]
-        for k in range(len(urls)):
-            path = waiting.pop(0).result()
-            try:
-                yield path
-            finally:
-                path.unlink(missing_ok=True)
-            if k + ahead < len(urls):
-                waiting.append(pool.submit(fetch, urls[k + ahead]))
+class Ahead:
+    """Files fetched ahead of their use, in the order asked for.
+
+    At most `ahead` files are fetched or lie waiting at any time, so a slow reader fills no disk. A file goes when the next is asked for, unless `keep`. When the reader stops, or a fetch fails, what has not begun is
+    cancelled, nobody waits for what is under way, and what arrives after that is removed as well.
+    """
+
+    def __init__(self, fetch: Callable[[str], Path], ahead: int = 8, keep: bool = False) -> None:
+        self.fetch, self.ahead, self.keep = fetch, ahead, keep
+
+    def _drop(self, done: Future) -> None:
+        if not (self.keep or done.cancelled() or done.exception()):
+            done.result().unlink(missing_ok=True)
+
+    def __call__(self, urls: Iterable[str]) -> Iterator[Path]:
+        pool, left = ThreadPoolExecutor(self.ahead), iter(urls)
+        waiting = deque(pool.submit(self.fetch, u) for u in islice(left, self.ahead))
+        try:
+            while waiting:
+                now = waiting.popleft()
+                try:
+                    yield now.result()
+                finally:
+                    self._drop(now)
+                waiting.extend(pool.submit(self.fetch, u) for u in islice(left, 1))
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
+            for late in waiting:
+                late.add_done_callback(self._drop)  # at once, if it is done
+
+
+def in_order(urls: list[str], fetch: Callable[[str], Path], ahead: int = 8, keep: bool = False) -> Iterator[Path]:
+    """Files in the order of `urls`, as `Ahead` gives them."""
+    return Ahead(fetch, ahead, keep)(urls)

@@ -2,8 +2,10 @@
 
 import gzip
 import ipaddress
+import itertools
 import random
 import struct
+import time
 from collections import Counter
 from itertools import islice
 
@@ -12,9 +14,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions import net
-from sluice.operators import asof, comparison, inventory, quantiles, rollup
+from sluice.operators import asof, calibration, comparison, inventory, quantiles, rollup, states
 from sluice.operators.sessions import attribute_withdrawals
-from sluice.sources import archive, gated, mrt, sinks
+from sluice.sources import archive, fetch, gated, mrt, sinks
 from sluice.streaming import sessions
 
 ELEMS = "seq long, time long, type string, peer_asn long, peer_address string, prefix string, as_path string"
@@ -389,3 +391,83 @@ def test_renaming_replaces(spark, tmp_path):
         sinks.move(spark, str(tmp_path / f"new{n}"), str(tmp_path / "t"))
         assert spark.read.parquet(str(tmp_path / "t")).count() == n
     assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["f.txt", "t"]
+
+
+def fetcher(folder, calls, slow=(), bad=()):
+    def get(url):
+        calls.append(url)
+        for _ in range(200 if url in slow else 1):
+            time.sleep(0.005)
+        if url in bad:
+            raise fetch.TransportError(url)
+        path = folder / url
+        path.write_text(url)
+        return path
+
+    return get
+
+
+def test_files_come_in_order_and_go(tmp_path):
+    calls = []
+    urls = [f"u{k:02d}" for k in range(20)]
+    seen = []
+    for p in fetch.in_order(urls, fetcher(tmp_path, calls, slow={"u00"}), 4):
+        seen.append(p.name)
+        assert len(list(tmp_path.iterdir())) <= 4 and len(calls) <= len(seen) + 4
+    assert seen == urls and not list(tmp_path.iterdir())
+    kept = [p.read_text() for p in fetch.in_order(urls[:5], fetcher(tmp_path, calls), 2, keep=True)]
+    assert kept == urls[:5] and len(list(tmp_path.iterdir())) == 5
+    assert list(fetch.in_order([], fetcher(tmp_path, calls))) == []
+
+
+def test_a_failure_cancels_what_waits_and_leaves_nothing(tmp_path):
+    """The error comes at once, though a slow file is under way; what has not begun is never fetched."""
+    calls, urls = [], [f"u{k:02d}" for k in range(30)]
+    files = fetch.in_order(urls, fetcher(tmp_path, calls, slow={"u03"}, bad={"u02"}), 4)
+    began, seen = time.perf_counter(), []
+    with pytest.raises(fetch.TransportError, match="u02"):
+        for p in files:
+            seen.append(p.name)
+    assert seen == urls[:2] and time.perf_counter() - began < 0.8
+    time.sleep(1.5)
+    assert len(calls) <= 7 and not list(tmp_path.iterdir())
+
+
+def test_a_reader_that_stops_cancels_too(tmp_path):
+    calls, urls = [], [f"u{k:02d}" for k in range(30)]
+    files = fetch.in_order(urls, fetcher(tmp_path, calls), 3)
+    assert next(files).name == "u00"
+    files.close()
+    time.sleep(0.3)
+    assert len(calls) <= 5 and not list(tmp_path.iterdir())
+
+
+def test_runs_are_compared_in_order(spark):
+    row = "ts long, seq long, prefix string, peers_seen int, peers_total int, visibility double, origin_asn long, collector_fullfeed string"
+    base = [(0, k, f"10.0.{k}.0/24", 40, 50, 0.8, 65_000, f"a{k % 2}") for k in range(4)]
+    a = spark.createDataFrame(base, row)
+    same = spark.createDataFrame([(*r, "IR") for r in base] + [(0, 9, "192.0.2.0/24", 1, 50, 0.5, 1, "a1", "TR")], row + ", cc string")
+    assert comparison.compare_snapshots(a, same).count() == 0
+    drift = spark.createDataFrame([(*base[0][:3], 35, 50, 0.7, None, "a0"), *base[1:]], row)
+    assert sorted(map(tuple, comparison.compare_snapshots(a, drift).collect())) == [(0, k, 1, 4, "10.0.0.0/24") for k in ("origin_asn", "peers_seen", "visibility")]
+    turned = spark.createDataFrame([(*r[:1], 10 - r[1], *r[2:]) for r in base], row)  # the same audits, the other way round
+    assert [tuple(r) for r in comparison.compare_snapshots(a, turned).collect()] == [(0, "collector_fullfeed", 2, 2, "1")]
+    less = spark.createDataFrame([(*r[:7], "a0") for r in base[:3]], row)
+    assert sorted(map(tuple, comparison.compare_snapshots(a, less).collect())) == [(0, "collector_fullfeed", 1, 2, "2"), (0, "only_base", 1, 4, "10.0.3.0/24")]
+    assert sorted(map(tuple, comparison.compare_snapshots(less, a).collect())) == [(0, "collector_fullfeed", 1, 2, "2"), (0, "only_candidate", 1, 4, "10.0.3.0/24")]
+    other = comparison.compare_snapshots(a, spark.createDataFrame([(1, *r[1:]) for r in base[:1]], row))
+    assert {(r.ts, r.kind): r.n for r in other.collect()} == {(0, "collector_fullfeed"): 2, (1, "collector_fullfeed"): 1, (0, "only_base"): 4, (1, "only_candidate"): 1}
+
+
+def test_threshold_grid_against_every_pair(spark):
+    r = random.Random(9)
+    rows = [(r.choice([None, 0.0, 0.1, 0.5, 0.9, r.random()]), r.choice([None, 0.0, 20.0, 100 * r.random()]), r.choice([None, 0.0, -5.0, 100.0])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "visibility double, probing double, baseline double")
+    announced, dark = [0.5, 0.1, 0.9, 0.0], [0.2, 0.5, 0.0]
+    want = {}
+    for a, d in itertools.product(announced, dark):
+        said = Counter(x.s for x in df.select(states.state(F.col("visibility"), F.col("probing"), F.col("baseline"), a, d).alias("s")).collect())
+        want[a, d] = (400, said["withdrawn"], said["dark"], said["reachable"])
+    assert {(x.announced_min, x.dark_ratio): tuple(x)[2:] for x in calibration.state_grid(df, announced, dark).collect()} == want
+    none = calibration.state_grid(df.limit(0), announced, dark).collect()
+    assert len(none) == 12 and all(tuple(x)[2:] == (0, 0, 0, 0) for x in none)
