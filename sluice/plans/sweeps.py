@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluice.functions.timegrid import floor_to
-from sluice.operators import calibration, comparison
+from sluice.operators import calibration, comparison, leaveout
 
-from .adapters import EVENTS_SQL, GRID, events, query
+from .adapters import EVENTS_SQL, GRID, events, query, rounded
 
 ANNOUNCED = [0.1, 0.25, 0.5, 0.75, 0.9]
 DARK = [0.1, 0.2, 0.5, 1.0, 2.0]
@@ -46,3 +46,10 @@ def snapshot_comparison(spark, sf_dir):
     said = F.when(F.floor(F.col("ts") / GRID) % 4 == 0, F.concat("collector_fullfeed", F.lit("x"))).otherwise(F.col("collector_fullfeed"))
     theirs = rows.where("seq % 19 > 0").withColumns({"peers_seen": seen, "collector_fullfeed": said})
     return comparison.compare_snapshots(rows.where("seq % 17 > 0"), theirs, columns=("peers_seen",))
+
+
+@query(f"WITH r AS (SELECT user_id % 30 AS asn, value FROM {EVENTS_SQL} WHERE event_type = 'error') SELECT e.asn, count(r.value) AS n, round(avg(r.value), 6) AS mean, round(median(r.value), 6) AS median FROM (SELECT DISTINCT asn FROM r WHERE value IS NOT NULL) e JOIN r ON r.asn <> e.asn GROUP BY e.asn")
+def leave_one_out_readings(spark, sf_dir):
+    """Mean and median reading of all control entities but one, for each."""
+    rows = events(spark, sf_dir).where("event_type = 'error'").select((F.col("user_id") % 30).alias("asn"), "value")
+    return rounded(leaveout.leave_one_out(rows, "asn", "value"), "mean", "median", to=6)

@@ -4,6 +4,7 @@ import gzip
 import ipaddress
 import itertools
 import random
+import statistics
 import struct
 import time
 from collections import Counter
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions import net
-from sluice.operators import asof, calibration, comparison, inventory, quantiles, rollup, states
+from sluice.operators import asof, calibration, comparison, inventory, leaveout, quantiles, rollup, states
 from sluice.operators.sessions import attribute_withdrawals
 from sluice.sources import archive, fetch, gated, mrt, sinks
 from sluice.streaming import sessions
@@ -471,3 +472,16 @@ def test_threshold_grid_against_every_pair(spark):
     assert {(x.announced_min, x.dark_ratio): tuple(x)[2:] for x in calibration.state_grid(df, announced, dark).collect()} == want
     none = calibration.state_grid(df.limit(0), announced, dark).collect()
     assert len(none) == 12 and all(tuple(x)[2:] == (0, 0, 0, 0) for x in none)
+
+
+def test_leaving_one_out_is_running_without_it(spark):
+    r = random.Random(4)
+    rows = [(r.choice([1, 1, 1, 1, 2, 3, None]), r.choice([None, 1.0, 2.0, r.gauss(0, 50), 1e9])) for _ in range(301)] + [(7, None), (8, 5.0)]
+    df = spark.createDataFrame(rows, "asn int, value double")
+    out = {x.asn: x for x in leaveout.leave_one_out(df, "asn", "value").collect()}
+    assert set(out) == {1, 2, 3, None, 8}
+    for e, x in out.items():
+        rest = [v for a, v in rows if a != e and v is not None]
+        assert x.n == len(rest) and x.median == pytest.approx(statistics.median(rest)) and x.mean == pytest.approx(statistics.fmean(rest))
+    alone = leaveout.leave_one_out(df.where("asn = 8"), "asn", "value").first()
+    assert tuple(alone) == (8, 0, None, None) and leaveout.leave_one_out(df.limit(0), "asn", "value").count() == 0
