@@ -76,3 +76,32 @@ def snapshot_problems(df: DataFrame) -> DataFrame:
 def summary(df: DataFrame, value: str) -> DataFrame:
     ends = df.agg(F.min(value).alias("min"), F.max(value).alias("max"))
     return beside(ends, quantiles(df, [], {"median": (value, 0.5)})).select("min", "median", "max")
+
+
+def snapshot_health(df: DataFrame, collectors: list[str], share: float = 0.15, most_gap: int = 28_800) -> DataFrame:
+    """(unit, n_rows, n_prefixes, ff_v4, ff_v6, gap_s, problems): one row a snapshot, from one scan of (unit, ts, prefix, family, peers_total, collector_fullfeed).
+
+    `unit` is the snapshot that a row's file stands for. `problems`, joined by "; ", are: a ts other than the unit, several audits, collectors that the audit lacks, uneven totals in a family, a total other than the audit's sum, and totals farther
+    than `share` of the series' median from it. `gap_s` is the time to the next snapshot where that is more than `most_gap`, else null: between ranges gaps are to be expected, so they are no problem. All that follows the scan works on one row a snapshot.
+    """
+    family = lambda f, c: F.when(F.col("family") == f, F.col(c))
+    per = df.groupBy("unit").agg(
+        F.count("*").alias("n_rows"), F.countDistinct("prefix").alias("n_prefixes"), F.min("ts").alias("_t0"), F.max("ts").alias("_t1"),
+        F.min("collector_fullfeed").alias("_a0"), F.max("collector_fullfeed").alias("_a1"),
+        *[g(family(f, "peers_total")).alias(f"_{n}{f}") for f in (4, 6) for n, g in (("lo", F.min), ("hi", F.max))],
+    )
+    per = per.withColumn("_told", F.from_json("_a0", "map<string,struct<ipv4:int,ipv6:int>>"))
+    whole = Window.partitionBy()  # over snapshots
+    for f in (4, 6):
+        per = per.withColumn(f"ff_v{f}", F.coalesce(f"_hi{f}", F.lit(0))).withColumn(f"_mid{f}", F.median(F.coalesce(f"_hi{f}", F.lit(0))).over(whole))
+    told = lambda f: F.aggregate(F.map_values("_told"), F.lit(0), lambda acc, x: acc + F.coalesce(x[f"ipv{f}"], F.lit(0)))
+    said = [
+        F.when((F.col("_t0") != F.col("unit")) | (F.col("_t1") != F.col("unit")), "ts is not the unit"),
+        F.when(F.col("_a0") != F.col("_a1"), "several audits"),
+        *[F.when(~F.coalesce(F.map_contains_key("_told", F.lit(c)), F.lit(False)), f"no {c}") for c in collectors],
+        *[F.when(F.col(f"_lo{f}") != F.col(f"_hi{f}"), f"uneven totals of IPv{f}") for f in (4, 6)],
+        *[F.when(F.col(f"_hi{f}") != told(f), f"total of IPv{f} is not the audit's sum") for f in (4, 6)],
+        *[F.when(F.abs(F.col(f"ff_v{f}") - F.col(f"_mid{f}")) > F.lit(share) * F.col(f"_mid{f}"), f"IPv{f} drifts") for f in (4, 6)],
+    ]
+    gap = F.lead("unit").over(Window.orderBy("unit")) - F.col("unit")
+    return per.select("unit", "n_rows", "n_prefixes", "ff_v4", "ff_v6", F.when(gap > most_gap, gap).alias("gap_s"), F.array_join(F.array_compact(F.array(*said)), "; ").alias("problems"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluice.functions.timegrid import floor_to
-from sluice.operators import calibration, comparison, leaveout
+from sluice.operators import calibration, comparison, leaveout, quality
 
 from .adapters import EVENTS_SQL, GRID, events, query, rounded
 
@@ -53,3 +53,28 @@ def leave_one_out_readings(spark, sf_dir):
     """Mean and median reading of all control entities but one, for each."""
     rows = events(spark, sf_dir).where("event_type = 'error'").select((F.col("user_id") % 30).alias("asn"), "value")
     return rounded(leaveout.leave_one_out(rows, "asn", "value"), "mean", "median", to=6)
+
+
+_AUDIT = f"""'{{"c1":{{"ipv4":' || CAST(CASE WHEN unit // {GRID} % 7 = 3 THEN 30 ELSE 9 END AS VARCHAR) || ',"ipv6":3}}' || CASE WHEN unit // {GRID} % 5 > 0 THEN ',"c2":{{"ipv4":1,"ipv6":1}}' ELSE '' END || '}}'"""
+_HEALTH = f"""(SELECT unit, unit + CASE WHEN event_id % 977 = 0 THEN 1 ELSE 0 END AS ts, event_id % 200 AS prefix, CASE WHEN event_id % 4 = 0 THEN 6 ELSE 4 END AS family, {_AUDIT} AS audit,
+    CASE WHEN event_id % 4 = 0 THEN 4 WHEN event_id % 331 = 0 THEN 1 ELSE (CASE WHEN unit // {GRID} % 7 = 3 THEN 31 ELSE 10 END) END AS total
+    FROM (SELECT *, t - t % {GRID} AS unit FROM {EVENTS_SQL}) WHERE unit // {GRID} % 11 > 0)"""
+
+
+@query(f"""WITH s AS (SELECT unit, count(*) AS n_rows, count(DISTINCT prefix) AS n_prefixes, coalesce(max(CASE WHEN family = 4 THEN total END), 0) AS ff_v4, coalesce(max(CASE WHEN family = 6 THEN total END), 0) AS ff_v6, min(ts) <> unit OR max(ts) <> unit AS off,
+        coalesce(min(CASE WHEN family = 4 THEN total END) <> max(CASE WHEN family = 4 THEN total END), false) AS u4, max(CASE WHEN unit // {GRID} % 7 = 3 THEN 30 ELSE 9 END) + max(CASE WHEN unit // {GRID} % 5 > 0 THEN 1 ELSE 0 END) AS s4, 3 + max(CASE WHEN unit // {GRID} % 5 > 0 THEN 1 ELSE 0 END) AS s6,
+        max(CASE WHEN family = 4 THEN 1 ELSE 0 END) = 1 AS h4, max(CASE WHEN family = 6 THEN 1 ELSE 0 END) = 1 AS h6 FROM {_HEALTH} GROUP BY unit),
+    m AS (SELECT median(ff_v4) AS m4, median(ff_v6) AS m6 FROM s)
+    SELECT unit, n_rows, n_prefixes, ff_v4, ff_v6, CASE WHEN lead(unit) OVER (ORDER BY unit) - unit > {GRID} THEN lead(unit) OVER (ORDER BY unit) - unit END AS gap_s,
+        concat_ws('; ', CASE WHEN off THEN 'ts is not the unit' END, CASE WHEN unit // {GRID} % 5 = 0 THEN 'no c2' END, CASE WHEN u4 THEN 'uneven totals of IPv4' END, CASE WHEN h4 AND ff_v4 <> s4 THEN 'total of IPv4 is not the audit''s sum' END,
+            CASE WHEN h6 AND ff_v6 <> s6 THEN 'total of IPv6 is not the audit''s sum' END, CASE WHEN abs(ff_v4 - m4) > 0.15 * m4 THEN 'IPv4 drifts' END, CASE WHEN abs(ff_v6 - m6) > 0.15 * m6 THEN 'IPv6 drifts' END) AS problems FROM s, m""")
+def snapshot_health(spark, sf_dir):
+    """One report of a series: sizes, totals, gaps and what is wrong with each snapshot."""
+    step = lambda k: F.floor(F.col("unit") / GRID) % k
+    rows = events(spark, sf_dir).withColumn("unit", floor_to(F.col("t"), GRID)).where(step(11) > 0)
+    event, high = F.col("event_id"), step(7) == 3
+    two = F.when(step(5) > 0, F.lit(',"c2":{"ipv4":1,"ipv6":1}')).otherwise("")
+    audit = F.concat(F.lit('{"c1":{"ipv4":'), F.when(high, "30").otherwise("9"), F.lit(',"ipv6":3}'), two, F.lit("}"))
+    total = F.when(event % 4 == 0, 4).when(event % 331 == 0, 1).otherwise(F.when(high, 31).otherwise(10))
+    rows = rows.select("unit", (F.col("unit") + F.when(event % 977 == 0, 1).otherwise(0)).alias("ts"), (event % 200).alias("prefix"), F.when(event % 4 == 0, 6).otherwise(4).alias("family"), total.alias("peers_total"), audit.alias("collector_fullfeed"))
+    return quality.snapshot_health(rows, ["c1", "c2"], most_gap=GRID)

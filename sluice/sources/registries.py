@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.net import cover_rows, v4_text
+from sluice.sources.sinks import exists
 
 #: The statuses under which a registry's row is in use.
 IN_USE = ("allocated", "assigned")
@@ -69,3 +70,8 @@ def dimension(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def codes(spark: SparkSession, by_country: dict[str, list[int]]) -> DataFrame:
     """{cc: [asn]} as rows (cc, asn); an empty mapping gives no rows."""
     return spark.createDataFrame([(cc, int(a)) for cc, asns in by_country.items() for a in asns], "cc string, asn long")
+
+
+def dimension_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """As `dimension`; without the file, a table without rows."""
+    return dimension(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], schema)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sluice.functions import net
 from sluice.operators import asof, calibration, comparison, inventory, leaveout, quantiles, rollup, states
 from sluice.operators.sessions import attribute_withdrawals
-from sluice.sources import archive, fetch, gated, mrt, sinks
+from sluice.sources import archive, fetch, gated, mrt, registries, sinks
 from sluice.streaming import sessions
 
 ELEMS = "seq long, time long, type string, peer_asn long, peer_address string, prefix string, as_path string"
@@ -485,3 +485,10 @@ def test_leaving_one_out_is_running_without_it(spark):
         assert x.n == len(rest) and x.median == pytest.approx(statistics.median(rest)) and x.mean == pytest.approx(statistics.fmean(rest))
     alone = leaveout.leave_one_out(df.where("asn = 8"), "asn", "value").first()
     assert tuple(alone) == (8, 0, None, None) and leaveout.leave_one_out(df.limit(0), "asn", "value").count() == 0
+
+
+def test_a_missing_dimension_has_no_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("asn,cc\n5,TR\n")
+    there = registries.dimension_if_there(spark, str(tmp_path / "a.csv"), "asn long, cc string")
+    gone = registries.dimension_if_there(spark, str(tmp_path / "b.csv"), "asn long, cc string")
+    assert [tuple(r) for r in there.collect()] == [(5, "TR")] and gone.count() == 0 and gone.columns == there.columns
