@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as By
 from pyspark.sql import functions as F
 
+from sluice.sources.sinks import shared_folder
+
 from .bands import Window
 from .lpm import map_to_blocks
 from .quantiles import beside, modes, quantiles, with_quantiles
@@ -71,7 +73,9 @@ def restoration_events(rollup: DataFrame, owners: DataFrame, before: Window, aft
 
 
 def restoration_by_type(events: DataFrame, classification: DataFrame, start: int, block: str = "block") -> DataFrame:
-    typed = with_type(events, classification, "asn").withColumn("delay", F.col("restoration_ts") - start)
+    """(type, n_blocks, n_restored, delay_mean, delay_median, ratio_median, n_never_restored). A row a block is written to the checkpoint folder first (a job runs), for it is read twice."""
+    shared_folder(events.sparkSession)
+    typed = with_type(events, classification, "asn").withColumn("delay", F.col("restoration_ts") - start).checkpoint()
     out = typed.groupBy("type").agg(F.countDistinct(block).alias("n_blocks"), F.count("restoration_ts").alias("n_restored"), F.avg("delay").alias("delay_mean"))
     out = with_quantiles(out, typed, ["type"], {"delay_median": ("delay", 0.5), "ratio_median": ("steady_state_ratio", 0.5)})
     return out.withColumn("n_never_restored", F.col("n_blocks") - F.col("n_restored"))
@@ -84,7 +88,8 @@ def fine_restoration_order(events: DataFrame, blocks: DataFrame, since: int, cc:
 
 
 def restoration_order_by_type(order: DataFrame, owners: DataFrame, classification: DataFrame, start: int, block: str = "block") -> DataFrame:
-    """(type, n, delay_median, delay_mean, delay_p10, delay_p90)."""
-    typed = with_type(order.join(owners.select(block, "asn"), block, "left"), classification, "asn").withColumn("delay", F.col("first_reannounce_ts") - start)
+    """(type, n, delay_median, delay_mean, delay_p10, delay_p90). A row a block is written to the checkpoint folder first (a job runs), for it is read twice."""
+    shared_folder(order.sparkSession)
+    typed = with_type(order.join(owners.select(block, "asn"), block, "left"), classification, "asn").withColumn("delay", F.col("first_reannounce_ts") - start).checkpoint()
     out = typed.groupBy("type").agg(F.count("*").alias("n"), F.avg("delay").alias("delay_mean"))
     return with_quantiles(out, typed, ["type"], {"delay_median": ("delay", 0.5), "delay_p10": ("delay", 0.1), "delay_p90": ("delay", 0.9)})
