@@ -33,7 +33,7 @@ from .common import cut, whole_texts
 
 LEFT, RIGHT = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of a block, of texts whose words are looked up together, and of the words a worker keeps.
-BLOCK, RUN, KNOWN = 6 << 20, 1 << 20, 1_000_000
+BLOCK, RUN, KNOWN = 6 << 20, 1 << 20, 1_800_000
 #: Transitions a worker keeps.
 STEPS = 500_000
 
