@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def org_blocks(delegations: DataFrame, frozen: DataFrame) -> DataFrame:
-    """(prefix, family, cc, org, org_asns): blocks of the organisations that hold at least one of the frozen ASes, with the frozen ASes each holds, sorted."""
+def org_blocks(delegations: DataFrame, frozen: DataFrame, form: Callable[[Column], Column] = lambda asns: asns) -> DataFrame:
+    """(prefix, family, cc, org, org_asns): blocks of the organisations that hold at least one of the frozen ASes, with the frozen ASes each holds, sorted.
+
+    `form` says what a list of ASes is given out as. It is worked out once for each organisation, before its blocks take it, so that no work on a list is repeated for every block.
+    """
     asns = delegations.where("type = 'asn'").join(frozen.select("asn").distinct(), "asn", "left_semi")
-    held = asns.groupBy("org").agg(F.array_sort(F.collect_set("asn")).alias("org_asns"))
+    held = asns.groupBy("org").agg(F.array_sort(F.collect_set("asn")).alias("org_asns")).select("org", form(F.col("org_asns")).alias("org_asns"))
     return delegations.where("type IN ('ipv4', 'ipv6')").join(held, "org").select("prefix", "family", "cc", "org", "org_asns")
 
 

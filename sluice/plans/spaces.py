@@ -167,8 +167,8 @@ def org_blocks(spark, sf_dir):
     asns = table(spark, sf_dir, "supplier").select(F.lit("asn").alias("type"), (F.col("s_suppkey") % 10).alias("org"), (F.col("s_suppkey") + 64_000).alias("asn"), F.lit(None).cast("string").alias("prefix"), F.lit(None).cast("int").alias("family"), F.lit("IR").alias("cc"))
     nets = table(spark, sf_dir, "customer").select(F.lit("ipv4").alias("type"), (F.col("c_custkey") % 15).alias("org"), F.lit(None).cast("long").alias("asn"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("prefix"), F.lit(4).alias("family"), F.lit("IR").alias("cc"))
     frozen = asns.where("(asn - 64000) % 3 = 0").select("asn")
-    out = registry.org_blocks(asns.unionByName(nets), frozen)
-    return out.select("prefix", "org", F.array_join(F.transform("org_asns", lambda a: a.cast("string")), ",").alias("org_asns"))
+    text = lambda held: F.array_join(F.transform(held, lambda a: a.cast("string")), ",")
+    return registry.org_blocks(asns.unionByName(nets), frozen, text).select("prefix", "org", "org_asns")
 
 
 _CELLS = "(SELECT (epoch_us(l_shipdate) // 1000000) - (epoch_us(l_shipdate) // 1000000) % 2592000 AS ts, CASE WHEN l_orderkey % 3 = 0 THEN 6 ELSE 4 END AS family, CASE WHEN l_orderkey % 11 > 0 THEN l_quantity END AS peers_total, l_orderkey, l_linenumber FROM lineitem)"

@@ -269,6 +269,19 @@ def test_registry(spark):
     assert [tuple(r) for r in registry.merge_classification(old, new).collect()] == [(1, "Filled", "isp", "n1"), (2, "Kept", "gov", "n2"), (3, "New", "", ""), (9, "Gone", "x", "")]
 
 
+def test_lists_of_asns_are_made_once_for_each_organisation(spark):
+    rows = [("asn", "o1", k, None) for k in (30, 5, 9)] + [("asn", "o2", 7, None)] + [("ipv4", f"o{1 + k % 2}", None, f"10.{k}.0.0/16") for k in range(200)]
+    df = frame(spark, rows, "type string, org string, asn long, prefix string").withColumn("family", F.lit(4)).withColumn("cc", F.lit("TR"))
+    made = spark.sparkContext.accumulator(0)
+
+    def named(asns):
+        made.add(1)
+        return ",".join(map(str, asns))
+
+    out = registry.org_blocks(df, frame(spark, [(5,), (7,), (30,)], "asn long"), F.udf(named, "string").asNondeterministic()).collect()
+    assert len(out) == 200 and {(r.org, r.org_asns) for r in out} == {("o1", "5,30"), ("o2", "7")} and made.value == 2
+
+
 def test_quality(spark):
     s = "k string, ts long"
     regular = frame(spark, [("a", t) for t in range(0, 3000, 300)], s)
