@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import fnmatch
 import gzip
+import io
 import ipaddress
 import re
 import struct
@@ -22,13 +23,14 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from functools import lru_cache
 from itertools import groupby
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 from sluice.sources import mrt
 
@@ -109,7 +111,7 @@ class _Options:
         #: how long after its slot a file's records may be
         self.span = int(options.get("span", 900))
         self.mark = {"fail": False, "mark": True}[options.get("onCorrupt", "fail")]
-        self.bytes = int(options.get("partitionBytes", 32 << 20))
+        self.bytes = int(options.get("partitionBytes", 4 << 20))
         self.batch = int(options.get("filesPerBatch", 64))
         self.keep = str(options.get("keepFiles", "true")).lower() == "true"
 
@@ -140,7 +142,7 @@ class _Options:
         name, status, last, rows = self.collector or f.collector, COMPLETE, None, []
 
         def batch(status: str, rows: list[tuple]) -> pa.RecordBatch:
-            head = [pa.array([x] * len(rows), t) for x, t in zip((f.source, f.path, name, f.slot, status), ARROW.types)]
+            head = [pa.repeat(pa.scalar(x, t), len(rows)) for x, t in zip((f.source, f.path, name, f.slot, status), ARROW.types)]
             return pa.RecordBatch.from_arrays(head + [pa.array(c, t) for c, t in zip(zip(*rows), ARROW.types[5:])], schema=ARROW)
 
         try:
@@ -221,7 +223,7 @@ class _Written(WriterCommitMessage):
     name: str | None
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     """Each task writes a file of its rows, in their order, named by the time of the first; all appear when all are written. Columns as those of `mrt.ELEMS`; others are ignored."""
 
     def __init__(self, path: str, overwrite: bool) -> None:
@@ -230,15 +232,16 @@ class _Writer(DataSourceWriter):
     def _at(self, name: str) -> tuple[fs.FileSystem, str]:
         return located(f"{self.path}/_{self.job}/{name}")
 
-    def write(self, iterator: Iterator) -> _Written:
-        first = next(iterator, None)
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
+        rows = _rows(iterator)
+        first = next(rows, None)
         if first is None:
             return _Written(None)
         name = f"{'rib' if first['type'] == 'R' else 'updates'}.{datetime.fromtimestamp(first['time'], UTC):%Y%m%d.%H%M}-{uuid.uuid4().hex}.mrt.gz"
         store, inner = self._at(name)
         store.create_dir(inner.rsplit("/", 1)[0])
-        with store.open_output_stream(inner, compression=None) as file, gzip.GzipFile(fileobj=file, mode="wb", mtime=0) as content:
-            for record in encoded((row.asDict() for row in _and(first, iterator))):
+        with store.open_output_stream(inner, compression=None) as file, gzip.GzipFile(fileobj=file, mode="wb", compresslevel=6, mtime=0) as zipped, io.BufferedWriter(zipped, 1 << 16) as content:
+            for record in encoded(_and(first, rows)):
                 content.write(record)
         return _Written(name)
 
@@ -262,6 +265,13 @@ class _Writer(DataSourceWriter):
             store.delete_dir(inner)
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        names = batch.schema.names
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield dict(zip(names, row, strict=True))
+
+
 def _and(first, rest: Iterator) -> Iterator:
     yield first
     yield from rest
@@ -308,6 +318,15 @@ def first_sound(elems: DataFrame) -> DataFrame:
 # what the writer makes
 
 
+# what recurs is remembered, as when it is read
+
+
+@lru_cache(1 << 12)
+def _packed(address: str) -> bytes:
+    return ipaddress.ip_address(address).packed
+
+
+@lru_cache(1 << 14)
 def _bits(prefix: str) -> bytes:
     net = ipaddress.ip_network(prefix)
     return bytes([net.prefixlen]) + net.network_address.packed[: (net.prefixlen + 7) // 8]
@@ -317,6 +336,7 @@ def _attribute(kind: int, value: bytes) -> bytes:
     return struct.pack(">BBH", 0x50, kind, len(value)) + value  # transitive, with a length of two bytes
 
 
+@lru_cache(1 << 12)
 def _path(text: str | None) -> bytes:
     """The reverse of `mrt.as_path`, with numbers of four bytes; segments of at most 255."""
     out = b""
@@ -335,7 +355,7 @@ def _record(time: int, kind: int, sub: int, body: bytes) -> bytes:
 
 def _update(e: dict) -> bytes:
     """An announcement or withdrawal as a message of its own."""
-    peer, prefix, v6 = ipaddress.ip_address(e["peer_address"]), _bits(e["prefix"]), ":" in e["prefix"]
+    peer, prefix, v6 = _packed(e["peer_address"]), _bits(e["prefix"]), ":" in e["prefix"]
     gone, new, attributes = b"", b"", b""
     if e["type"] == "A":
         attributes = _attribute(mrt.AS_PATH, _path(e["as_path"]))
@@ -348,7 +368,7 @@ def _update(e: dict) -> bytes:
     else:
         gone = prefix
     message = struct.pack(">H", len(gone)) + gone + struct.pack(">H", len(attributes)) + attributes + new
-    head = struct.pack(">IIHH", e["peer_asn"], 0, 0, 1 if peer.version == 4 else 2) + peer.packed + bytes(len(peer.packed))
+    head = struct.pack(">IIHH", e["peer_asn"], 0, 0, 1 if len(peer) == 4 else 2) + peer + bytes(len(peer))
     return _record(e["time"], mrt.BGP4MP, mrt.MESSAGE_AS4, head + b"\xff" * 16 + struct.pack(">HB", 19 + len(message), mrt.UPDATE) + message)
 
 
@@ -357,7 +377,7 @@ def _table(time: int, entries: list[dict]) -> Iterator[bytes]:
     peers = {p: k for k, p in enumerate(dict.fromkeys((e["peer_asn"], e["peer_address"]) for e in entries))}
     index = b""
     for asn, address in peers:
-        packed = ipaddress.ip_address(address).packed
+        packed = _packed(address)
         index += bytes([2 | (len(packed) == 16)]) + bytes(4) + packed + asn.to_bytes(4, "big")
     yield _record(time, mrt.TABLE_DUMP_V2, mrt.PEER_INDEX, bytes(4) + struct.pack(">HH", 0, len(peers)) + index)
     for k, (prefix, some) in enumerate(groupby(entries, key=lambda e: e["prefix"])):
