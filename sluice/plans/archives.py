@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,9 +39,14 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def written(elems: DataFrame, base: str, *by: str) -> str:
-    """Elements as an archive, each file a stretch of time in the order of `by`."""
-    elems.repartitionByRange(8, by[0]).sortWithinPartitions(*by).write.format("mrt").mode("append").save(base)
+#: Elements of a file, about, where there are more than eight times as many: what a task writes or reads does not grow with the archive.
+PER_FILE = 100_000
+
+
+def written(elems: DataFrame, base: str, *by: str, most: DataFrame | None = None) -> str:
+    """Elements as an archive, each file a stretch of time in the order of `by`. `most`: rows that are no fewer and cheaper to count."""
+    files = max(8, -(-(elems if most is None else most).count() // PER_FILE))
+    elems.repartitionByRange(files, by[0]).sortWithinPartitions(*by).write.format("mrt").mode("append").save(base)
     return base
 
 
@@ -75,24 +82,31 @@ def archive_window(spark, sf_dir):
     return settled(elems.groupBy("peer_asn").agg(F.count("*").alias("n"), F.sum("time").alias("total")), base)
 
 
-def _cut_short(folder: str) -> None:
-    """Every file of a folder as a broken transfer leaves it."""
-    for file in archive.listed(folder):
-        store, path = archive.located(file.path)
-        with store.open_input_file(path) as whole:
-            part = whole.read(whole.size() * 6 // 10)
-        with store.open_output_stream(path, compression=None) as out:
-            out.write(part)
+def _cut_short(spark: SparkSession, folder: str, to: str) -> None:
+    """Every file of a folder as a broken transfer leaves it: its first 60 %. The files are copied by tasks."""
+    files = [(f.path,) for f in archive.listed(folder)]
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                (store, old), (_, new) = archive.located(path), archive.located(f"{to}/{path.rsplit('/', 1)[1]}")
+                store.create_dir(new.rsplit("/", 1)[0])
+                with store.open_input_file(old) as whole, store.open_output_stream(new, compression=None) as out:
+                    left = whole.size() * 6 // 10
+                    while left:
+                        part = whole.read(min(left, 1 << 20))
+                        out.write(part)
+                        left -= len(part)
+            yield batch
+
+    spark.createDataFrame(files, "path string").repartition(min(len(files), spark.sparkContext.defaultParallelism)).mapInArrow(copy, "path string").write.format("noop").mode("overwrite").save()
 
 
 @query(f"SELECT type, count(*) AS n, sum(time) AS total, 1 AS source FROM {ELEMS_SQL} GROUP BY type")
 def archive_fallback(spark, sf_dir):
     """Two sources of the same slots, the first of which breaks off: all slots come whole from the second."""
     base = _base(spark)
-    rows = elements(spark, sf_dir).withColumn("day", F.floor(F.col("time") / DAY)).repartition(8, "day").sortWithinPartitions("time", "event_id")
-    for name in ("first", "second"):
-        rows.write.format("mrt").mode("append").save(f"{base}/{name}/rrc00")
-    _cut_short(f"{base}/first/rrc00")
+    _cut_short(spark, written(elements(spark, sf_dir), f"{base}/second/rrc00", "time", "event_id"), f"{base}/first/rrc00")
     chain = spark.read.format("mrt").option("onCorrupt", "mark").load(f"{base}/first/*/*,{base}/second/*/*")
     out = archive.first_sound(chain).groupBy("type").agg(F.count("*").alias("n"), F.sum("time").alias("total"), F.max("source").alias("source"))
     return settled(out, base)
@@ -159,9 +173,9 @@ _SNAPSHOTS = f"(SELECT DISTINCT time - time % {GRID} AS ts, peer_asn, peer_addre
 def archive_tables(spark, sf_dir):
     """Routing tables on the 8-hour grid as dumps with peer indexes, IPv4 and IPv6, and the visibility read from them."""
     base = _base(spark)
-    rows = elements(spark, sf_dir).where("type = 'A'").withColumn("time", F.col("time") - F.col("time") % GRID)
-    rows = rows.groupBy("time", "peer_asn", "peer_address", "prefix").agg(F.max("as_path").alias("as_path")).withColumn("type", F.lit("R"))
-    elems = spark.read.format("mrt").load(f"{written(rows, f'{base}/rrc00', 'time', 'prefix')}/*")
+    tops = elements(spark, sf_dir).where("type = 'A'")
+    rows = tops.withColumn("time", F.col("time") - F.col("time") % GRID).groupBy("time", "peer_asn", "peer_address", "prefix").agg(F.max("as_path").alias("as_path")).withColumn("type", F.lit("R"))
+    elems = spark.read.format("mrt").load(f"{written(rows, f'{base}/rrc00', 'time', 'prefix', most=tops)}/*")
     out = visibility(mrt.as_visibility_input(elems, GRID, 0), {4: 1, 6: 1}).select("ts", "prefix", F.col("peers_seen").cast("long"), F.col("peers_total").cast("long"))
     return settled(out, base)
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from sluice.functions import net
 from sluice.operators import asof, calibration, comparison, inventory, leaveout, quantiles, rollup, states
 from sluice.operators.sessions import attribute_withdrawals
+from sluice.plans import archives
 from sluice.sources import archive, fetch, gated, mrt, registries, sinks
 from sluice.streaming import sessions
 
@@ -62,6 +63,19 @@ def test_what_is_written_is_read(source, tmp_path):
         source.read.format("mrt").load(str(tmp_path / "nothing")).count()
 
 
+def test_files_of_a_large_archive_are_more_and_not_larger(source, tmp_path, monkeypatch):
+    monkeypatch.setattr(archives, "PER_FILE", 20)
+    rows = elements(500)
+    archives.written(source.createDataFrame(rows, ELEMS).coalesce(1), str(tmp_path / "second" / "rrc00"), "time", "seq")
+    counts = [sum(1 for _ in mrt.decode(f.read_bytes())) for f in (tmp_path / "second" / "rrc00").iterdir()]
+    assert sum(counts) == 500 and len(counts) > 20 and max(counts) < 60
+    archives._cut_short(source, str(tmp_path / "second" / "rrc00"), str(tmp_path / "first" / "rrc00"))
+    whole, part = ({f.name: f.read_bytes() for f in (tmp_path / k / "rrc00").iterdir()} for k in ("second", "first"))
+    assert part == {name: data[: len(data) * 6 // 10] for name, data in whole.items()}
+    chain = source.read.format("mrt").option("onCorrupt", "mark").load(f"{tmp_path}/first/*/*,{tmp_path}/second/*/*")
+    assert plain(archive.first_sound(chain)) == sorted(r[1:] for r in rows)
+
+
 def test_tables_are_written_with_their_peers(source, tmp_path):
     rows = [(k, 57_600, "R", asn, peer, prefix, path) for k, (asn, peer, prefix, path) in enumerate([(1, "10.0.0.1", "10.1.0.0/16", "1 2"), (2, "2001:db8::1", "10.1.0.0/16", ""), (1, "10.0.0.1", "2a01::/32", "1 {2,3}")])]
     rows += [(9, 86_400, "R", 5, "10.0.0.5", "10.1.0.0/16", "5")]
