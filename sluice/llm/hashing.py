@@ -15,18 +15,24 @@ def lower_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+class _Known(dict):
+    """Words to ids; what is not there is hashed when it is asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = out = struct.unpack("<Q", blake2b(word, digest_size=8).digest())[0]
+        return out
+
+
 class Words:
     """64-bit ids of words, the same in every process. Keeps those it has seen, up to `most`."""
 
     def __init__(self, most: int = 250_000) -> None:
-        self.most, self.known = most, {}
+        self.most, self.known = most, _Known()
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         known = self.known
         if len(known) > self.most:
             known.clear()
-        for w in set(words).difference(known):
-            known[w] = struct.unpack("<Q", blake2b(w, digest_size=8).digest())[0]
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 

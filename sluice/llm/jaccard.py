@@ -54,6 +54,8 @@ EDGES = 200_000
 CELLS = 64
 #: Documents looked at, about, to find groups that more than 1/OFTEN of all share.
 SAMPLE, OFTEN = 4096, 512
+#: Characters of texts whose words are hashed at once.
+TOGETHER = 1 << 16
 _ROWS = "sig long, _row long, cell byte, n int, sketch binary"
 _CLASS = 31
 
@@ -74,9 +76,30 @@ def families(n: int) -> list[int]:
     return out
 
 
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where a run of equal numbers starts."""
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, each once: quicker than `np.unique` on a few hundred numbers."""
+    x = np.sort(x)
+    return x[_starts(x)]
+
+
 def shingles(words: Words, text: str | None, k: int = K) -> np.ndarray:
     """The set of hashed k-grams, sorted (fewer words: the whole sequence; none: empty)."""
-    return np.unique(rolling(words.ids(lower_words(text)), k))
+    return _distinct(rolling(words.ids(lower_words(text)), k))
+
+
+def many_shingles(words: Words, texts: list[str | None], k: int = K) -> list[np.ndarray]:
+    """`shingles` of each text, hashed together."""
+    ids = [words.ids(lower_words(t)) for t in texts]
+    end = np.cumsum([len(x) for x in ids])
+    grams = rolling(np.concatenate(ids), k) if len(end) and end[-1] >= k else np.zeros(0, np.uint64)
+    return [_distinct(grams[e - len(x) : e - k + 1] if len(x) >= k else rolling(x, k)) for x, e in zip(ids, end.tolist(), strict=True)]
 
 
 def signatures(s: np.ndarray, family: int) -> np.ndarray:
@@ -84,13 +107,15 @@ def signatures(s: np.ndarray, family: int) -> np.ndarray:
     m, h = groups_of(family)
     x = mix(s + np.uint64(family * 0x1F123BB5 + 1))
     group = ((x >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(group, kind="stable")
+    order = np.argsort(group.astype(np.uint16) if m <= 1 << 16 else group, kind="stable")  # 16 bits are sorted by radix
     group, x = group[order], x[order]
-    start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    parity, count, at = np.bitwise_xor.reduceat(x, start), np.diff(np.r_[start, len(x)]), group[start]
+    start = _starts(group)
+    parity, count, at = np.bitwise_xor.reduceat(x, start), np.diff(start, append=len(x)), group[start]
     want = min(m, len(s) // 4 + 1 + h)
     if len(at) < want:  # empty groups count as well
-        empty = np.setdiff1d(np.arange(m), at)
+        there = np.zeros(m, bool)
+        there[at] = True
+        empty = np.flatnonzero(~there)
         parity, count, at = np.r_[parity, np.zeros(len(empty), np.uint64)], np.r_[count, np.zeros(len(empty), np.int64)], np.r_[at, empty]
     sig = mix(mix(parity + at.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)) + count.astype(np.uint64) + np.uint64(family << 40))
     first = np.lexsort((sig, -count))[:want]
@@ -118,6 +143,18 @@ def distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def _sets(words: Words, texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """The shingles of each text; texts of about TOGETHER characters are hashed at once."""
+    some, size = [], 0
+    for text in texts:
+        some.append(text.as_py())
+        size += len(some[-1] or "")
+        if size >= TOGETHER:
+            yield from many_shingles(words, some, k)
+            some, size = [], 0
+    yield from many_shingles(words, some, k)
+
+
 def _emit(docs: DataFrame, k: int, often: np.ndarray) -> DataFrame:
     """Per document one class row (n and sketch set), and the signatures of the first document of each class that a task meets.
 
@@ -143,8 +180,7 @@ def _emit(docs: DataFrame, k: int, often: np.ndarray) -> DataFrame:
                 return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(row), pa.array(cell), n.take(at), sk.take(at)], ["sig", "_row", "cell", "n", "sketch"])
 
             held = 0
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = shingles(words, text.as_py(), k)
+            for row, s in zip(batch.column(0).to_pylist(), _sets(words, batch.column(1), k), strict=True):
                 n = len(s)
                 own = mix(np.array([row], np.uint64)) if n == 0 else mix(np.add.reduce(mix(s), keepdims=True) ^ mix(np.bitwise_xor.reduce(s, keepdims=True) + np.uint64(n)))
                 own = (own & ~np.uint64(31)) | np.uint64(_CLASS)

@@ -18,6 +18,15 @@ from .test_small_operators import ODD, clashing
 # ---------------------------------------------------------------- jaccard
 
 
+def test_texts_hashed_together_have_the_shingles_of_each():
+    texts = [None, "", "a", "a b c d", "A b c d e", " ".join(f"w{k % 7}" for k in range(200)), " ", "x y z \u00e9 w v", "a b c d e f"]
+    together = jaccard.many_shingles(jaccard.Words(), texts)
+    assert len(together) == len(texts)
+    for text, found in zip(texts, together, strict=True):
+        assert found.tolist() == np.unique(jaccard.rolling(jaccard.Words().ids(jaccard.lower_words(text)), 5)).tolist()
+    assert [len(x) for x in jaccard.many_shingles(jaccard.Words(), ["a", "b c"])] == [1, 1] and jaccard.many_shingles(jaccard.Words(), []) == []
+
+
 def sets_of(rows):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     out = []
