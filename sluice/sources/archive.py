@@ -38,6 +38,8 @@ SCHEMA = "source int, path string, collector string, slot long, status string, "
 VALID, COMPLETE, BAD_SOURCE, BAD_RECORD = "valid", "complete", "corrupted-source", "corrupted-record"
 ARROW = pa.schema([("source", pa.int32()), ("path", pa.string()), ("collector", pa.string()), ("slot", pa.int64()), ("status", pa.string()), ("seq", pa.int64()), ("time", pa.int64()), ("type", pa.string()), ("peer_asn", pa.int64()), ("peer_address", pa.string()), ("prefix", pa.string()), ("as_path", pa.string())])
 ROWS = 20_000
+#: Files of fewer bytes share a task even where tasks are few.
+SMALL = 64 << 10
 FAULTS = (mrt.CorruptRecord, struct.error, EOFError, OSError)
 
 
@@ -112,6 +114,8 @@ class _Options:
         self.span = int(options.get("span", 900))
         self.mark = {"fail": False, "mark": True}[options.get("onCorrupt", "fail")]
         self.bytes = int(options.get("partitionBytes", 4 << 20))
+        #: about as many tasks there are at least, if files are not SMALL: compressed bytes say little about a task's work, as a megabyte may be a million elements
+        self.tasks = int(options.get("minPartitions", 64))
         self.batch = int(options.get("filesPerBatch", 64))
         self.keep = str(options.get("keepFiles", "true")).lower() == "true"
 
@@ -122,12 +126,12 @@ class _Options:
         return [f for f in files if not early(f) and not late(f)]
 
     def runs(self, files: list[File]) -> list[Run]:
-        """Neighbours of one source and collector together, up to `partitionBytes`; a larger file is alone."""
-        out = []
+        """Neighbours of one source and collector together, up to `partitionBytes` or a share of `minPartitions`; a larger file is alone."""
+        out, most = [], min(self.bytes, max(SMALL, sum(f.size for f in files) // self.tasks))
         for _, some in groupby(sorted(files, key=lambda f: (f.source, f.collector, f.key)), key=lambda f: (f.source, f.collector)):
             size = 0
             for f in some:
-                if not size or size + f.size > self.bytes:
+                if not size or size + f.size > most:
                     out.append(Run([]))
                     size = 0
                 out[-1].files.append(f)
@@ -278,7 +282,7 @@ def _and(first, rest: Iterator) -> Iterator:
 
 
 class MrtSource(DataSource):
-    """Options: path, start, end, span, collector, onCorrupt, partitionBytes, filesPerBatch, keepFiles."""
+    """Options: path, start, end, span, collector, onCorrupt, partitionBytes, minPartitions, filesPerBatch, keepFiles."""
 
     @classmethod
     def name(cls) -> str:

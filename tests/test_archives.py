@@ -221,6 +221,97 @@ def test_sessions_equal_the_batch_operator_and_forget(source, tmp_path):
     assert max(states) > 20 and states[-1] <= 2
 
 
+def test_files_that_shrink_well_are_dealt_to_many_tasks():
+    """A hundred thousand elements may be 90 KB: 24 such files were one task's work."""
+    runs = lambda n, size, **o: archive._Options({"path": "", **o}).runs([archive.File(0, f"/a/rrc00/u{k:05d}", size) for k in range(n)])
+    assert len(runs(24, 90_000)) == 24 and len(runs(144, 90_000)) >= 64 and len(runs(144, 90_000, minPartitions="12")) == 12
+    assert len(runs(500, 100)) == 1 and max(sum(f.size for f in r.files) for r in runs(10_000, 100_000)) <= 4 << 20
+    assert [f.path for r in runs(144, 90_000) for f in r.files] == [f"/a/rrc00/u{k:05d}" for k in range(144)]
+
+
+def test_rows_of_a_session_travel_in_packs(spark):
+    """One row for each session and type of a task, with all its rows in it, those without an address too."""
+    r = random.Random(4)
+    rows = [(r.choice(["10.0.0.1", None]), r.choice([1, 2]), r.choice(["a", "b"]), r.choice(["A", "W", "S", None]), T0 + r.randint(0, 50), k, r.choice([-1, 7])) for k in range(3000)]
+    df = spark.createDataFrame(rows, "peer_address string, peer_asn long, prefix string, type string, time long, seq long, origin long").coalesce(1)
+    got = sessions.packed(df).collect()
+    assert len(got) == len({x[:4] for x in rows}) == 32
+    numbers = [(x, sessions.np.frombuffer(x.rows, "i8").reshape(3, -1)) for x in got]
+    assert sorted(((x.peer_address, x.peer_asn, x.prefix, x.type, *t) for x, n in numbers for t in n.T.tolist()), key=str) == sorted(rows, key=str)
+    assert all(x.latest == n[0].max() for x, n in numbers)
+    with pytest.raises(Exception, match="seq is null"):
+        sessions.packed(df.withColumn("seq", F.expr("if(seq = 9, null, seq)"))).collect()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packs_wait_and_come_out_in_order(monkeypatch, seed):
+    """A session against a loop over its rows: ties, rows that come late, values of a few rows each."""
+    monkeypatch.setattr(sessions, "PACK", 3)
+    r = random.Random(seed)
+    batches = [[(r.choice("AW"), [(T0 + r.randint(40 * b, 40 * b + 60), r.randint(0, 3), r.randint(1, 9)) for _ in range(r.randint(1, 9))]) for _ in range(r.randint(1, 4))] for b in range(5)]
+
+    class State:
+        def __init__(self, *_):
+            self.values = []
+
+        def get(self):
+            return list(self.values)
+
+        def put(self, values):
+            self.values = list(values)
+
+        def appendValue(self, value):
+            self.values.append(value)
+
+        def clear(self):
+            self.values = []
+
+    class Value(State):
+        def get(self):
+            return self.values[0] if self.values else None
+
+        def update(self, value):
+            self.values = [value]
+
+    class Handle:
+        getListState, getValueState = State, Value
+        due = None
+
+        def registerTimer(self, at):
+            self.due = at if self.due is None else min(at, self.due)
+
+    class Timers:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+    processor, handle, key = sessions.Attribution(10**6), Handle(), ("10.0.0.1", 1, "a")
+    processor.init(handle)
+    out, waiting, want, asn = [], [], [], -1
+    for b, packs in enumerate([*batches, []]):
+        passed = T0 + 40 * b if b else None
+        now = Timers(0 if passed is None else passed * 1000 - processor.behind)
+        frame = sessions.pd.DataFrame({"type": [k for k, _ in packs], "rows": [sessions.np.array(rows).T.tobytes() for _, rows in packs]})
+        out += [tuple(x) for f in processor.handleInputRows(key, iter([frame]), now) for x in f.itertuples(index=False)]
+        for kind, rows in packs:
+            for t, seq, origin in rows:
+                if passed is not None and t < passed:
+                    want.append((*key, t, seq, kind, None, "late"))
+                else:
+                    waiting.append((t, seq, kind, origin))
+        now = Timers(10**13 if b == 5 else now.at)
+        if passed is not None:
+            out += [tuple(x) for f in processor.handleExpiredTimer(key, now, None) for x in f.itertuples(index=False)]
+            ready = sorted(w for w in waiting if b == 5 or w[0] < passed)
+            waiting = [] if b == 5 else [w for w in waiting if w[0] >= passed]
+            for t, seq, kind, origin in ready:
+                asn = origin if kind == "A" else asn
+                want.append((*key, t, seq, kind, asn, "attributed"))
+    assert out == want and processor.waiting.values == [] and handle.due is not None
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_quantiles_equal_the_built_in(spark, seed):
     r = random.Random(seed)
