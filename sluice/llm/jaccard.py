@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bitmap, cut, hide, lookup, shown, whole_texts
-from .hashing import Words, lower_words, mix, rolling
+from .hashing import Spelled as Words
+from .hashing import lower_words, mix, rolling  # noqa: F401  (what `Words.of` gives the ids of)
 
 K = 5
 #: Upper ends of the size bands (sizes below the first are the first band).
@@ -91,12 +92,12 @@ def _distinct(x: np.ndarray) -> np.ndarray:
 
 def shingles(words: Words, text: str | None, k: int = K) -> np.ndarray:
     """The set of hashed k-grams, sorted (fewer words: the whole sequence; none: empty)."""
-    return _distinct(rolling(words.ids(lower_words(text)), k))
+    return many_shingles(words, [text], k)[0]
 
 
 def many_shingles(words: Words, texts: list[str | None], k: int = K) -> list[np.ndarray]:
     """`shingles` of each text, hashed together."""
-    ids = [words.ids(lower_words(t)) for t in texts]
+    ids = words.of(texts)
     end = np.cumsum([len(x) for x in ids])
     grams = rolling(np.concatenate(ids), k) if len(end) and end[-1] >= k else np.zeros(0, np.uint64)
     return [_distinct(grams[e - len(x) : e - k + 1] if len(x) >= k else rolling(x, k)) for x, e in zip(ids, end.tolist(), strict=True)]
@@ -110,7 +111,9 @@ def signatures(s: np.ndarray, family: int) -> np.ndarray:
     order = np.argsort(group.astype(np.uint16) if m <= 1 << 16 else group, kind="stable")  # 16 bits are sorted by radix
     group, x = group[order], x[order]
     start = _starts(group)
-    parity, count, at = np.bitwise_xor.reduceat(x, start), np.diff(start, append=len(x)), group[start]
+    count = np.empty(len(start), np.int64)
+    count[:-1], count[-1] = start[1:] - start[:-1], len(x) - start[-1]
+    parity, at = np.bitwise_xor.reduceat(x, start), group[start]
     want = min(m, len(s) // 4 + 1 + h)
     if len(at) < want:  # empty groups count as well
         there = np.zeros(m, bool)
@@ -302,7 +305,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             at = ((rows >> 33) * 1000003 + (rows & ((1 << 33) - 1))) & mask
             pick = np.flatnonzero((flags[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
             for some in np.array_split(pick, max(1, len(pick) // 500)):
-                sets = [shingles(words, batch.column(1)[int(i)].as_py(), k).tobytes() for i in some]
+                sets = [s.tobytes() for s in _sets(words, batch.column(1).take(pa.array(some)), k)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows[some]), pa.array(sets, pa.binary())], ["_row", "grams"])
 
     @F.pandas_udf(T.BooleanType())

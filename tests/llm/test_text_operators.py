@@ -27,6 +27,21 @@ def test_texts_hashed_together_have_the_shingles_of_each():
     assert [len(x) for x in jaccard.many_shingles(jaccard.Words(), ["a", "b c"])] == [1, 1] and jaccard.many_shingles(jaccard.Words(), []) == []
 
 
+def test_words_are_hashed_from_their_bytes_together():
+    """Words of 1 to 50 bytes that begin alike, or end in zero bytes, have ids of their own, the same in all company."""
+    r = random.Random(5)
+    texts = [None, "", " ", "\t\n\x0b\x0c\r ", "a", "A", "abcdefgh", "abcdefgh\0", "abcdefghi", "\0", "\0\0 \0", "\x1cq \u00c4\u00e9 \u2003", "\ud800 x", "b" * 17 + " " + "b" * 16, " x  y\tx "]
+    texts += [" ".join("ab\0"[r.randint(0, 2)] * r.randint(0, 9) + str(r.getrandbits(r.randint(1, 130))) for _ in range(r.randint(0, 300))) for _ in range(60)]
+    words = jaccard.Words()
+    known = {}
+    for text, ids in zip(texts, words.of(texts), strict=True):
+        spelled = lower_words(text)
+        assert len(ids) == len(spelled) and ids.tolist() == words.ids(spelled).tolist() == words.of([text])[0].tolist()
+        for word, got in zip(spelled, ids.tolist(), strict=True):
+            assert known.setdefault(word, got) == got
+    assert len(known) > 5000 and len(set(known.values())) == len(known) and words.of([]) == []
+
+
 def sets_of(rows):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     out = []
